@@ -11,9 +11,14 @@ def _fingerprint(edges: DataFrame):
     return tuple(row)
 
 
+def _either(df: DataFrame, first, second) -> DataFrame:
+    """Both edges of every row in one pass."""
+    return df.select(F.inline(F.array(first, second)))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is tied to the smallest of u's closed neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _either(edges, F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct())
@@ -24,8 +29,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
     tied = down.join(low, "u")
-    return (tied.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+    return _either(tied, F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                   F.struct("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
 def components(edges: DataFrame, vertices: DataFrame, src: str, dst: str, vertex: str,

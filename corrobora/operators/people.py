@@ -71,8 +71,8 @@ def case_files(findings: DataFrame, entities: DataFrame) -> DataFrame:
 def _years_near(text: Column, cue: str) -> Column:
     """Years lying within the window on either side of a cue word."""
     gap = V.YEAR_WINDOW - 4
-    before = find_all(text, f"(?is){V.YEAR}(?=.{{0,{gap}}}{cue})", 1)
-    after = find_all(text, f"(?is)(?<={cue}.{{0,{gap}}}){V.YEAR}", 1)
+    before = find_all(text, f"(?is){V.YEAR}(?=.{{0,{gap}}}{cue})")
+    after = find_all(text, f"(?is)(?<={cue}.{{0,{gap}}}){V.YEAR}")
     return F.array_sort(F.array_distinct(F.transform(F.concat(before, after), lambda y: y.cast("int"))))
 
 
@@ -125,11 +125,11 @@ def wrong_person(claim: Column, name: Column) -> Column:
                          F.regexp_extract_all(text, person, F.lit(1)).alias("first"))
     other = F.get(F.filter(spans, lambda m: ~F.array_contains(given, F.lower(m["first"]))
                            & ~F.lower(m["first"]).isin(*V.NOT_A_GIVEN_NAME)), 0)["span"]
-    place = F.regexp_extract(text, F.concat(quoted, F.lit(rf"\s+(?i:{V.NOT_A_PERSON})\b")), 0)
+    place = F.regexp_substr(text, F.concat(quoted, F.lit(rf"\s+(?i:{V.NOT_A_PERSON})\b")))
     return (F.when((F.size(parts) == 0) | own | matches(text, V.FAMILY), "")
             .when((F.size(given) > 0) & other.isNotNull(),
                   F.concat(F.lit("'"), other, F.lit("' — different given name (this is "), squash(name), F.lit(")")))
-            .when(place != "", F.concat(F.lit("'"), place, F.lit("' — a place/institution, not "), squash(name)))
+            .when(place.isNotNull(), F.concat(F.lit("'"), place, F.lit("' — a place/institution, not "), squash(name)))
             .otherwise(""))
 
 

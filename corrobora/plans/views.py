@@ -106,7 +106,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
                         'Who last spoke to  Mara Voss and what was said ?. '), cast(item_id % 6 + 1 as int)), 'web'
         FROM benchmark""",
     "v_asked": """
-        SELECT branch_id, upper(text) || ' ?' AS text FROM v_questions WHERE lane <> 'podcast'""",
+        SELECT branch_id, replace(text, ' ', '  ') || ' ?' AS text FROM v_questions WHERE lane <> 'podcast'""",
     "v_case_claims": f"""
         SELECT finding_id, doc_id, branch_id, source_types, corroboration_count, confidence_tier, n_chars,
                CASE cast(n_chars % 12 as int)

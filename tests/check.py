@@ -53,7 +53,7 @@ def session(cores=8):
          .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
-    s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setLogLevel("OFF")
     return s
 
 
@@ -72,7 +72,7 @@ if __name__ == "__main__":
         try:
             n, err = compare(spark, con, e, sf_dir)
         except Exception as ex:
-            n, err = -1, "ERR " + str(ex).split("JVM stacktrace")[0][:700]
+            n, err = -1, "ERR " + str(ex).split("JVM stacktrace")[0].split("== DataFrame")[0].split("\n\tat ")[0][:500]
             if "--tb" in sys.argv:
                 traceback.print_exc()
         bad += bool(err)
