@@ -62,7 +62,6 @@ def matching_episodes(episodes: DataFrame, tokens: DataFrame, max_eps: int | Non
         hit = contains_join(episodes, "episode_id", low, tokens, "token").select("episode_id").distinct()
         kept = episodes.join(hit, "episode_id", "left_semi")
     rank = F.row_number().over(W.partitionBy("show").orderBy("episode_id"))
-    total = F.count("*").over(W.partitionBy("show"))
     if max_eps is None:
         return kept.withColumn("rank", rank)
     n = kept.groupBy("show").agg(F.count("*").alias("n_total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corrobora import schemas
 from corrobora.functions import exprs as X, vocab as V
@@ -59,7 +59,7 @@ def with_verdicts(pairs: DataFrame, fn: Callable[[pd.Series, pd.Series], pd.Seri
 
     Filter and de-duplicate candidates natively before this step: it is the expensive one.
     """
-    schema = pairs.schema.add("_label", "string")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("_label", T.StringType())])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

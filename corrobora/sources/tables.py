@@ -108,7 +108,7 @@ def normalize_captions(df: DataFrame, col: str = "raw") -> DataFrame:
         T.StructField("segments", schemas.SEGMENTS), T.StructField("body", schemas.SEGMENTS)]))
     joined = F.array_join(F.transform(F.coalesce(parsed["segments"], parsed["body"]),
                                       lambda s: F.coalesce(s["text"], F.lit(""))), " ")
-    lines = F.transform(F.split(raw, r"\r\n|\n|\r"), F.trim)
+    lines = F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & (x != "WEBVTT") & ~x.rlike(r"^\d+$") & ~x.contains("-->"))
     plain = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "<[^>]+>", "")), " ")
     return df.withColumn("text", F.when(is_json & (F.trim(joined) != ""), joined).otherwise(plain))
