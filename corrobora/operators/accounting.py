@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import matches, word_count, words
+from corrobora.session import one_row
 
 
 def _types(default: str = "web"):
@@ -24,7 +25,7 @@ def contribution_ledger(mix: DataFrame) -> DataFrame:
     academic = rows.filter(F.col("lane").isin(*V.ACADEMIC_LANES)).agg(F.sum("n").alias("papers"))
     status = (F.when(F.col("lane").isin(*V.ACADEMIC_LANES) & (F.col("papers") == 0), "N/A (no academic sources in case)")
               .when(F.col("n") == 0, "DEAD (0 findings)").when(F.col("n") < 5, "weak (barely fired)").otherwise("firing"))
-    return rows.join(F.broadcast(academic)).select("title", "n", status.alias("status"))
+    return rows.withColumn("papers", one_row(academic)["papers"]).select("title", "n", status.alias("status"))
 
 
 def triage_stats(verdicts: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def strongest_unread(findings: DataFrame, read: DataFrame, k: int = 15) -> DataF
         F.col("confidence_tier").isin("Accepted", "Moderately Accepted"))
     n = un.agg(F.count("*").alias("n_total"))
     top = un.orderBy(F.desc("corroboration_count"), "finding_id").limit(k)
-    return top.join(F.broadcast(n)).select("finding_id", "confidence_tier", "corroboration_count", "n_total")
+    return top.select("finding_id", "confidence_tier", "corroboration_count", one_row(n)["n_total"].alias("n_total"))
 
 
 def collect_sources(findings: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -76,7 +77,7 @@ def goal_progress(criteria: DataFrame, hits: DataFrame, tiers: DataFrame, previo
     was = previous.agg(F.count_if("covered").alias("n_before"))
     ratio = F.col("n_covered") / F.greatest("n", F.lit(1))
     plateau = F.col("n_covered") <= F.col("n_before")
-    return now.join(F.broadcast(was)).select(
+    return now.withColumn("n_before", one_row(was)["n_before"]).select(
         "n_covered", (F.col("n") - F.col("n_covered")).alias("n_open"),
         F.when(ratio >= 0.66, "substantial").when(ratio >= 0.33, "partial").otherwise("limited").alias("proximity"),
         plateau.alias("plateauing"), ((F.col("n") > F.col("n_covered")) & plateau).alias("checkpoint_user"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from corrobora.session import cut
+from corrobora.session import cut, one_row
 
 
 def route_text(works: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def expand_refs(works: DataFrame, seeds: DataFrame, depth: int = 2, max_refs: in
     total = out.agg(F.count("*").alias("n_total"))
     if max_total is not None:
         out = out.orderBy("level", "work_id").limit(max_total)
-    return out.join(F.broadcast(total))
+    return out.withColumn("n_total", one_row(total)["n_total"])
 
 
 def cited_by(works: DataFrame, ids: DataFrame, since_year: int | None = None, k: int = 10,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.operators import similarity as S
 from corrobora.operators.graph import components
-from corrobora.session import cut
+from corrobora.session import cut, one_row
 
 _BIT = {fam: i for i, fam in enumerate(sorted(set(V.TYPE_FAMILY.values())))}
 
@@ -59,7 +59,8 @@ def cluster_outcomes(claims: DataFrame, stance: DataFrame) -> DataFrame:
         F.sum("n").alias("n_claims")).filter("n_sources >= 2")
     s = X.within(F.col("stance"), ("agree", "contradict", "mixed"), "agree")
     gap = F.col("stance").isin("contradict", "mixed")
-    return (per.join(stance, "cluster_id", "left").withColumn("stance", s).join(F.broadcast(total))
+    return (per.join(stance, "cluster_id", "left").withColumn("stance", s)
+            .withColumn("n_all", one_row(total)["n_all"])
             .select("cluster_id", F.when(gap, "gap").otherwise("corroboration").alias("kind"), "n_sources", "n_types",
                     "n_claims", F.when(gap, F.bround(F.col("n_sources") / F.col("n_all"), 3)).alias("disagreement_score")))
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corrobora.functions.text import tok, words4
 from corrobora.operators.similarity import knn
-from corrobora.session import cut
+from corrobora.session import cut, one_row
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -17,8 +17,8 @@ def bm25_index(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     postings = (terms.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats)).select("term", "avgdl", F.log(
-        1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = df.withColumn("s", one_row(stats)).select("term", "s.avgdl", F.log(
+        1 + (F.col("s.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return postings.join(idf, "term")
 
 
@@ -39,9 +39,9 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "qu
                 .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
     postings = cut(postings)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weight = (qt.join(df, "term").join(F.broadcast(stats))
-              .select(query_id, "term", "avgdl", (F.col("qtf") * F.log(
-                  1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
+    weight = (qt.join(df, "term").withColumn("s", one_row(stats))
+              .select(query_id, "term", "s.avgdl", (F.col("qtf") * F.log(
+                  1 + (F.col("s.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = (postings.join(weight, "term").groupBy(query_id, "doc_id")
               .agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0"))

@@ -7,6 +7,7 @@ from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import find_all, literals, matches, squash, words
 from corrobora.operators.graph import components
 from corrobora.operators.matching import contains_join
+from corrobora.session import cut, one_row
 
 
 # --- mentions --------------------------------------------------------------------------------------
@@ -148,7 +149,7 @@ def thin_entities(counts: DataFrame) -> DataFrame:
     """Entities below max(3, half the upper median). The median is one row, so it is safe to attach."""
     floor = counts.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").alias("median")).select(
         "median", F.greatest(F.lit(3), F.floor(F.col("median") * 0.5)).cast("long").alias("floor"))
-    return counts.join(F.broadcast(floor), counts["n"] < floor["floor"]).select("name", "n", "median", "floor")
+    return counts.withColumn("s", one_row(floor)).filter(F.col("n") < F.col("s.floor")).select("name", "n", "s.median", "s.floor")
 
 
 # --- links between people --------------------------------------------------------------------------
@@ -187,10 +188,10 @@ def missing_entities(canonical: DataFrame, roster: DataFrame, cap: int | None =
     """Canonical names no roster name matches; ``n_total`` tells how many there are before the cap."""
     c = canonical.select(F.lower(squash(F.col("name"))).alias("name")).distinct()
     r = roster.select(F.lower(squash(F.col("name"))).alias("name")).distinct()
-    gone = c.join(_contained_either_way(c, r), "name", "left_anti")
+    gone = cut(c.join(_contained_either_way(c, r), "name", "left_anti"))
     total = gone.agg(F.count("*").alias("n_total"))
     top = gone.orderBy("name") if cap is None else gone.orderBy("name").limit(cap)
-    return top.join(F.broadcast(total)).select(F.initcap("name").alias("name"), "n_total")
+    return top.select(F.initcap("name").alias("name"), one_row(total)["n_total"].alias("n_total"))
 
 
 def omitted_names(texts: DataFrame, roster: DataFrame, on: str = "report_id") -> DataFrame:

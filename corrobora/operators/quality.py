@@ -1,6 +1,8 @@
 """Checks on transcripts, documents and reports."""
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -9,6 +11,7 @@ from pyspark.sql.functions import udtf
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import find_all, literals, matches, squash, tok, word_count, words, words4
 from corrobora.operators.accounting import monoculture, tallies
+from corrobora.session import cut
 
 
 # --- transcripts -----------------------------------------------------------------------------------
@@ -55,20 +58,34 @@ def count_fidelity(reports: DataFrame, profiles: DataFrame, on: str = "report_id
     The gap between number and status may hold neither another number nor another status, and a hedge
     within 24 characters before the number exempts it; both are look-arounds, so it stays native.
     """
-    t = tallies(profiles, on).select(on, "status", "n")
+    t = cut(tallies(profiles, on).select(on, "status", "n"))
     known = t.groupBy(on).agg(F.collect_set("status").alias("all"))     # a closed set of statuses
-    number = r"\d{1,3}|" + "|".join(V.COUNT_WORDS)
-    unhedged = "".join(rf"(?<!{h}.{{0,{24 - len(h)}}})" for h in V.COUNT_HEDGES)
-    others = F.filter("all", lambda s: s != F.col("status"))
-    no_other = F.when(F.size(others) > 0, F.concat(F.lit(r"(?!\b(?:"), F.array_join(others, "|"), F.lit(r")\b)"))).otherwise("")
-    pattern = F.concat(F.lit(rf"(?is){unhedged}\b({number})\b\s*(?:(?!\b(?:{number})\b)"), no_other,
-                       F.lit(r"[^.]){0,40}?\Q"), F.col("status"), F.lit(r"\E"))
-    said = F.transform(F.regexp_extract_all(F.col("text"), pattern, F.lit(1)), F.lower)
     table = F.create_map(*[F.lit(x) for kv in V.COUNT_WORDS.items() for x in kv])
     value = lambda w: F.coalesce(F.try_element_at(table, w), w.try_cast("int"))
-    wrong = F.filter(said, lambda w: value(w) != F.col("n"))
-    return (t.join(known, on).join(reports.select(on, "text"), on)
-            .select(on, "status", F.col("n").alias("recorded"), F.explode(wrong).alias("said")))
+    names = [r["status"] for r in t.select("status").distinct().limit(STATUS_LIMIT + 1).collect()]
+    if len(names) > STATUS_LIMIT:
+        raise ValueError(f"more than {STATUS_LIMIT} statuses: normalise them to the closed set first")
+    text = F.coalesce("text", F.lit(""))
+    claims = F.lit(None)
+    for s in sorted(names):     # one constant pattern per status, compiled once
+        claims = F.when(F.col("status") == s, F.arrays_zip(
+            find_all(text, _count_pattern(s), 1).alias("said"), find_all(text, _count_pattern(s), 2).alias("gap"))).otherwise(claims)
+    others = F.array_join(F.filter("all", lambda s: s != F.col("status")), "|")
+    rows = (t.join(known, on).join(reports.select(on, "text"), on)
+            .select(on, "status", "n", others.alias("others"), F.inline(claims)))
+    other_in_gap = (F.col("others") != "") & F.col("gap").rlike(F.concat(F.lit(r"(?i)\b(?:"), "others", F.lit(r")\b")))
+    return (rows.filter(~other_in_gap & (value(F.lower("said")) != F.col("n")))
+            .select(on, "status", F.col("n").alias("recorded"), F.lower("said").alias("said")))
+
+
+STATUS_LIMIT = 64
+
+
+def _count_pattern(status: str) -> str:
+    """Number, short gap without another number, status; not preceded by a hedge."""
+    number = r"\d{1,3}|" + "|".join(V.COUNT_WORDS)
+    unhedged = "".join(rf"(?<!{h}.{{0,{24 - len(h)}}})" for h in V.COUNT_HEDGES)
+    return rf"(?is)\b{unhedged}({number})\b\s*((?:(?!\b(?:{number})\b)[^.]){{0,40}}?){re.escape(status)}"
 
 
 def _spans(low: Column, needle: Column, size: int = 320) -> Column:

@@ -74,7 +74,7 @@ def open_threads(coverage: DataFrame, hypotheses: DataFrame, ledger: DataFrame,
 def next_questions(threads: DataFrame, coverage: DataFrame, follow_ups: DataFrame, rich: int = 4) -> DataFrame:
     """Unresolved threads first, then follow-ups of the richest leads; unusable questions and repeats drop out."""
     top = (coverage.filter("covered = 1").orderBy(F.desc("findings"), "lead_id").limit(rich).select("lead_id", "findings"))
-    fu = follow_ups.join(F.broadcast(top), "lead_id").select(squash(F.col("text")).alias("q"), F.lit(1).alias("prio"),
+    fu = follow_ups.join(top, "lead_id").select(squash(F.col("text")).alias("q"), F.lit(1).alias("prio"),
                                                              (-F.col("findings")).alias("pos"), "lead_id")
     th = threads.select(squash(F.col("item")).alias("q"), F.lit(0).alias("prio"), F.col("pos").alias("pos"), F.lit(0).cast("long").alias("lead_id"))
     ok = th.unionByName(fu).filter((F.col("q") != "") & (X.bad_question(F.col("q")) == ""))
@@ -95,7 +95,7 @@ def ach_table(df: DataFrame) -> DataFrame:
     # competition rank from the few distinct counts: no global sort of the hypotheses
     rank = smaller.withColumn("rank", F.coalesce(F.sum("c").over(
         W.orderBy("n_disconfirming").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1).select("n_disconfirming", "rank")
-    return d.join(F.broadcast(rank), "n_disconfirming")
+    return d.join(rank, "n_disconfirming")
 
 
 def frontier(coverage: DataFrame, asked: DataFrame, per_round: int = 8, cap: int | None = 14) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.operators.graph import components
-from corrobora.session import cut
+from corrobora.session import cut, one_row
 
 BLOCK = 2048
 PIVOT_BYTES = 64 << 20        # proven bound on what is sent to every executor
@@ -273,12 +273,12 @@ def best_match(topics: DataFrame, index: DataFrame, floor: float = V.SAME_MEANIN
 
 def bridges(a: DataFrame, b: DataFrame, min_sim: float = 0.45, top: int | None = 12) -> DataFrame:
     """Each A row's closest B row, strongest first; ``n_total`` counts what the cut left out."""
-    hits = knn(a, b, 1, scope=None, floor=min_sim)
+    hits = cut(knn(a, b, 1, scope=None, floor=min_sim))
     total = hits.agg(F.count("*").alias("n_total"))
     best = hits.orderBy(F.desc("score"), "probe_id", "vec_id")
     if top is not None:
         best = best.limit(top)
-    return best.join(F.broadcast(total)).select("probe_id", "vec_id", "score", X.sim_band(F.col("score")).alias("band"), "n_total")
+    return best.select("probe_id", "vec_id", "score", X.sim_band(F.col("score")).alias("band"), one_row(total)["n_total"].alias("n_total"))
 
 
 def bridge_all(df: DataFrame, min_sim: float = 0.5, per_pair: int = 3, top: int = 15) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +28,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def one_row(df: DataFrame) -> Column:
+    """A single-row aggregate as a scalar subquery, read by field: no join of any kind."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: truncates the plan and survives executor loss."""
     sc = df.sparkSession.sparkContext

@@ -28,8 +28,8 @@ def pacing_audit(log: DataFrame) -> DataFrame:
     edges = r.select("provider", "event_id", F.inline(F.array(
         F.struct(F.col("us").alias("at"), F.lit(1).alias("step")), F.struct(ends.alias("at"), F.lit(-1).alias("step")))))
     flight = running_sum(edges, ["provider"], ["at", "step", "event_id"], "step", "in_flight").filter("step = 1")
-    a = close.join(F.broadcast(limits), "provider").groupBy("provider").agg(
+    a = close.join(limits, "provider").groupBy("provider").agg(
         F.count("*").alias("requests"), F.count_if(F.col("gap") < F.col("spacing")).alias("too_close"))
-    b = flight.join(F.broadcast(limits), "provider").groupBy("provider").agg(
+    b = flight.join(limits, "provider").groupBy("provider").agg(
         F.max("in_flight").alias("max_in_flight"), F.count_if(F.col("in_flight") > F.col("max_n")).alias("over_limit"))
     return a.join(b, "provider")
