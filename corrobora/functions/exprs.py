@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 
 from corrobora.functions import vocab as V
 from corrobora.functions.text import (
-    any_literal, find_all, first_words, literals, lookup, matches, squash, word_count, words)
+    any_literal, find_all, first_words, found_literals, has_any, literals, lookup, matches, squash, word_count, words)
 
 
 # --- evidence weight -------------------------------------------------------------------------------
@@ -148,38 +148,34 @@ def target_domains(c: Column) -> Column:
     """Sorted union of the curated domains of every topic whose keywords occur in the text."""
     q = F.lower(c)
     none = F.array().cast("array<string>")
-    picked = [F.when(any_literal(q, keys), literals(doms)).otherwise(none)
+    picked = [F.when(has_any(q, keys), literals(doms)).otherwise(none)
               for keys, doms in V.REGISTRY.values()]
     return F.array_sort(F.array_distinct(F.concat(*picked)))
 
 
 def sensitive_topic(c: Column) -> Column:
-    return any_literal(F.lower(c), V.SENSITIVE_KEYS)
+    return has_any(F.lower(c), V.SENSITIVE_KEYS)
 
 
 def looks_scientific(c: Column) -> Column:
-    return any_literal(F.lower(c), V.SCIENCE_KEYS)
+    return has_any(F.lower(c), V.SCIENCE_KEYS)
 
 
 def is_meta(c: Column) -> Column:
     return matches(c, V.META)
 
 
-def distinct_ci(queries: Column) -> Column:
-    """Drop blanks and case-insensitive repeats, first spelling and order kept."""
-    kept = F.filter(queries, lambda q: squash(q) != "")
-    low = F.transform(kept, lambda q: F.lower(squash(q)))
-    return F.filter(kept, lambda q, i: F.array_position(low, F.lower(squash(q))) == i + 1)
+def _distinct_angles(angles) -> list[str]:
+    return list({" ".join(a.lower().split()): " ".join(a.split()) for a in reversed(angles) if a.strip()}.values())[::-1]
 
 
 def person_queries(name: Column, context: Column, angles=V.PERSON_ANGLES, cap: int = 8) -> Column:
     """Array of name × angle searches: the bare name first, then each angle with the context."""
     n, ctx = squash(name), F.substring(squash(context), 1, 40)
-    base = F.when(ctx == "", n).otherwise(F.concat(n, F.lit(" "), ctx))
-    fanned = F.transform(literals(angles), lambda a: F.trim(
-        F.regexp_replace(F.concat(base, F.lit(" "), a), "  ", " ")))
-    out = F.slice(distinct_ci(F.concat(F.array(base), fanned)), 1, cap)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(out)
+    base = F.trim(F.when(ctx == "", n).otherwise(F.concat(n, F.lit(" "), ctx)))
+    # one base with distinct angles gives distinct queries, so repeats are removed from the angles
+    queries = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in _distinct_angles(angles)])
+    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.slice(queries, 1, cap))
 
 
 def qualify(query: Column, place: Column, when: Column) -> Column:
@@ -235,8 +231,8 @@ def retry_queries(name: Column, phrase: Column, born: Column, died: Column, angl
     part = lambda c: F.nullif(c, F.lit(""))
     n = F.trim(F.coalesce(name, F.lit("")))
     base = F.concat_ws(" ", part(n), part(phrase), F.coalesce(died, born).cast("string"))
-    fanned = F.transform(literals(angles), lambda a: F.concat(base, F.lit(" "), a))
-    out = F.transform(distinct_ci(F.concat(F.array(base), fanned)), squash)
+    base = squash(base)
+    out = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in _distinct_angles(angles)])
     return F.when(n == "", F.array().cast("array<string>")).otherwise(F.slice(out, 1, cap))
 
 
@@ -257,8 +253,7 @@ def plausible_person(name: Column) -> Column:
 
 
 def orgs(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.filter(literals(V.ORG_CUES), lambda cue: F.contains(low, cue))
+    return found_literals(F.lower(F.coalesce(c, F.lit(""))), V.ORG_CUES)
 
 
 def entity_keys(name: Column) -> Column:

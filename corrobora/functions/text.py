@@ -33,6 +33,19 @@ def any_literal(c: Column, needles) -> Column:
     return F.coalesce(c, F.lit("")).rlike("|".join(re.escape(n) for n in needles))
 
 
+def has_any(c: Column, needles) -> Column:
+    """As ``any_literal`` for long texts: plain substring tests that stay in generated code."""
+    out = F.lit(False)
+    for n in needles:
+        out = out | F.contains(c, F.lit(n))
+    return F.coalesce(out, F.lit(False))
+
+
+def found_literals(c: Column, needles) -> Column:
+    """The needles that occur in the text. No lambda, so the text expression is evaluated once."""
+    return F.array_compact(F.array(*[F.when(F.contains(c, F.lit(n)), F.lit(n)) for n in needles]))
+
+
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(group))
 

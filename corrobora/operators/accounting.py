@@ -132,8 +132,8 @@ def coverage_score(texts: DataFrame, roster: DataFrame, on: str = "report_id") -
     The neighbourhood is 120 characters before to 400 after each of the first three mentions.
     """
     surname = F.element_at(words(F.col("name")), -1)
-    rows = roster.select(on, surname.alias("sn")).join(texts.select(on, "text"), on)
-    low, sn = F.lower("text"), F.lower("sn")
+    rows = roster.select(on, F.lower(surname).alias("sn")).join(texts.select(on, "text", F.lower("text").alias("low")), on)
+    low, sn = F.col("low"), F.col("sn")
     at = F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.length(F.call_function("substring_index", low, sn, i)) + 1),
                   lambda p: p <= F.length(low))
     pos = F.array_distinct(at)

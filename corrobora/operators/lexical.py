@@ -78,11 +78,21 @@ def _word_sets(df: DataFrame) -> DataFrame:
     return sets.withColumn("set_id", F.sha2(F.array_join("ws", " "), 256))
 
 
+def _need(size, overlap: float):
+    return F.ceil(size * overlap - 1e-9)
+
+
+def _hits(size, overlap: float):
+    """Shared prefix words a candidate must show: more for larger sets, never more than it must share."""
+    return F.least(_need(size, overlap), F.greatest(F.lit(1), F.floor(size / 8)))
+
+
 def known_claims(new: DataFrame, existing: DataFrame, overlap: float = 0.6) -> DataFrame:
     """(claim_id, known): does an existing claim share enough of the smaller word set? Exact.
 
-    A set overlapping the larger one by the required share must share one of its rarest words, so only
-    that prefix is joined (rarest first keeps common words out), and candidates are then verified.
+    If the smaller set shares ``need`` of its words, any ``size - need + m`` of its words hold at least m
+    shared ones. Joining only that many, rarest first, keeps common words out of the join, and asking for m
+    shared words leaves few candidates to verify.
     """
     n, e = cut(_word_sets(new)), cut(_word_sets(existing).filter(F.size("ws") > 0))
     ns = n.filter(F.size("ws") > 0).groupBy("set_id").agg(F.first("ws").alias("ws"))
@@ -94,13 +104,15 @@ def known_claims(new: DataFrame, existing: DataFrame, overlap: float = 0.6) -> D
     def ranked(t):
         r = F.row_number().over(W.partitionBy("set_id").orderBy("f", "w"))
         return t.join(freq, "w").withColumn("r", r).withColumn(
-            "prefix", F.col("r") <= F.col("size") - F.ceil(F.col("size") * overlap - 1e-9) + 1)
+            "prefix", F.col("r") <= F.col("size") - _need(F.col("size"), overlap) + _hits(F.col("size"), overlap))
     nr, er = cut(ranked(nt)), cut(ranked(et))
     left = lambda d: d.select(F.col("set_id").alias("n_set"), F.col("size").alias("n_size"), "w", "prefix")
     right = lambda d: d.select(F.col("set_id").alias("e_set"), F.col("size").alias("e_size"), "w", "prefix")
     a = left(nr.filter("prefix")).drop("prefix").join(right(er).drop("prefix"), "w").filter("n_size <= e_size")
     b = left(nr).drop("prefix").join(right(er.filter("prefix")).drop("prefix"), "w").filter("e_size < n_size")
-    cand = a.unionByName(b).select("n_set", "e_set").distinct()
+    cand = a.unionByName(b).groupBy("n_set", "e_set").agg(
+        F.count("*").alias("c"), F.first(F.least("n_size", "e_size")).alias("size")).filter(
+        F.col("c") >= _hits(F.col("size"), overlap)).select("n_set", "e_set")
     hit = (cand.join(ns.toDF("n_set", "n_ws"), "n_set").join(es.toDF("e_set", "e_ws"), "e_set")
            .filter(F.size(F.array_intersect("n_ws", "e_ws"))
                    >= overlap * F.least(F.size("n_ws"), F.size("e_ws")) - 1e-9)

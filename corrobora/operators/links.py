@@ -7,7 +7,7 @@ from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import literals, sig_tokens, squash, word_count, words
 from corrobora.operators.lexical import known_claims
 from corrobora.operators.matching import contains_join
-from corrobora.operators.people import with_conflict
+from corrobora.operators.people import with_conflict, with_facts
 
 
 def override_tier(hits: DataFrame, truth: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def contribute(new: DataFrame, existing: DataFrame, cards: DataFrame) -> DataFra
     known = known_claims(new, existing).select("claim_id", ((F.col("n_words") < 4) | F.col("known")).alias("dup"))
     surnames = cards.withColumn("k", F.lower(F.element_at(words(F.col("name")), -1)))
     hits = contains_join(new, "claim_id", F.lower("claim"), surnames, "k").join(surnames, "k")
-    clash = (with_conflict(hits.join(new, "claim_id")).filter("verdict = 'hard'").select("claim_id").distinct()
+    clash = (with_conflict(hits.join(with_facts(new), "claim_id")).filter("verdict = 'hard'").select("claim_id").distinct()
              .withColumn("clash", F.lit(True)))
     rows = new.join(known, "claim_id", "left").join(clash, "claim_id", "left")
     reason = (F.when(X.is_meta(F.col("claim")), "self_description").when(F.col("dup"), "duplicate")

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corrobora.functions.text import literals
+from corrobora.functions.text import found_literals
 
 KEYS_INLINE = 512      # up to this many distinct keys travel inside the plan
 GRAM_LONG, GRAM_SHORT = 8, 4
@@ -28,8 +28,7 @@ def contains_join(texts: DataFrame, text_id: str, text: Column, keys: DataFrame,
     if len(few) <= inline_limit:
         if not few:
             return body.select(text_id, F.lit("").alias(key)).limit(0)
-        return body.select(text_id, F.explode(F.filter(
-            literals(sorted(few)), lambda k: F.contains(F.col("_text"), k))).alias(key)).distinct()
+        return body.select(text_id, F.explode(found_literals(F.col("_text"), sorted(few))).alias(key)).distinct()
     return _gram_join(body, text_id, want, key)
 
 

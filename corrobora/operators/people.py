@@ -73,27 +73,31 @@ def _years_near(text: Column, cue: str) -> Column:
     """Years lying within the window on either side of a cue word."""
     gap = V.YEAR_WINDOW - 4
     before = find_all(text, f"(?is){V.YEAR}(?=.{{0,{gap}}}{cue})")
-    after = find_all(text, f"(?is)(?<={cue}.{{0,{gap}}}){V.YEAR}")
+    after = find_all(text, rf"(?is){V.YEAR}(?<={cue}.{{0,{gap}}}\d{{4}})")
     return F.array_sort(F.array_distinct(F.transform(F.concat(before, after), lambda y: y.cast("int"))))
 
 
-def _year_conflict(text: Column, cue: str, known: Column, label: str) -> Column:
-    years = _years_near(text, cue)
+def with_facts(findings: DataFrame) -> DataFrame:
+    """What a claim says about its person: read once per claim, before it meets any card."""
+    c = F.coalesce("claim", F.lit(""))
+    return findings.withColumn("_died", _years_near(c, V.DEATH_CUE)).withColumn(
+        "_born", _years_near(c, V.BIRTH_CUE)).withColumn("_jobs", find_all(c, "(?i)" + V.APPOSITIVE, 1))
+
+
+def _year_conflict(years: Column, known: Column, label: str) -> Column:
     off = (F.size(years) > 0) & F.forall(years, lambda y: F.abs(y - known) > V.YEAR_SLACK)
     return F.when(known.isNotNull() & off, F.concat(
         F.lit(f"{label} year ["), F.array_join(years, ", "), F.lit("] conflicts with known "), known.cast("string")))
 
 
 def with_conflict(pairs: DataFrame) -> DataFrame:
-    """Adds ``verdict`` (hard / weak / ok) and ``reason``. Needs claim and the card columns."""
-    claim = F.coalesce(F.col("claim"), F.lit(""))
+    """Adds ``verdict`` (hard / weak / ok) and ``reason``. Needs ``with_facts`` and the card columns."""
     hard = F.coalesce(
-        _year_conflict(claim, V.DEATH_CUE, F.col("died"), "death/disappearance"),
-        _year_conflict(claim, V.BIRTH_CUE, F.col("born"), "birth"))
+        _year_conflict(F.col("_died"), F.col("died"), "death/disappearance"),
+        _year_conflict(F.col("_born"), F.col("born"), "birth"))
     role, employer = F.coalesce("role", F.lit("")), F.coalesce("employer", F.lit(""))
     known = find_all(F.lower(F.concat_ws(" ", role, employer)), "[a-z]{4,}")
-    stated = find_all(claim, "(?i)" + V.APPOSITIVE, 1)
-    alien = F.get(F.filter(stated, lambda s: (F.size(find_all(F.lower(s), "[a-z]{4,}")) > 0)
+    alien = F.get(F.filter("_jobs", lambda s: (F.size(find_all(F.lower(s), "[a-z]{4,}")) > 0)
                            & ~F.arrays_overlap(find_all(F.lower(s), "[a-z]{4,}"), known)), 0)
     weak = F.when(F.size(known) > 0, F.concat(
         F.lit("claim calls them '"), F.trim(alien), F.lit("'; known as '"),
@@ -101,12 +105,12 @@ def with_conflict(pairs: DataFrame) -> DataFrame:
     return (pairs.withColumn("_h", hard).withColumn("_w", weak)
             .withColumn("verdict", F.when(F.col("_h").isNotNull(), "hard").when(F.col("_w").isNotNull(), "weak")
                         .otherwise("ok"))
-            .withColumn("reason", F.coalesce("_h", "_w", F.lit(""))).drop("_h", "_w"))
+            .withColumn("reason", F.coalesce("_h", "_w", F.lit(""))).drop("_h", "_w", "_died", "_born", "_jobs"))
 
 
 def screen(findings: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, quarantined) for every finding filed under a carded person. Counts always add up."""
-    judged = with_conflict(entity_hits(findings, cards).join(findings, "finding_id").join(cards, "name"))
+    judged = with_conflict(entity_hits(findings, cards).join(with_facts(findings), "finding_id").join(cards, "name"))
     hard = F.col("verdict") == "hard"
     kept = judged.filter(~hard).withColumn("identity_note", F.when(F.col("verdict") == "weak", F.col("reason")))
     return kept, judged.filter(hard).withColumnRenamed("reason", "quarantine_reason")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import udtf
 
 from corrobora.functions import exprs as X, vocab as V
-from corrobora.functions.text import find_all, literals, matches, squash, tok, word_count, words, words4
+from corrobora.functions.text import find_all, found_literals, matches, squash, tok, word_count, words, words4
 from corrobora.operators.accounting import monoculture, tallies
 from corrobora.session import cut
 
@@ -39,8 +39,8 @@ def voice_lint(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Violation rows (kind, detail): banned phrases, long questions, openers without a concrete anchor."""
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
-    phrases = F.filter(literals(V.BANNED_PHRASES), lambda b: F.contains(low, b))
-    questions = F.filter(F.transform(find_all(t, r"[^.!?]*\?"), lambda q: F.trim(q)), lambda q: F.length(q) > 12)
+    phrases = found_literals(low, V.BANNED_PHRASES)
+    questions = F.filter(F.transform(find_all(t, r"(?<![^.!?])[^.!?]*+\?"), lambda q: F.trim(q)), lambda q: F.length(q) > 12)
     first = F.get(F.split(F.trim(t), r"\."), 0)
     anchored = F.substring(first, 4, 2**31 - 1).rlike(r"\b[A-Z][a-z]{2,}|\b\d+\b") | matches(first, V.NUMBER_WORD_ANCHOR)
     opener = F.when((first != "") & ~anchored, F.array(F.substring(first, 1, 70))).otherwise(F.array().cast("array<string>"))
@@ -73,7 +73,7 @@ def count_fidelity(reports: DataFrame, profiles: DataFrame, on: str = "report_id
     others = F.array_join(F.filter("all", lambda s: s != F.col("status")), "|")
     rows = (t.join(known, on).join(reports.select(on, "text"), on)
             .select(on, "status", "n", others.alias("others"), F.inline(claims)))
-    other_in_gap = (F.col("others") != "") & F.col("gap").rlike(F.concat(F.lit(r"(?i)\b(?:"), "others", F.lit(r")\b")))
+    other_in_gap = (F.col("others") != "") & F.rlike(F.col("gap"), F.concat(F.lit(r"(?i)\b(?:"), "others", F.lit(r")\b")))
     return (rows.filter(~other_in_gap & (value(F.lower("said")) != F.col("n")))
             .select(on, "status", F.col("n").alias("recorded"), F.lower("said").alias("said")))
 
@@ -85,7 +85,7 @@ def _count_pattern(status: str) -> str:
     """Number, short gap without another number, status; not preceded by a hedge."""
     number = r"\d{1,3}|" + "|".join(V.COUNT_WORDS)
     unhedged = "".join(rf"(?<!{h}.{{0,{24 - len(h)}}})" for h in V.COUNT_HEDGES)
-    return rf"(?is)\b{unhedged}({number})\b\s*((?:(?!\b(?:{number})\b)[^.]){{0,40}}?){re.escape(status)}"
+    return rf"(?is)\b(?=(?:{number})\b){unhedged}({number})\b\s*((?:(?!\b(?:{number})\b)[^.]){{0,40}}?){re.escape(status)}"
 
 
 def _spans(low: Column, needle: Column, size: int = 320) -> Column:
@@ -101,8 +101,8 @@ def profile_fidelity(reports: DataFrame, profiles: DataFrame, on: str = "report_
     Each person is judged on the passage that carries most of their facts, full name before surname.
     """
     rows = profiles.join(reports.select(on, F.lower(F.coalesce("text", F.lit(""))).alias("low")), on).filter(squash(F.col("name")) != "")
-    low, name = F.col("low"), F.lower(squash(F.col("name")))
-    surname = F.element_at(F.split(name, " "), -1)
+    rows = rows.withColumn("_nm", F.lower(squash(F.col("name")))).withColumn("_sn", F.element_at(F.split("_nm", " "), -1))
+    low, name, surname = F.col("low"), F.col("_nm"), F.col("_sn")
     status, cause = F.lower(F.coalesce("status", F.lit(""))), F.trim(F.coalesce("cause", F.lit("")))
     wanted = F.array_distinct(find_all(F.concat_ws(" ", F.coalesce("status", F.lit("")), cause), "[a-z]{4,}"))
     rows = rows.withColumn("_w", wanted).withColumn("_full", _spans(low, name)).withColumn("_short", _spans(low, surname))

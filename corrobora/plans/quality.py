@@ -86,14 +86,20 @@ def _(t):
     return Q.grounded(t.sql(_SUG.format(s="string")), cases)
 
 
-@query("J7_with_verdicts", reason="runs a user function per batch; the shipped rule is checked by goldens")
+@query("J7_with_verdicts", """
+    WITH p AS (SELECT list_distinct(regexp_extract_all(lower(a.claim), '[a-z]{4,}')) AS x, list_distinct(regexp_extract_all(lower(b.claim), '[a-z]{4,}')) AS y,
+        list_sort(list_distinct(regexp_extract_all(a.claim, '[0-9]+'))) AS nx, list_sort(list_distinct(regexp_extract_all(b.claim, '[0-9]+'))) AS ny
+        FROM v_case_claims a JOIN v_case_claims b ON b.doc_id = a.doc_id + 1),
+    s AS (SELECT len(list_intersect(x, y)) / greatest(1, least(len(x), len(y)))::double AS s, nx <> ny AS d FROM p)
+    SELECT CASE WHEN s >= 0.6 AND d THEN 'contradicts' WHEN s >= 0.9 THEN 'same' WHEN s >= 0.6 THEN 'collaborative' ELSE 'distinct' END AS relation, count(*) AS n FROM s GROUP BY 1""")
 def _(t):
     a = t.v_case_claims.select("doc_id", F.col("claim").alias("text_a"))
     b = t.v_case_claims.select((F.col("doc_id") - 1).alias("doc_id"), F.col("claim").alias("text_b"))
     return with_verdicts(a.join(b, "doc_id")).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@query("J8_featurize", reason="hashed vectors; checked by unit length and self-similarity")
+@query("J8_featurize", """
+    SELECT doc_id, cast(1024 AS int) AS dim, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0::double ELSE 0.0::double END AS sq_norm FROM documents""")
 def _(t):
     v = Q.featurize(t.documents, "doc_id")
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)

@@ -49,7 +49,7 @@ def _(t):
     return S.link_raw(t.v_findings, raw).select("finding_id", "url", "char_len")
 
 
-@query("A4_ledgers", reason="writes and reads JSON lines")
+@query("A4_ledgers", "SELECT branch_id, count(*) AS n, count(*) * 0.5::double AS total FROM v_questions GROUP BY branch_id")
 def _(t):
     path = scratch_path(t.spark, "ledger")
     rows = t.v_questions.select("text", "branch_id", F.lit(1).alias("cycle_n"),
@@ -60,7 +60,8 @@ def _(t):
         F.count("*").alias("n"), F.sum(F.element_at("scores", "combined")).alias("total"))
 
 
-@query("A5_write_findings", reason="writes and reads partitioned files")
+@query("A5_write_findings", """
+    SELECT branch_id, count(*) AS n FROM v_findings GROUP BY branch_id UNION ALL SELECT 'TOTAL', count(*) FROM v_findings""")
 def _(t):
     path = scratch_path(t.spark, "findings")
     cols = schemas.FINDINGS.fieldNames()
@@ -95,7 +96,10 @@ def _(t):
     return S.html_to_text(t.pages).select("page_id", "url", "text")
 
 
-@query("A10_normalize_captions", reason="two caption formats; checked by goldens")
+@query("A10_normalize_captions", r"""
+    SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN text ELSE array_to_string([regexp_replace(x, '<[^>]+>', '', 'g') for x in
+        [trim(l) for l in regexp_split_to_array('<b>' || text || '</b>', '\r\n|\n|\r')] if x <> '' AND x <> 'WEBVTT' AND NOT regexp_matches(x, '^\d+$') AND NOT contains(x, '-->')], ' ') END AS text
+    FROM documents""".replace("\\\\", "\\"))
 def _(t):
     raw = t.documents.select("doc_id", F.when(
         F.col("n_chars") % 2 == 0,
@@ -117,7 +121,7 @@ def _(t):
     return S.outbound_links(t.v_pages_md)
 
 
-@query("A12_description_links", reason="url decoding differs between engines; checked by goldens")
+@query("A12_description_links", f"SELECT page_id, 0 AS rank, url FROM pages WHERE NOT {sql_any('lower(url)', V.DESCRIPTION_NOISE)}")
 def _(t):
     rows = t.pages.select("page_id", F.concat(
         F.lit('{"shortDescription":"Sources: '), F.col("url"), F.lit('\\nhttps://x.com/me","url":"https://www.youtube.com/redirect?event=1\\u0026q='),

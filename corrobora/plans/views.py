@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
+_TEXT_TABLES = ("documents", "pages", "conversations", "orders")
+
 _SPARK = {"ARR": "array", "AT": "element_at", "STR": "string", "EMPTY": "cast(array() as array<string>)",
           "POW": "pow", "EXPL": "explode", "SEQ": "sequence", "WORDS": "split"}
 _DUCK = {"ARR": "list_value", "AT": "list_extract", "STR": "varchar", "EMPTY": "cast([] as varchar[])",
@@ -293,13 +295,20 @@ class Tables:
         made = self._made
         if name not in made:
             if name in TABLES:
-                made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                made[name] = self._spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"), name)
             elif name in VIEWS:
                 made[name] = self._view(name)
             else:
                 raise AttributeError(name)
         return made[name]
 
+    def _spread(self, df: DataFrame, name: str) -> DataFrame:
+        """A text table that arrives as fewer splits than there are cores is dealt out once."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in _TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
+
     def _view(self, name: str) -> DataFrame:
         return self.sql(_text(name, "spark"))
 
