@@ -193,6 +193,11 @@ def dedupe_verbatim(df: DataFrame, t: float = V.VERBATIM, dry_run: bool = True)
             .withColumn("corroboration_count", F.col("total")).drop("component", "members", "total"))
 
 
+def remap_provenance(prov: DataFrame, members: DataFrame) -> DataFrame:
+    """Provenance of folded nodes moved to their keeper; ``members`` is (finding_id, component)."""
+    return prov.join(members, "finding_id").select(F.col("component").alias("finding_id"), "kind", "value").distinct()
+
+
 # --- tier movement ---------------------------------------------------------------------------------
 def promote(index: DataFrame, outcomes: DataFrame, floor: float = V.SAME_MEANING) -> tuple[DataFrame, DataFrame]:
     """(nodes with moved tiers, audit rows) from cluster outcomes matched to their best node.

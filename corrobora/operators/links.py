@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import literals, sig_tokens, squash, word_count, words
-from corrobora.operators.lexical import known_claims
+from corrobora.operators.lexical import hybrid, known_claims
 from corrobora.operators.matching import contains_join
 from corrobora.operators.people import with_conflict, with_facts
 
@@ -61,9 +61,9 @@ def matching_episodes(episodes: DataFrame, tokens: DataFrame, max_eps: int | Non
     else:
         hit = contains_join(episodes, "episode_id", low, tokens, "token").select("episode_id").distinct()
         kept = episodes.join(hit, "episode_id", "left_semi")
-    rank = F.row_number().over(W.partitionBy("show").orderBy("episode_id"))
     if max_eps is None:
-        return kept.withColumn("rank", rank)
+        return kept
+    rank = F.row_number().over(W.partitionBy("show").orderBy("episode_id"))
     n = kept.groupBy("show").agg(F.count("*").alias("n_total"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= max_eps).join(n, "show")
 
@@ -75,6 +75,16 @@ def verify_queue(findings: DataFrame, limit: int | None = None) -> DataFrame:
     return (q if limit is None else q.limit(limit)).drop("_o")
 
 
+def verify_evidence(claims: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 6) -> DataFrame:
+    """The k best other texts to check a claim against; its own text is no evidence for it."""
+    hits = hybrid(claims, docs, vectors, k + 2)
+    said = claims.select("query_id", F.lower(F.trim("text")).alias("_own"))
+    other = (hits.join(said, "query_id").join(docs.select("doc_id", F.lower(F.trim("text")).alias("_text")), "doc_id")
+             .filter("_own <> _text"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    return other.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "doc_id", "place", "score")
+
+
 def verify_tally(targets: DataFrame, verdicts: DataFrame) -> DataFrame:
     v = X.within(F.col("verdict"), ("supported", "contradicted", "insufficient"), "error")
     return targets.join(verdicts, "finding_id", "left").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
@@ -116,9 +126,10 @@ def review_queue(cited: DataFrame, reviewed: DataFrame, per_batch: int | None =
     seen = (cited.withColumn("domain", X.domain_of(F.col("url"))).filter((F.col("domain") != "") & ~F.col("domain").isin(trusted))
             .groupBy("batch", "domain").agg(F.min("pos").alias("pos")))
     new = seen.join(reviewed.select("domain").distinct(), "domain", "left_anti")
+    if per_batch is None:
+        return new
     rank = F.row_number().over(W.partitionBy("batch").orderBy("pos", "domain"))
-    out = new.withColumn("rank", rank)
-    return out if per_batch is None else out.filter(F.col("rank") <= per_batch)
+    return new.withColumn("rank", rank).filter(F.col("rank") <= per_batch)
 
 
 def apply_gate(leads: DataFrame, grades: DataFrame) -> DataFrame:

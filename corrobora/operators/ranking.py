@@ -35,9 +35,12 @@ def entity_evidence(findings: DataFrame, entities: DataFrame, n: int | None = No
     """Evidence per entity, best corroborated first; the cap is optional and the total always told."""
     hits = entity_hits(findings, entities).join(findings.select("finding_id", "corroboration_count"), "finding_id")
     total = hits.groupBy("name").agg(F.count("*").alias("n_total"))
-    order = W.partitionBy("name").orderBy(F.desc("corroboration_count"), "finding_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order))
-    return (ranked if n is None else ranked.filter(F.col("rank") <= n)).join(total, "name")
+    if n is None:       # a person may hold a third of all findings: number them in chunks
+        ranked = row_numbers(hits.withColumn("_o", -F.col("corroboration_count")), ["name"], ["_o", "finding_id"], "rank").drop("_o")
+    else:               # bounded: only the best n per task leave it
+        order = W.partitionBy("name").orderBy(F.desc("corroboration_count"), "finding_id")
+        ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.join(total, "name")
 
 
 def ordered_distinct(sources: list[DataFrame], cap: int | None = None, key: str = "item", order: str = "pos") -> DataFrame:

@@ -317,9 +317,15 @@ def kb_lookup(questions: DataFrame, index: DataFrame, judge: DataFrame, as_of: C
 
 
 def consensus(claims: DataFrame, index: DataFrame, verdicts: DataFrame, minimum: int = 3,
-              floor: float = V.CONNECT) -> DataFrame:
-    """How many of the seven nearest other findings agree to be near, and whether the claim contradicts them."""
+              floor: float = V.CONNECT, text: str | None = None) -> DataFrame:
+    """How many of the seven nearest other findings agree to be near, and whether the claim contradicts them.
+
+    ``text`` names the column by which a verbatim copy of the claim is kept from backing itself.
+    """
     near = knn(claims, index, minimum + 4, skip_self=True).filter(F.col("score") >= floor)
+    if text is not None:
+        own = claims.select("probe_id", F.trim(text).alias("_own"))
+        near = near.join(own, "probe_id").join(index.select("vec_id", F.trim(text).alias("_text")), "vec_id").filter("_own <> _text")
     size = near.groupBy("probe_id").agg(F.count("*").alias("consensus_size"))
     joined = claims.select("probe_id").join(size, "probe_id", "left").join(verdicts, "probe_id", "left")
     n = F.coalesce("consensus_size", F.lit(0))

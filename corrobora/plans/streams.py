@@ -91,6 +91,17 @@ def _(t):
     return P.pacing_audit(t.v_requests)
 
 
+@query("I6_load_stream", """
+    WITH e AS (SELECT CASE user_id % 8 WHEN 0 THEN 'exa' WHEN 1 THEN 'jina' WHEN 2 THEN 'firecrawl' WHEN 3 THEN 'wayback' WHEN 4 THEN 'openrouter' WHEN 5 THEN 'groq' WHEN 6 THEN 'perplexity' ELSE 'openalex' END AS provider,
+                      floor(epoch_us(ts) / 3600000000.0) AS h FROM events),
+    w AS (SELECT provider, h * 3600 AS s FROM e UNION ALL SELECT provider, (h - 1) * 3600 FROM e)
+    SELECT provider, cast(s AS bigint) AS start_s, count(*) AS requests FROM w GROUP BY 1, 2""")
+def _(t):
+    s = S.with_event_time(streamed(t, "events").v_requests)
+    state = drained(t, S.load_stream(s, "2 hours", "1 hour"), "load", "update")
+    return S.latest(state, ["start", "provider"]).select("provider", F.unix_timestamp("start").alias("start_s"), "requests")
+
+
 @query("I7_raw_sink", """
     SELECT 'u' || user_id AS url, event_type AS branch_id, arg_max(props, ts) AS raw_text FROM events GROUP BY 1, 2""")
 def _(t):

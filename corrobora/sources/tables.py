@@ -52,6 +52,11 @@ def delete_nodes(df: DataFrame, ids: DataFrame, key: str = "finding_id") -> Data
     return df.join(ids.select(key), key, "left_anti")
 
 
+def write_edges(edges: DataFrame, path: str, fmt: str = "json") -> None:
+    """Neighbour export, one folder per branch."""
+    edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("branch_id").format(fmt).save(path)
+
+
 # --- raw sources -----------------------------------------------------------------------------------
 def upsert_raw(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Latest text per (url, branch). ``max_by`` combines map-side, so a hot url shuffles one row per task."""

@@ -133,6 +133,12 @@ def lead_answers(leads: DataFrame, findings: DataFrame, bound: str = "1 hour", d
     return a.join(b, on, how)
 
 
+def load_stream(log: DataFrame, size: str = "10 seconds", slide: str = "5 seconds", delay: str = "1 minute", ts: str = "ts") -> DataFrame:
+    """Requests per provider in sliding windows."""
+    return (log.withWatermark(ts, delay).groupBy(F.window(ts, size, slide).alias("w"), "provider")
+            .agg(F.count("*").alias("requests")).select(F.col("w.start").alias("start"), "provider", "requests"))
+
+
 def stall_sessions(s: DataFrame, gap_seconds: int = V.STALL_SECONDS, delay: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Progress sessions per run; a new session starts after a silence longer than the gap."""
     return (s.withWatermark(ts, delay).groupBy(F.session_window(ts, f"{gap_seconds} seconds").alias("w"), "run_id")
