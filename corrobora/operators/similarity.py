@@ -18,7 +18,8 @@ from corrobora.operators.graph import components
 from corrobora.session import cut, one_row
 
 BLOCK = 2048
-PIVOT_BYTES = 64 << 20        # proven bound on what is sent to every executor
+PIVOT_BYTES = 64 << 20        # proven bound on the pivots sent to every executor
+CELL_ROWS = 1_000_000         # proven bound on the (scope, cell) table sent with them
 SLACK = 1e-4                  # covers rounding of reported scores to four decimals
 
 
@@ -47,18 +48,29 @@ def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _pivots(index: DataFrame):
-    """About sqrt(n) vectors with the smallest id hash: repeatable, spread, and bounded in bytes."""
-    n = index.count()
+def _pivots(index: DataFrame, block: int):
+    """Vectors with the smallest id hash: repeatable, spread, and bounded in bytes.
+
+    One per full tile, at most sqrt(n); few enough that the table of (scope, cell) stays small too.
+    """
+    n, scopes = index.agg(F.count("*"), F.count_distinct("scope")).first()
     if n == 0:
         return None
     dim = len(index.select("embedding").first()[0])
-    want = max(1, min(math.isqrt(n) // 2, PIVOT_BYTES // (8 * dim)))
+    want = max(1, min(math.isqrt(n), n // block, PIVOT_BYTES // (8 * dim), CELL_ROWS // scopes))
     rows = index.select(F.xxhash64("id").alias("h"), "id", "embedding").orderBy("h", "id").limit(want).collect()
     m = _unit(pd.Series([r["embedding"] for r in rows]))
     return index.sparkSession.sparkContext.broadcast(m)
 
 
+def _slices(batches, n_pivots: int):
+    """Rows in portions whose distance table to all pivots stays near 32 MB."""
+    step = max(1, 4_000_000 // n_pivots)
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            yield pdf.iloc[at:at + step]
+
+
 def _vectors(df: DataFrame, ident: str, scope: str | None) -> DataFrame:
     """Uniform shape (id, scope, embedding); vectors without direction match nothing."""
     out = df.select(F.col(ident).alias("id"), (F.col(scope) if scope else F.lit(0)).cast("string").alias("scope"),
@@ -68,11 +80,11 @@ def _vectors(df: DataFrame, ident: str, scope: str | None) -> DataFrame:
 
 def _homes(index: DataFrame, pivots) -> DataFrame:
     def place(batches):
-        for pdf in batches:
+        for pdf in _slices(batches, len(pivots.value)):
             m = _unit(pdf["embedding"])
             d = _distances(m, pivots.value)
             cell = d.argmin(1)
-            yield pd.DataFrame({"id": pdf["id"], "scope": pdf["scope"], "cell": cell.astype("int32"),
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "scope": pdf["scope"].to_numpy(), "cell": cell.astype("int32"),
                                 "radius": d[np.arange(len(m)), cell], "vec": list(m)})
     return index.mapInPandas(place, f"id {index.schema['id'].dataType.simpleString()}, scope string, cell int, "
                                     "radius double, vec array<double>")
@@ -108,7 +120,7 @@ def distinct_vectors(df: DataFrame, ident: str, scope: str | None) -> tuple[Data
 
 
 def _range_edges(vectors: DataFrame, t: float, forest: bool, block: int) -> DataFrame | None:
-    pivots = _pivots(vectors)
+    pivots = _pivots(vectors, block)
     if pivots is None:
         return None
     eps = math.sqrt(max(0.0, 2.0 - 2.0 * (t - SLACK)))
@@ -117,13 +129,12 @@ def _range_edges(vectors: DataFrame, t: float, forest: bool, block: int) -> Data
 
     def visit(batches):
         p = pivots.value
-        gap = _distances(p, p)
-        for pdf in batches:
+        for pdf in _slices(batches, len(p)):
             m = np.stack(pdf["vec"].to_numpy())
             d = _distances(m, p)
             home = pdf["cell"].to_numpy()
             own = d[np.arange(len(m)), home][:, None]
-            g = gap[home]
+            g = _distances(p[home], p)
             # distance to the plane between the two pivots bounds the distance to the other cell
             plane = np.divide(d * d - own * own, 2.0 * g, out=np.zeros_like(d), where=g > 0)
             row, cell = np.nonzero(plane <= eps)
@@ -182,6 +193,20 @@ def claim_clusters(df: DataFrame, t: float = V.SAME_MEANING, ident: str = "vec_i
     return components(links, df, "a_id", "b_id", ident)
 
 
+def _near_cells(d: np.ndarray, cells, need: int, reach: float) -> np.ndarray:
+    """Cells that may hold one of the ``need`` nearest members, or anything within ``reach``."""
+    if cells is None:
+        return np.zeros(0, dtype="int64")
+    ids, sizes, radii = cells
+    near = d[ids]
+    order = np.argsort(near + radii)
+    full = np.nonzero(np.cumsum(sizes[order]) >= need)[0]
+    best = math.inf
+    if len(full):       # widened by what rounding to four decimals can hide
+        best = math.sqrt(((near + radii)[order[full[0]]] + SLACK) ** 2 + 4 * SLACK)
+    return ids[near - radii <= min(best, reach)]
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------
 def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id", ident: str = "vec_id",
         scope: str | None = "branch_id", floor: float | None = None, skip_self: bool = False,
@@ -196,37 +221,34 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
     qt = q.schema["id"].dataType.simpleString()
     schema = f"{probe_id} {qt}, {ident} {idt}, score double"
     ix = cut(ix)
-    pivots = _pivots(ix)
+    pivots = _pivots(ix, block)
     if pivots is None:
         return probes.sparkSession.createDataFrame([], schema + ", rank int")
     homes = cut(_homes(ix, pivots))
-    cells = homes.groupBy("scope", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("r"))
-    per_scope = cells.groupBy("scope").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"),
-                                           F.collect_list("r").alias("rs"))
+    many = len(pivots.value) > 1
+    cells: dict = {}
+    if many:        # at most CELL_ROWS rows by the choice of pivots
+        for r in homes.groupBy("scope", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")).collect():
+            cells.setdefault(r["scope"], []).append((r["cell"], r["n"], r["r"]))
+    table = homes.sparkSession.sparkContext.broadcast({
+        sc: tuple(np.asarray(x) for x in zip(*rows)) for sc, rows in cells.items()})
     need = k + (1 if skip_self else 0)
     reach = math.inf if floor is None else math.sqrt(max(0.0, 2.0 - 2.0 * (floor - SLACK)))
 
     def visit(batches):
         p = pivots.value
-        for pdf in batches:
+        for pdf in _slices(batches, len(p)):
             m = _unit(pdf["embedding"])
-            d = _distances(m, p)
-            out_i, out_c = [], []
-            for i, (cs, ns, rs) in enumerate(zip(pdf["cells"], pdf["ns"], pdf["rs"])):
-                cs, ns, rs = np.asarray(cs), np.asarray(ns), np.asarray(rs)
-                near = d[i, cs]
-                order = np.argsort(near + rs)
-                full = np.nonzero(np.cumsum(ns[order]) >= need)[0]
-                best = (near + rs)[order[full[0]]] + SLACK if len(full) else math.inf
-                # a score is rounded to four decimals: widen the bound by what rounding can hide
-                best = math.sqrt(best * best + 4 * SLACK) if best < math.inf else best
-                pick = cs[near - rs <= min(best, reach)]
-                out_i.extend([i] * len(pick))
-                out_c.extend(pick.tolist())
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[out_i], "scope": pdf["scope"].to_numpy()[out_i],
-                                "cell": np.asarray(out_c, dtype="int32"), "vec": [m[i] for i in out_i]})
-    visitors = cut(q.join(per_scope, "scope").select("id", "scope", "embedding", "cells", "ns", "rs").mapInPandas(
-        visit, f"id {qt}, scope string, cell int, vec array<double>"))
+            if many:
+                d = _distances(m, p)
+                picks = [_near_cells(d[i], table.value.get(sc), need, reach) for i, sc in enumerate(pdf["scope"])]
+            else:
+                picks = [np.zeros(1, dtype="int64")] * len(m)
+            row = np.repeat(np.arange(len(m)), [len(c) for c in picks])
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "scope": pdf["scope"].to_numpy()[row],
+                                "cell": np.concatenate(picks).astype("int32") if len(row) else np.zeros(0, dtype="int32"),
+                                "vec": [m[i] for i in row]})
+    visitors = cut(q.mapInPandas(visit, f"id {qt}, scope string, cell int, vec array<double>"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = _sides(pdf)
