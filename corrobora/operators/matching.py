@@ -17,7 +17,7 @@ def _grams(c: Column, n: int) -> Column:
 
 def contains_join(texts: DataFrame, text_id: str, text: Column, keys: DataFrame, key: str,
                   inline_limit: int = KEYS_INLINE) -> DataFrame:
-    """Distinct ``(text_id, key)`` pairs where the text holds the key as a substring. Exact.
+    """``(text_id, key)`` pairs where the text holds the key as a substring. Exact; ``text_id`` is unique.
 
     Few keys (their number is checked): tested inside the row, nothing is shuffled. Many keys: an
     equi-join on one character n-gram per key proposes candidates, which are then verified.
@@ -28,7 +28,7 @@ def contains_join(texts: DataFrame, text_id: str, text: Column, keys: DataFrame,
     if len(few) <= inline_limit:
         if not few:
             return body.select(text_id, F.lit("").alias(key)).limit(0)
-        return body.select(text_id, F.explode(found_literals(F.col("_text"), sorted(few))).alias(key)).distinct()
+        return body.select(text_id, F.explode(found_literals(F.col("_text"), sorted(few))).alias(key))
     return _gram_join(body, text_id, want, key)
 
 

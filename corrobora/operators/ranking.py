@@ -86,8 +86,10 @@ def next_questions(threads: DataFrame, coverage: DataFrame, follow_ups: DataFram
 
 
 def rank_patterns(df: DataFrame) -> DataFrame:
+    """``place`` by verdict, then links, then contact with a known fact; numbered in chunks, never in one task."""
     place = F.coalesce(F.array_position(literals(("unresolved-notable", "supported", "unverified", "debunked")), F.col("verdict")), F.lit(0))
-    return df.orderBy(F.when(place == 0, 5).otherwise(place), F.desc("n_links"), F.desc("touches_fact"), "pattern_id")
+    keyed = df.withColumn("_v", F.when(place == 0, 5).otherwise(place)).withColumn("_l", -F.col("n_links")).withColumn("_t", -F.col("touches_fact"))
+    return row_numbers(keyed, [], ["_v", "_l", "_t", "pattern_id"], "place").drop("_v", "_l", "_t")
 
 
 def ach_table(df: DataFrame) -> DataFrame:

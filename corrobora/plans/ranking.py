@@ -89,9 +89,10 @@ _PAT = """SELECT l_orderkey AS pattern_id, CASE WHEN min(l_returnflag) = 'A' THE
 
 
 @query("E8_rank_patterns", f"""
-    SELECT pattern_id, verdict, n_links, touches_fact FROM ({_PAT}) ORDER BY CASE verdict WHEN 'unresolved-notable' THEN 1 WHEN 'supported' THEN 2 ELSE 4 END, n_links DESC, touches_fact DESC, pattern_id LIMIT 50""")
+    SELECT pattern_id, verdict, n_links, row_number() OVER (ORDER BY CASE verdict WHEN 'unresolved-notable' THEN 1 WHEN 'supported' THEN 2 ELSE 4 END,
+           n_links DESC, touches_fact DESC, pattern_id) AS place FROM ({_PAT})""")
 def _(t):
-    return R.rank_patterns(t.sql(_PAT)).limit(50)
+    return R.rank_patterns(t.sql(_PAT)).select("pattern_id", "verdict", "n_links", "place")
 
 
 @query("E9_ach_table", """

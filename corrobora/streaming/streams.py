@@ -60,10 +60,11 @@ def dedupe_stream(s: DataFrame, keys: list[str], delay: str, ts: str = "ts") ->
     return s.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def tier_stream(assertions: DataFrame) -> DataFrame:
+def tier_stream(assertions: DataFrame, ts: str | None = None, delay: str | None = None) -> DataFrame:
     """Running evidence per claim (update mode): combinable counters only, so tiers can only rise and a
-    contest, once seen, stays."""
-    once = assertions.dropDuplicates(["claim_id", "source_id", "source_type", "stance"])
+    contest, once seen, stays. With ``ts`` and ``delay`` the memory of seen sources expires."""
+    keys = ["claim_id", "source_id", "source_type", "stance"]
+    once = assertions.dropDuplicates(keys) if ts is None else dedupe_stream(assertions, keys, delay, ts)
     model, agree = F.col("source_type") == "llm", F.col("stance") != "contradict"
     per = once.groupBy("claim_id").agg(
         F.count_if(~model & agree).alias("n_other"), F.max((model & agree).cast("long")).alias("n_model"),
