@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corrobora.functions.text import tok, words4
 from corrobora.operators.similarity import knn
-from corrobora.session import cut, one_row
+from corrobora.session import cut, one_row, small_side
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -26,7 +26,8 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "qu
                 doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank) for all queries at once; a repeated query term adds repeatedly.
 
-    Only terms some query uses leave the tokeniser (semi-join before the posting shuffle); term sums are
+    The term weights of the queries are the small side (counted); postings then never move by term, so a
+    word in every document makes no hot task. Only terms some query uses leave the tokeniser (semi-join before the posting shuffle); term sums are
     combined map-side. Scores are rounded before ranking so equal documents tie whatever the sum order.
     """
     qt = (queries.select(query_id, F.explode(tok(F.col(text))).alias("term"))
@@ -43,7 +44,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "qu
               .select(query_id, "term", "s.avgdl", (F.col("qtf") * F.log(
                   1 + (F.col("s.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = (postings.join(weight, "term").groupBy(query_id, "doc_id")
+    scored = (postings.join(small_side(weight), "term").groupBy(query_id, "doc_id")
               .agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0"))
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -33,6 +33,17 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow join side: broadcast once its counted rows are few, otherwise left to a shuffle join."""
+    kept = cut(df)
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(kept)
+    return kept.hint("shuffle_hash")
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: truncates the plan and survives executor loss."""
     sc = df.sparkSession.sparkContext
