@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from corrobora.plans import views
+from corrobora.session import ship
 
 
 @dataclass(frozen=True)
@@ -28,8 +29,10 @@ def query(name: str, oracle: str | None = None, reason: str | None = None):
     def register(fn):
         if name in ENTRIES:
             raise ValueError(f"duplicate query {name}")
-        ENTRIES[name] = Entry(name, lambda spark, sf_dir: fn(views.Tables(spark, sf_dir)),
-                              views.with_views(oracle) if oracle else None, reason)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(views.Tables(spark, sf_dir))
+        ENTRIES[name] = Entry(name, run, views.with_views(oracle) if oracle else None, reason)
         return fn
     return register
 

@@ -5,8 +5,11 @@ iterative job. Both live in the folder the cluster names in ``spark.checkpoint.d
 """
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,6 +31,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: their Python workers import it from there."""
+    sc, here = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_corrobora_shipped", False):
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    folder = Path(tempfile.mkdtemp(prefix="corrobora-ship-"))
+    (folder / "corrobora.zip").write_bytes(held.getvalue())
+    sc.addPyFile(str(folder / "corrobora.zip"))
+    sc._corrobora_shipped = True
+
+
 def one_row(df: DataFrame) -> Column:
     """A single-row aggregate as a scalar subquery, read by field: no join of any kind."""
     return df.select(F.struct(*df.columns)).scalar()
