@@ -26,6 +26,7 @@ from corrobora.operators.graph import components
 BITS = 64
 SEED = 42
 TILE = 16_384           # rows of a bucket that are compared in one task
+ROW_COST = 400          # a row in a bucket costs as much as so many comparisons
 HISTOGRAM_BITS = 16     # widest value whose counts are gathered: at most 65,536 rows for each group of bits
 
 
@@ -166,7 +167,7 @@ def plan(fps: DataFrame, n: int, tau: int) -> list[tuple[list[int], int]]:
                 if own == g:
                     share = np.convolve(share, near_shares(hist[at], len(parts[at]), most))[:most + 1]
             keys = [sum(math.comb(len(bits), d) for d in range(t + 1)) / (1 if t == 0 else 2) for t in range(most + 1)]
-            costs.append([0.0] + [share[:t + 1].sum() * n * n / 2 + 40 * n * keys[t] for t in range(most + 1)])
+            costs.append([0.0] + [share[:t + 1].sum() * n * n / 2 + ROW_COST * n * keys[t] for t in range(most + 1)])
         ts = allot(costs, tau)
         total = sum(c[t + 1] for c, t in zip(costs, ts))
         if total < best[0]:
