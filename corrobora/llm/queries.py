@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corrobora.llm import decontaminate, mixing, quality, secrets, simhash, tokens
+from corrobora.llm import decontaminate, language, mixing, nearest, pages, personal, quality, secrets, simhash, tokens
 from corrobora.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -36,18 +40,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.class_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors["vec_id"] % 100 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_decontamination, op2_secret_scan, op4_token_output, op5_mixing, op6_quality, op9_simhash, pipeline)}
+    op1_decontamination, op2_secret_scan, op3_personal_data, op4_token_output, op5_mixing, op6_quality, op7_class_model, op8_nearest,
+    op9_simhash, op10_page_text, pipeline)}
 
 #: none of these operators can be stated in SQL: models, tilings, codes and components are tested against brute force
 ORACLES: dict[str, str] = {}
