@@ -18,10 +18,12 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,43 +32,77 @@ from corrobora.llm.common import keep, slices, texts_of
 BLOCK = 131_072         # ids in a block at least, unless the part ends
 LANE = 64               # ids between two bit offsets
 LIMIT = 18              # longest code in bits, more if there are too many different ids
-CACHE = 400_000         # pieces of text whose ids a worker remembers
+CACHE = 800_000         # words whose ids a worker remembers, and as many of before
 
 BLOCKS = ("part int, seq int, start long, doc_ids array<long>, doc_sizes array<long>, n_tokens long, "
           "payload binary, lanes binary")
 _RAW = "part int, seq int, pos long, doc_ids array<long>, doc_sizes array<long>, ids binary"
-_EDGE = re.compile(r"(?<=\S) (?=\S)")
+_EDGE = re.compile(r"(?<=\S)([ \n])(?=\S)")
+#: anything but single spaces and line ends between other characters; RE2's own \\s knows ASCII only
+_OTHER_SPACE = "\\t\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_UNEVEN = f"[ \\n][ \\n]|^[ \\n]|[ \\n]$|[{_OTHER_SPACE}]"
 
 
 class Encoder:
-    """Ids of whole texts. This pre-tokeniser never joins text across a single space between two other characters (the
-    space opens the next piece), so pieces between such spaces are encoded once and remembered."""
+    """Ids of whole texts. This pre-tokeniser never joins text across a single space or line end between two other
+    characters: a space opens the next piece, a line end is a piece of one id. So texts are cut there, each different
+    word of a batch is looked up once, and a word's ids are remembered. Texts with other white space are cut at fewer places."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.of_text = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_pieces(t) for t in texts]
-        seen = self.seen
-        new = list({p for ps in split for p in ps if p not in seen})
-        if len(seen) + len(new) > CACHE:
-            seen.clear()
-            new = list({p for ps in split for p in ps})
+        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}       # words after a space, which is theirs, or with the line end before them
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        uneven = np.asarray(pc.or_(pc.match_substring_regex(texts, _UNEVEN), pc.equal(pc.binary_length(texts), 0)))
+        even = texts.filter(pa.array(~uneven))
+        out: list = [None] * len(texts)
+        for at, ids in zip(np.flatnonzero(~uneven).tolist(), self._even(even)):
+            out[at] = ids
+        for at in np.flatnonzero(uneven).tolist():
+            out[at] = self._uneven(texts[at].as_py())
+        return out
+
+    def _even(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        begun = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        split = pc.split_pattern(begun, " ")
+        words = split.flatten().dictionary_encode()
+        ids = self._of_words(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        code = np.asarray(words.indices)
+        n = size[code]
+        end = np.cumsum(n)
+        place = np.repeat(start[code] - (end - n), n)
+        place += np.arange(len(place))
+        got = flat[place]
+        bounds = np.r_[0, end][np.asarray(split.offsets)]
+        return [got[lo + 1:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]    # less the line end put before
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE:              # what isn't asked for again until the next time goes
+            self.old, self.known, new = self.known, {}, words
+        known, old = self.known, self.old
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
         for at in range(0, len(new), 4_096):
             part = new[at:at + 4_096]
-            for p, e in zip(part, self.of_text.encode_batch_fast(part, add_special_tokens=False)):
-                seen[p] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(seen.__getitem__, ps)), np.uint32) for ps in split]
-
+            found = self.of_text.encode_batch_fast([w if w[:1] == "\n" else " " + w for w in part], add_special_tokens=False)
+            known.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
+        return list(map(known.__getitem__, words))
 
-def _pieces(text: str) -> list[str]:
-    if not text:
-        return []
-    first, *rest = _EDGE.split(text)
-    return [first, *[" " + x for x in rest]]
+    def _uneven(self, text: str) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint32)
+        first, *rest = _EDGE.split(text)
+        parts = [first, *(a + b for a, b in zip(rest[::2], rest[1::2]))]
+        found = self.of_text.encode_batch_fast(parts, add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, np.uint32) for e in found])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -104,8 +140,8 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK)
                  pa.array([small.tobytes() if small.dtype == np.uint16 else b"4" + ids.tobytes()], pa.binary())],
                 names=["part", "seq", "pos", "doc_ids", "doc_sizes", "ids"])
         size = 0
-        for b in slices(batches, 500):
-            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
+        for b in slices(batches):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 held.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(doc_id)
                 size += len(ids) + 1
