@@ -28,6 +28,8 @@ SAMPLE = 20_000         # labelled rows that are learned from, at most
 SURE = 6.0              # root of the likelihood ratio by which a token's share must exceed that of the rest
 SLACK = 0.05
 ROUNDS = 60
+REPEAT = 1.0            # a domain is asked for at most so many times the tokens it has
+MOST = 2.0              # highest rate of a document
 _BREAK = r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])"
 
 
@@ -160,14 +162,15 @@ def moved(rate: Column, p: Column, steps: list[list[float]]) -> Column:
     """rate after projected gradient steps, each given by one number for each domain."""
     if not steps:
         return rate
-    return F.aggregate(constant(steps, "array<array<double>>"), rate, lambda r, g: F.greatest(
-        F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+    return F.aggregate(constant(steps, "array<array<double>>"), rate, lambda r, g: F.least(F.lit(MOST), F.greatest(
+        F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))))
 
 
 def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor: int | None = None, rounds: int = ROUNDS,
               tolerance: float = 1e-4) -> list[list[float]]:
     """Gradient steps from rate 1. members: __tokens, __p. weights: the domains' target shares; the total is what lets
-    the anchor domain keep its expected tokens (without one: the tokens there are)."""
+    the anchor domain keep its expected tokens (without one: the tokens there are). No domain is asked for more than
+    REPEAT times what it has, and no rate passes MOST, so a domain of few tokens isn't repeated beyond measure."""
     k = range(n_domains)
     if not n_domains:
         return []
@@ -176,7 +179,7 @@ def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor:
     have = [sums[f"s{i}"] or 0.0 for i in k]
     share = [w / (sum(weights) or 1.0) for w in weights]
     total = sum(have) if anchor is None or not share[anchor] else have[anchor] / share[anchor]
-    goal = [share[i] * total for i in k]
+    goal = [min(share[i] * total, REPEAT * have[i]) for i in k]
     # residuals are weighed by the inverse Gram matrix, so the squared error is as steep in every direction and a whole
     # step is safe: without the bound at zero, one step would be enough
     gram = [[(sums[f"g{i}_{j}"] or 0.0) for j in k] for i in k]
