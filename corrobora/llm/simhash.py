@@ -60,12 +60,14 @@ def fingerprint(text: bytes, k: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, fp (the 64 bits as a signed long), text_hash (what xxhash64 of the text gives)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fps = np.fromiter((fingerprint(t, k) for t in utf8(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+            texts = utf8(b.column(1))
+            fps = np.fromiter((fingerprint(t, k) for t in texts), np.uint64, b.num_rows)
+            own = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(own.view(np.int64))], names=["doc_id", "fp", "text_hash"])
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -296,25 +298,28 @@ def near_links(reps: DataFrame, tau: int = 4, tile: int = TILE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, tau: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text",
                     tile: int = TILE) -> DataFrame:
-    """doc_id, fp, component_id: one row for every row of docs."""
+    """doc_id, fp, text_hash, component_id: one row for every row of docs."""
     fps = keep(fingerprints(docs, k, id_col, text_col), "fingerprints")
     reps = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "reps")
     links = keep(near_links(reps, tau, tile), "links")
     nodes = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).distinct()
     linked = components(links, nodes, "a", "b", "rep")
     home = reps.join(linked, "rep", "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(home, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "component_id")
+    return fps.join(home, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents whose id names their component: one of each group of near copies. Where an id stands in several
-    rows, one of the rows stays (the smallest text); rows without an id all stay, as nothing names them."""
+    rows, one of those in the component stays; rows without an id all stay, as nothing names them."""
     found = keep(near_duplicates(docs, **how), "components")
-    kept = keep(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")), "kept")
+    names = F.col("doc_id") == F.col("component_id")
+    kept = keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(names).alias("__named"), F.count("*").alias("__rows"), F.min(F.when(names, F.col("text_hash"))).alias("__hash"))
+                .filter("__named > 0"), "kept")
     cols, own = docs.columns, docs.join(kept, docs["doc_id"] == kept["__id"])
     out = own.filter("__rows = 1").select(*[docs[c] for c in cols])
     if not kept.filter("__rows > 1").isEmpty():
-        same = own.filter("__rows > 1").groupBy("__id").agg(
-            F.min_by(F.struct(*[docs[c] for c in cols]), F.coalesce(docs["text"], F.lit(""))).alias("__row"))
+        text = F.coalesce(docs["text"], F.lit(""))
+        same = own.filter((F.col("__rows") > 1) & (F.xxhash64(text) == F.col("__hash"))).groupBy("__id").agg(
+            F.min_by(F.struct(*[docs[c] for c in cols]), text).alias("__row"))
         out = out.unionByName(same.select("__row.*"))
     return out.unionByName(docs.filter(docs["doc_id"].isNull()))
