@@ -27,8 +27,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{7,}(?![A-Za-z0-9+/_=-])"
 SAMPLE = 5_000          # documents that the samples are taken from, about
-LEAST = 20.0            # log-likelihood ratio of a secret, in nats
-LEAST_MEAN = 0.5        # and for each character
+LEAST = 40.0            # log-likelihood ratio of a secret, in nats
+LEAST_MEAN = 1.8        # and for each character
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -58,7 +58,7 @@ def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- models
 
-def train(samples: DataFrame, alpha: float = 1.0) -> list[float]:
+def train(samples: DataFrame, alpha: float = 0.2) -> list[float]:
     """samples: text, random (boolean). The log-likelihood ratio of every two following characters, as one table."""
     n = len(ALPHABET) + 1                                             # place 0: before the first character
     codes = F.filter(F.transform(F.split("text", ""), lambda c: F.instr(F.lit(ALPHABET), c)), lambda c: c > 0)
