@@ -17,6 +17,7 @@ rows count as often as they stand; without training tokens every token is the un
 """
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -47,7 +48,8 @@ def blocks_of(docs: DataFrame, fold: int, held_out: int, size: int = BLOCK) -> D
         part, seq = TaskContext.get().partitionId(), 0
 
         def fresh():
-            number: dict[bytes, int] = {b"": 0}
+            number: dict[bytes, int] = defaultdict(count(1).__next__)       # an unknown word takes the next number
+            number[b""] = 0
             return number, [], [], [], 0
         number, ids, held, codes, taken = fresh()
 
@@ -66,9 +68,6 @@ def blocks_of(docs: DataFrame, fold: int, held_out: int, size: int = BLOCK) -> D
             for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 words = text.lower().split()                # bytes: A-Z only; splits at \x20 and \x09-\x0D only
                 words.append(b"")
-                new = dict.fromkeys(words).keys() - number.keys()
-                if new:
-                    number.update(zip(sorted(new), count(len(number))))
                 ids.append(doc_id)
                 held.append(crc_mod_py(doc_id, fold) == held_out)
                 codes.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
@@ -88,7 +87,8 @@ def _codes(raw: bytes, tokens: int) -> np.ndarray:
 
 def with_counts(blocks: DataFrame, least: float) -> DataFrame:
     """Blocks with the count of each word over all training documents, in the order of the word list (int64), and the
-    words whose count is at least ``least`` with their places; ``n_known``: known words that no earlier block has. A word has one row for each block that holds it."""
+    words whose count is at least ``least`` with their places; ``n_known``: known words that no earlier block has. A word
+    has one row for each block that holds it."""
     rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select(
         "block", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     of_word = Window.partitionBy("word")
