@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 
 from corrobora.functions import vocab as V
 from corrobora.functions.text import (
-    any_literal, find_all, first_words, found_literals, has_any, literals, lookup, matches, squash, word_count, words)
+    any_literal, find_all, first_words, found_literals, has_any, literals, lookup, matches, once, squash, word_count, words)
 
 
 # --- evidence weight -------------------------------------------------------------------------------
@@ -146,19 +146,17 @@ def bad_question(c: Column) -> Column:
 
 def target_domains(c: Column) -> Column:
     """Sorted union of the curated domains of every topic whose keywords occur in the text."""
-    q = F.lower(c)
     none = F.array().cast("array<string>")
-    picked = [F.when(has_any(q, keys), literals(doms)).otherwise(none)
-              for keys, doms in V.REGISTRY.values()]
-    return F.array_sort(F.array_distinct(F.concat(*picked)))
+    picked = lambda q: F.concat(*[F.when(has_any(q, keys), literals(doms)).otherwise(none) for keys, doms in V.REGISTRY.values()])
+    return F.array_sort(F.array_distinct(once(F.lower(c), picked)))
 
 
 def sensitive_topic(c: Column) -> Column:
-    return has_any(F.lower(c), V.SENSITIVE_KEYS)
+    return once(F.lower(c), lambda q: has_any(q, V.SENSITIVE_KEYS))
 
 
 def looks_scientific(c: Column) -> Column:
-    return has_any(F.lower(c), V.SCIENCE_KEYS)
+    return once(F.lower(c), lambda q: has_any(q, V.SCIENCE_KEYS))
 
 
 def is_meta(c: Column) -> Column:
@@ -169,13 +167,13 @@ def _distinct_angles(angles) -> list[str]:
     return list({" ".join(a.lower().split()): " ".join(a.split()) for a in reversed(angles) if a.strip()}.values())[::-1]
 
 
-def person_queries(name: Column, context: Column, angles=V.PERSON_ANGLES, cap: int = 8) -> Column:
+def person_queries(name: Column, context: Column, angles=V.PERSON_ANGLES, cap: int | None = None) -> Column:
     """Array of name × angle searches: the bare name first, then each angle with the context."""
     n, ctx = squash(name), F.substring(squash(context), 1, 40)
     base = F.trim(F.when(ctx == "", n).otherwise(F.concat(n, F.lit(" "), ctx)))
     # one base with distinct angles gives distinct queries, so repeats are removed from the angles
     queries = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in _distinct_angles(angles)])
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.slice(queries, 1, cap))
+    return F.when(n == "", F.array().cast("array<string>")).otherwise(queries if cap is None else F.slice(queries, 1, cap))
 
 
 def qualify(query: Column, place: Column, when: Column) -> Column:
@@ -227,13 +225,13 @@ def disambiguator(role: Column, employer: Column, place: Column, max_words: int
 
 
 def retry_queries(name: Column, phrase: Column, born: Column, died: Column, angles=V.RETRY_ANGLES,
-                  cap: int = 4) -> Column:
+                  cap: int | None = None) -> Column:
     part = lambda c: F.nullif(c, F.lit(""))
     n = F.trim(F.coalesce(name, F.lit("")))
     base = F.concat_ws(" ", part(n), part(phrase), F.coalesce(died, born).cast("string"))
     base = squash(base)
     out = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in _distinct_angles(angles)])
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.slice(out, 1, cap))
+    return F.when(n == "", F.array().cast("array<string>")).otherwise(out if cap is None else F.slice(out, 1, cap))
 
 
 def proper_names(c: Column) -> Column:

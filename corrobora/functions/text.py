@@ -41,6 +41,11 @@ def has_any(c: Column, needles) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def found_literals(c: Column, needles) -> Column:
     """The needles that occur in the text. No lambda, so the text expression is evaluated once."""
     return F.array_compact(F.array(*[F.when(F.contains(c, F.lit(n)), F.lit(n)) for n in needles]))

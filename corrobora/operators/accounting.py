@@ -52,12 +52,13 @@ def coverage_audit(findings: DataFrame, read: DataFrame) -> DataFrame:
         "pct_lost", F.bround(100.0 * F.col("unread") / F.col("gathered"), 1))
 
 
-def strongest_unread(findings: DataFrame, read: DataFrame, k: int = 15) -> DataFrame:
+def strongest_unread(findings: DataFrame, read: DataFrame, k: int | None = None) -> DataFrame:
     """Well-supported findings nothing read, best corroborated first, with their total."""
     un = findings.join(read.select("finding_id"), "finding_id", "left_anti").filter(
         F.col("confidence_tier").isin("Accepted", "Moderately Accepted"))
     n = un.agg(F.count("*").alias("n_total"))
-    top = un.orderBy(F.desc("corroboration_count"), "finding_id").limit(k)
+    top = un.orderBy(F.desc("corroboration_count"), "finding_id")
+    top = top if k is None else top.limit(k)
     return top.select("finding_id", "confidence_tier", "corroboration_count", one_row(n)["n_total"].alias("n_total"))
 
 

@@ -24,6 +24,15 @@ def family_bit(source_type: Column) -> Column:
     return bits
 
 
+def family_bits(source_type: Column) -> Column:
+    """No bit for an unknown type: it neither adds a family nor counts as one."""
+    return F.when(source_type.isNotNull(), family_bit(source_type)).otherwise(0)
+
+
+def is_model(source_type: Column) -> Column:
+    return F.coalesce(source_type == "llm", F.lit(False))
+
+
 def evidence_tiers(assertions: DataFrame) -> DataFrame:
     """(claim_id, weight, n_families, contested, confidence_tier).
 
@@ -32,13 +41,12 @@ def evidence_tiers(assertions: DataFrame) -> DataFrame:
     """
     contra = (F.col("stance") == "contradict").cast("int")
     distinct = assertions.groupBy("claim_id", "source_id", "source_type").agg(F.max(contra).alias("c"))
-    model = F.col("source_type") == "llm"
+    model = is_model(F.col("source_type"))
     per = distinct.groupBy("claim_id").agg(
-        (F.count_if(F.coalesce(~model, F.lit(True))) + F.max(F.coalesce(model, F.lit(False)).cast("long"))).alias("weight"),
-        F.bit_or(F.when(F.col("source_type").isNotNull(), family_bit(F.col("source_type"))).otherwise(0)).alias("fam"),
+        (F.count_if(~model) + F.max(model.cast("long"))).alias("weight"), F.bit_or(family_bits(F.col("source_type"))).alias("fam"),
         F.max(F.col("source_type").isNotNull()).alias("typed"), F.max("c").alias("c"))
     families = F.when(F.col("typed"), F.bit_count("fam"))
-    return per.select("claim_id", "weight", families.alias("n_families"), (F.col("c") == 1).alias("contested"),
+    return per.select("claim_id", "weight", families.alias("n_families"), F.coalesce(F.col("c") == 1, F.lit(False)).alias("contested"),
                       F.when(F.col("c") == 1, V.CONTESTED).otherwise(
                           X.gated_tier(F.col("weight"), families)).alias("confidence_tier"))
 
@@ -167,7 +175,7 @@ def apply_nest(nodes: DataFrame, children: DataFrame, nests: DataFrame, new: Dat
     parents = nodes.join(add.select("finding_id").distinct(), "finding_id", "left_semi")
     seeds = (parents.join(children.select("finding_id").distinct(), "finding_id", "left_anti")
              .select("finding_id", F.col("finding_id").alias("child_id"), "claim"))
-    every = children.unionByName(seeds).unionByName(add)
+    every = children.unionByName(seeds).unionByName(add).dropDuplicates(["finding_id", "child_id"])   # a replay adds nothing
     n = every.join(add.select("finding_id").distinct(), "finding_id", "left_semi").groupBy("finding_id").agg(F.count("*").alias("n"))
     tier = _sticky(F.col("confidence_tier"), X.tier_for_count(F.col("n")), sticky_contested)
     out = nodes.join(n, "finding_id", "left")

@@ -23,33 +23,41 @@ def bm25_index(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", text: str = "text",
-                doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank) for all queries at once; a repeated query term adds repeatedly.
+                doc_id: str = "doc_id", doc_text: str = "text", skip_own_text: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank) for all queries at once; a repeated query term adds repeatedly. With
+    ``skip_own_text`` documents of the query's own text (case and outer blanks aside) never count.
 
     The term weights of the queries are the small side (counted); postings then never move by term, so a
     word in every document makes no hot task. Only terms some query uses leave the tokeniser (semi-join before the posting shuffle); term sums are
     combined map-side. Scores are rounded before ranking so equal documents tie whatever the sum order.
     """
-    qt = (queries.select(query_id, F.explode(tok(F.col(text))).alias("term"))
-          .groupBy(query_id, "term").agg(F.count("*").alias("qtf")))
+    said = lambda c: own_text(F.col(c)) if skip_own_text else F.lit(0).cast("long")
+    qt = (queries.select(query_id, said(text).alias("own"), F.explode(tok(F.col(text))).alias("term"))
+          .groupBy(query_id, "own", "term").agg(F.count("*").alias("qtf")))
     wanted = qt.select("term").distinct()
-    toks = docs.select(F.col(doc_id).alias("doc_id"), tok(F.col(doc_text)).alias("toks"))
+    toks = docs.select(F.col(doc_id).alias("doc_id"), said(doc_text).alias("said"), tok(F.col(doc_text)).alias("toks"))
     stats = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    postings = (toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    postings = (toks.select("doc_id", "said", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .join(wanted, "term", "left_semi")
-                .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+                .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("said").alias("said")))
     postings = cut(postings)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weight = (qt.join(df, "term").withColumn("s", one_row(stats))
-              .select(query_id, "term", "s.avgdl", (F.col("qtf") * F.log(
+              .select(query_id, "own", "term", "s.avgdl", (F.col("qtf") * F.log(
                   1 + (F.col("s.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = (postings.join(small_side(weight), "term").groupBy(query_id, "doc_id")
+    met = postings.join(small_side(weight), "term")
+    scored = ((met.filter("own <> said") if skip_own_text else met).groupBy(query_id, "doc_id")
               .agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0"))
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def own_text(c):
+    """What a text says, as one number: case and outer blanks aside."""
+    return F.xxhash64(F.lower(F.trim(F.coalesce(c, F.lit("")))))
+
+
 def rrf(ranked: list[DataFrame], weights: list[float], top: int, query_id: str = "query_id",
         ident: str = "doc_id") -> DataFrame:
     """Weighted reciprocal-rank fusion of ranked lists (rank counted from 1 in the inputs)."""
@@ -63,11 +71,16 @@ def rrf(ranked: list[DataFrame], weights: list[float], top: int, query_id: str =
     return fused.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Vector and BM25 lists of 4k fused 1:2; a hit only the words found reports similarity 0.0."""
-    dense = knn(queries.withColumnRenamed("query_id", "probe_id"), vectors, 4 * k, scope=None)
+def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, skip_own_text: bool = False) -> DataFrame:
+    """Vector and BM25 lists of 4k fused 1:2; a hit only the words found reports similarity 0.0. With ``skip_own_text``
+    documents that say what the query says are in neither list."""
+    skip = None
+    if skip_own_text:
+        vectors = vectors.join(docs.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("_said")), "vec_id", "left")
+        skip = (own_text(F.col("text")), own_text(F.col("_said")))
+    dense = knn(queries.withColumnRenamed("query_id", "probe_id"), vectors, 4 * k, scope=None, skip=skip)
     dense = cut(dense.select(F.col("probe_id").alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "rank"))
-    words = bm25_search(queries, docs, 4 * k)
+    words = bm25_search(queries, docs, 4 * k, skip_own_text=skip_own_text)
     fused = rrf([dense, words], [1.0, 2.0], k)
     return (fused.join(dense.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left")
             .withColumn("score", F.coalesce("score", F.lit(0.0))))

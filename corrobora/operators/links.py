@@ -7,6 +7,7 @@ from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import literals, sig_tokens, squash, word_count, words
 from corrobora.operators.lexical import hybrid, known_claims
 from corrobora.operators.matching import contains_join
+from corrobora.operators.ordering import row_numbers
 from corrobora.operators.people import with_conflict, with_facts
 
 
@@ -52,7 +53,7 @@ def relevant_feeds(topics: DataFrame, feeds: DataFrame) -> DataFrame:
     return t.join(f, "w").select("topic_id", "feed_id").distinct()
 
 
-def matching_episodes(episodes: DataFrame, tokens: DataFrame, max_eps: int | None = 3) -> DataFrame:
+def matching_episodes(episodes: DataFrame, tokens: DataFrame, max_eps: int | None = None) -> DataFrame:
     """Episodes mentioning a case token, newest first per show; the whole list is searched, only the
     expensive follow-up is capped. No tokens at all keeps every episode."""
     low = F.lower(F.regexp_replace("text", "<[^>]+>", " "))
@@ -61,11 +62,10 @@ def matching_episodes(episodes: DataFrame, tokens: DataFrame, max_eps: int | Non
     else:
         hit = contains_join(episodes, "episode_id", low, tokens, "token").select("episode_id").distinct()
         kept = episodes.join(hit, "episode_id", "left_semi")
-    if max_eps is None:
-        return kept
     rank = F.row_number().over(W.partitionBy("show").orderBy("episode_id"))
     n = kept.groupBy("show").agg(F.count("*").alias("n_total"))
-    return kept.withColumn("rank", rank).filter(F.col("rank") <= max_eps).join(n, "show")
+    ranked = row_numbers(kept, ["show"], ["episode_id"], "rank") if max_eps is None else kept.withColumn("rank", rank).filter(F.col("rank") <= max_eps)
+    return ranked.join(n, "show")
 
 
 def verify_queue(findings: DataFrame, limit: int | None = None) -> DataFrame:
@@ -77,12 +77,7 @@ def verify_queue(findings: DataFrame, limit: int | None = None) -> DataFrame:
 
 def verify_evidence(claims: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 6) -> DataFrame:
     """The k best other texts to check a claim against; its own text is no evidence for it."""
-    hits = hybrid(claims, docs, vectors, k + 2)
-    said = claims.select("query_id", F.lower(F.trim("text")).alias("_own"))
-    other = (hits.join(said, "query_id").join(docs.select("doc_id", F.lower(F.trim("text")).alias("_text")), "doc_id")
-             .filter("_own <> _text"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    return other.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "doc_id", "place", "score")
+    return hybrid(claims, docs, vectors, k, skip_own_text=True).select("query_id", "doc_id", F.col("rank").alias("place"), "score")
 
 
 def verify_tally(targets: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -120,16 +115,15 @@ def anchors(payloads: DataFrame, cards: DataFrame, case_anchor: str) -> DataFram
             .withColumn("anchor", F.coalesce(F.nullif("phrase", F.lit("")), F.lit(case_anchor))).drop("key", "phrase"))
 
 
-def review_queue(cited: DataFrame, reviewed: DataFrame, per_batch: int | None = 3) -> DataFrame:
-    """Cited domains neither pre-vetted nor reviewed yet, first cited first, a few per batch."""
+def review_queue(cited: DataFrame, reviewed: DataFrame, per_batch: int | None = None) -> DataFrame:
+    """Cited domains neither pre-vetted nor reviewed yet, first cited first; ``n_total`` counts a batch's."""
     trusted = sorted({d for _, doms in V.REGISTRY.values() for d in doms})
     seen = (cited.withColumn("domain", X.domain_of(F.col("url"))).filter((F.col("domain") != "") & ~F.col("domain").isin(trusted))
             .groupBy("batch", "domain").agg(F.min("pos").alias("pos")))
     new = seen.join(reviewed.select("domain").distinct(), "domain", "left_anti")
-    if per_batch is None:
-        return new
     rank = F.row_number().over(W.partitionBy("batch").orderBy("pos", "domain"))
-    return new.withColumn("rank", rank).filter(F.col("rank") <= per_batch)
+    ranked = row_numbers(new, ["batch"], ["pos", "domain"], "rank") if per_batch is None else new.withColumn("rank", rank).filter(F.col("rank") <= per_batch)
+    return ranked.join(new.groupBy("batch").agg(F.count("*").alias("n_total")), "batch")
 
 
 def apply_gate(leads: DataFrame, grades: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def _contained_either_way(names: DataFrame, known: DataFrame) -> DataFrame:
     return inside.union(outside).distinct()
 
 
-def missing_entities(canonical: DataFrame, roster: DataFrame, cap: int | None = 20) -> DataFrame:
+def missing_entities(canonical: DataFrame, roster: DataFrame, cap: int | None = None) -> DataFrame:
     """Canonical names no roster name matches; ``n_total`` tells how many there are before the cap."""
     c = canonical.select(F.lower(squash(F.col("name"))).alias("name")).distinct()
     r = roster.select(F.lower(squash(F.col("name"))).alias("name")).distinct()

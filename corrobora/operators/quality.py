@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import udtf
 
 from corrobora.functions import exprs as X, vocab as V
-from corrobora.functions.text import find_all, found_literals, matches, squash, tok, word_count, words, words4
+from corrobora.functions.text import find_all, found_literals, matches, once, squash, tok, word_count, words, words4
 from corrobora.operators.accounting import monoculture, tallies
 from corrobora.session import cut
 
@@ -39,7 +39,7 @@ def voice_lint(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Violation rows (kind, detail): banned phrases, long questions, openers without a concrete anchor."""
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
-    phrases = found_literals(low, V.BANNED_PHRASES)
+    phrases = once(low, lambda q: found_literals(q, V.BANNED_PHRASES))
     questions = F.filter(F.transform(find_all(t, r"(?<![^.!?])[^.!?]*+\?"), lambda q: F.trim(q)), lambda q: F.length(q) > 12)
     first = F.get(F.split(F.trim(t), r"\."), 0)
     anchored = F.substring(first, 4, 2**31 - 1).rlike(r"\b[A-Z][a-z]{2,}|\b\d+\b") | matches(first, V.NUMBER_WORD_ANCHOR)
@@ -141,7 +141,7 @@ def challenge(artifacts: DataFrame, samples: DataFrame) -> DataFrame:
                     F.when(z("n_samples") == 0, "escalate").when(flags > 0, "fail").otherwise("pass").alias("verdict")))
 
 
-def grounded(suggestions: DataFrame, cases: DataFrame, cap: int = 3, by: str = "case_id") -> DataFrame:
+def grounded(suggestions: DataFrame, cases: DataFrame, cap: int | None = None, by: str = "case_id") -> DataFrame:
     """Suggested questions whose capitalised words touch the case at least once; usable, distinct, capped."""
     s = suggestions.join(cases.select(by, F.lower("case_text").alias("_case")), by).withColumn("q", squash(F.col("text")))
     caps = F.filter(find_all(F.col("q"), r"\b[A-Z][a-z]{2,}\b"), lambda w: ~F.lower(w).isin(*V.STOP_CAPS))
@@ -150,7 +150,9 @@ def grounded(suggestions: DataFrame, cases: DataFrame, cap: int = 3, by: str = "
     first = ok.groupBy(by, F.lower("q").alias("k")).agg(F.min(F.struct("pos", "q")).alias("m"))
     total = first.groupBy(by).agg(F.count("*").alias("n_total"))
     rank = F.row_number().over(W.partitionBy(by).orderBy("m"))
-    return first.withColumn("rank", rank).filter(F.col("rank") <= cap).join(total, by).select(by, "rank", F.col("m.q").alias("q"), "n_total")
+    ranked = first.withColumn("rank", rank)
+    ranked = ranked if cap is None else ranked.filter(F.col("rank") <= cap)
+    return ranked.join(total, by).select(by, "rank", F.col("m.q").alias("q"), "n_total")
 
 
 # --- hooks -----------------------------------------------------------------------------------------

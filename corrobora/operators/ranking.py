@@ -7,6 +7,7 @@ from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import literals, squash
 from corrobora.operators.ordering import row_numbers
 from corrobora.operators.people import entity_hits
+from corrobora.session import one_row
 
 
 def top_corroborated(hits: DataFrame, k: int, by: str = "probe_id") -> DataFrame:
@@ -21,10 +22,11 @@ def budget_cut(df: DataFrame, budget: int, by: str = "label", overhead: int = 4)
     taken by a partial top-k first, and the running sum never sees an unbounded bucket.
     """
     size = F.length("claim") + overhead
+    least = max(1, overhead)        # blank claims without overhead are free: as many as there are characters are read
     order = W.partitionBy(by).orderBy(F.desc("corroboration_count"), "finding_id")
     total = df.groupBy(by).agg(F.count("*").alias("n_total"))
     short = (df.select("finding_id", by, "corroboration_count", size.cast("long").alias("_s"))
-             .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= budget // overhead + 1))
+             .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= budget // least + 1))
     run = short.withColumn("used", F.sum("_s").over(order.rowsBetween(W.unboundedPreceding, 0)))
     kept = run.filter(F.col("used") <= budget).select("finding_id", by, "used")
     n = kept.groupBy(by).agg(F.count("*").alias("n_kept"))
@@ -51,6 +53,7 @@ def ordered_distinct(sources: list[DataFrame], cap: int | None = None, key: str
         rows = rows.unionByName(s)
     first = rows.filter(squash(F.col("item")) != "").groupBy("item").agg(F.min(F.struct("prio", "pos")).alias("m"))
     out = first.select("item", "m.prio", "m.pos").orderBy("prio", "pos", "item")
+    out = out.withColumn("n_total", one_row(first.agg(F.count("*").alias("n")))["n"])
     return out if cap is None else out.limit(cap)
 
 
@@ -62,8 +65,9 @@ def rotate_angles(entities: DataFrame, templates=V.LEAD_TEMPLATES, order: str =
 
 
 def open_threads(coverage: DataFrame, hypotheses: DataFrame, ledger: DataFrame, anomalies: DataFrame,
-                 cap: int | None = 15) -> DataFrame:
-    """Unresolved questions in order of origin: uncovered leads, live hypotheses, unsettled claims, anomalies."""
+                 cap: int | None = None) -> DataFrame:
+    """Unresolved questions in order of origin: uncovered leads, live hypotheses, unsettled claims, anomalies;
+    ``n_total`` counts them all."""
     say = lambda df, prefix, col, pos: df.select(F.concat(F.lit(prefix), F.col(col)).alias("item"), F.col(pos).alias("pos"))
     live = hypotheses.filter(F.lower(F.trim("verdict")).isin("survives", "weakened"))
     unsettled = ledger.filter(F.lower("verdict").isin("unproven", "contested", "hearsay"))
@@ -74,15 +78,20 @@ def open_threads(coverage: DataFrame, hypotheses: DataFrame, ledger: DataFrame,
         say(anomalies, "Anomaly not put to rest: ", "anomaly", "pos")], cap)
 
 
-def next_questions(threads: DataFrame, coverage: DataFrame, follow_ups: DataFrame, rich: int = 4) -> DataFrame:
-    """Unresolved threads first, then follow-ups of the richest leads; unusable questions and repeats drop out."""
-    top = (coverage.filter("covered = 1").orderBy(F.desc("findings"), "lead_id").limit(rich).select("lead_id", "findings"))
-    fu = follow_ups.join(top, "lead_id").select(squash(F.col("text")).alias("q"), F.lit(1).alias("prio"),
-                                                             (-F.col("findings")).alias("pos"), "lead_id")
-    th = threads.select(squash(F.col("item")).alias("q"), F.lit(0).alias("prio"), F.col("pos").alias("pos"), F.lit(0).cast("long").alias("lead_id"))
+def next_questions(threads: DataFrame, coverage: DataFrame, follow_ups: DataFrame, rich: int | None = None) -> DataFrame:
+    """Unresolved threads first, then follow-ups of the ``rich`` leads with most findings (all, by default); unusable
+    questions and repeats drop out. ``n_total`` counts what all leads would give."""
+    covered = coverage.filter("covered = 1").select("lead_id", "findings")
+    top = covered if rich is None else covered.orderBy(F.desc("findings"), "lead_id").limit(rich)
+    chosen = top.select("lead_id", F.lit(True).alias("_top"))
+    fu = follow_ups.join(covered, "lead_id").join(chosen, "lead_id", "left").select(squash(F.col("text")).alias("q"), F.lit(1).alias("prio"),
+                                                             (-F.col("findings")).alias("pos"), "lead_id",
+                                          F.coalesce("_top", F.lit(False)).alias("_top"))
+    th = threads.select(squash(F.col("item")).alias("q"), F.lit(0).alias("prio"), F.col("pos").alias("pos"), F.lit(0).cast("long").alias("lead_id"), F.lit(True).alias("_top"))
     ok = th.unionByName(fu).filter((F.col("q") != "") & (X.bad_question(F.col("q")) == ""))
-    return (ok.groupBy(F.lower("q").alias("k")).agg(F.min(F.struct("prio", "pos", "lead_id", "q")).alias("m"))
-            .select("m.q", "m.prio", "m.pos").orderBy("prio", "pos", "q"))
+    per = ok.groupBy(F.lower("q").alias("k")).agg(F.min(F.when(F.col("_top"), F.struct("prio", "pos", "lead_id", "q"))).alias("m"))
+    total = one_row(per.agg(F.count("*").alias("n")))["n"]
+    return per.filter("m IS NOT NULL").select("m.q", "m.prio", "m.pos", total.alias("n_total")).orderBy("prio", "pos", "q")
 
 
 def rank_patterns(df: DataFrame) -> DataFrame:
@@ -95,7 +104,7 @@ def rank_patterns(df: DataFrame) -> DataFrame:
 def ach_table(df: DataFrame) -> DataFrame:
     """Competing hypotheses, fewest disconfirming items first; unknown verdicts read as weakened."""
     v = X.within(F.col("verdict"), V.HYPOTHESIS_VERDICTS, "weakened")
-    d = df.withColumn("verdict", v).withColumn("n_disconfirming", F.least(F.size("disconfirming"), F.lit(5)))
+    d = df.withColumn("verdict", v).withColumn("n_disconfirming", F.size("disconfirming"))
     smaller = d.groupBy("n_disconfirming").agg(F.count("*").alias("c"))
     # competition rank from the few distinct counts: no global sort of the hypotheses
     rank = smaller.withColumn("rank", F.coalesce(F.sum("c").over(
@@ -103,11 +112,15 @@ def ach_table(df: DataFrame) -> DataFrame:
     return d.join(rank, "n_disconfirming")
 
 
-def frontier(coverage: DataFrame, asked: DataFrame, per_round: int = 8, cap: int | None = 14) -> DataFrame:
-    """Richest unasked covered leads per round, with a total cap."""
+def frontier(coverage: DataFrame, asked: DataFrame, per_round: int | None = None, cap: int | None = None) -> DataFrame:
+    """Richest unasked covered leads per round; ``n_total`` counts a round's before any cut."""
     new = coverage.filter("covered = 1").join(asked.select("lead_id"), "lead_id", "left_anti")
     rank = F.row_number().over(W.partitionBy("round_n").orderBy(F.desc("findings"), "lead_id"))
-    top = new.withColumn("rank", rank).filter(F.col("rank") <= per_round)
+    if per_round is None:
+        top = row_numbers(new.withColumn("_f", -F.col("findings")), ["round_n"], ["_f", "lead_id"], "rank").drop("_f")
+    else:
+        top = new.withColumn("rank", rank).filter(F.col("rank") <= per_round)
+    top = top.join(new.groupBy("round_n").agg(F.count("*").alias("n_total")), "round_n")
     return top if cap is None else top.orderBy("round_n", "rank").limit(cap)
 
 

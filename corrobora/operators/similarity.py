@@ -71,10 +71,12 @@ def _slices(batches, n_pivots: int):
             yield pdf.iloc[at:at + step]
 
 
-def _vectors(df: DataFrame, ident: str, scope: str | None) -> DataFrame:
-    """Uniform shape (id, scope, embedding); vectors without direction match nothing."""
+def _vectors(df: DataFrame, ident: str, scope: str | None, key: Column | None = None) -> DataFrame:
+    """Uniform shape (id, scope, embedding), with ``key`` if rows of one key are never to meet; vectors without
+    direction match nothing."""
     out = df.select(F.col(ident).alias("id"), (F.col(scope) if scope else F.lit(0)).cast("string").alias("scope"),
-                    F.col("embedding").cast("array<double>").alias("embedding"))
+                    F.col("embedding").cast("array<double>").alias("embedding"),
+                    *([] if key is None else [F.coalesce(F.xxhash64(key), F.lit(0)).alias("key")]))
     return out.filter(F.exists("embedding", lambda x: x != 0))
 
 
@@ -97,7 +99,7 @@ def _tiles(homes: DataFrame, visitors: DataFrame, block: int) -> DataFrame:
              .join(visitors.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("nv")), on))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["scope", "cell", "hc", "vc", "side", "id", "vec"]
+    cols = ["scope", "cell", "hc", "vc", "side", "id", "vec", *(["key"] if "key" in homes.columns else [])]
     h = homes.join(sizes, on).withColumn("hc", spread("nh")).withColumn("vc", upto("nv")).withColumn("side", F.lit(0))
     v = visitors.join(sizes, on).withColumn("vc", spread("nv")).withColumn("hc", upto("nh")).withColumn("side", F.lit(1))
     return h.select(cols).unionByName(v.select(cols)).groupBy("scope", "cell", "hc", "vc")
@@ -177,7 +179,9 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 def sim_pairs(df: DataFrame, t: float, ident: str = "vec_id", scope: str | None = "branch_id",
               block: int = BLOCK) -> DataFrame:
-    """(a_id, b_id, score) with a < b and cosine >= t, over distinct vectors; copies hang off their first id."""
+    """(a_id, b_id, score) with a < b and cosine >= t, between classes of equal vectors, each named by its smallest id;
+    the other members of a class hang off that id with score 1. No link between different vectors is lost, and a
+    class of any size adds one row a member, not all its pairs."""
     distinct, copies = distinct_vectors(df, ident, scope)
     edges = _range_edges(cut(distinct), t, False, block)
     stars = copies.withColumn("score", F.lit(1.0))
@@ -210,13 +214,16 @@ def _near_cells(d: np.ndarray, cells, need: int, reach: float) -> np.ndarray:
 # --- nearest neighbours ----------------------------------------------------------------------------
 def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id", ident: str = "vec_id",
         scope: str | None = "branch_id", floor: float | None = None, skip_self: bool = False,
-        block: int = BLOCK) -> DataFrame:
+        block: int = BLOCK, skip: tuple[Column, Column] | None = None) -> DataFrame:
     """(probe_id, vec_id, score, rank): the k best by cosine (four decimals), ties by id. Exact.
 
+    ``skip``: a column of the probes and one of the index; rows in which they are equal (copies of the probe's own text,
+    say) never count, however many there are.
+
     Cell sizes and radii bound the k-th distance before any comparison; a probe visits only cells that
     may hold something closer (or above ``floor``).
     """
-    q, ix = _vectors(probes, probe_id, scope), _vectors(index, ident, scope)
+    q, ix = _vectors(probes, probe_id, scope, skip and skip[0]), _vectors(index, ident, scope, skip and skip[1])
     idt = ix.schema["id"].dataType.simpleString()
     qt = q.schema["id"].dataType.simpleString()
     schema = f"{probe_id} {qt}, {ident} {idt}, score double"
@@ -225,6 +232,8 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
     if pivots is None:
         return probes.sparkSession.createDataFrame([], schema + ", rank int")
     homes = cut(_homes(ix, pivots))
+    if skip is not None:
+        homes = homes.join(ix.select("id", "key").distinct(), "id")
     many = len(pivots.value) > 1
     cells: dict = {}
     if many:        # at most CELL_ROWS rows by the choice of pivots
@@ -232,7 +241,10 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
             cells.setdefault(r["scope"], []).append((r["cell"], r["n"], r["r"]))
     table = homes.sparkSession.sparkContext.broadcast({
         sc: tuple(np.asarray(x) for x in zip(*rows)) for sc, rows in cells.items()})
-    need = k + (1 if skip_self else 0)
+    mixed = qt != idt               # one side's ids travel as text, and are numbers again where ties are settled
+    need, skipping = k + (1 if skip_self else 0), skip is not None
+    if skipping:
+        need += ix.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     reach = math.inf if floor is None else math.sqrt(max(0.0, 2.0 - 2.0 * (floor - SLACK)))
 
     def visit(batches):
@@ -248,7 +260,9 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "scope": pdf["scope"].to_numpy()[row],
                                 "cell": np.concatenate(picks).astype("int32") if len(row) else np.zeros(0, dtype="int32"),
                                 "vec": [m[i] for i in row]})
-    visitors = cut(q.mapInPandas(visit, f"id {qt}, scope string, cell int, vec array<double>"))
+    visitors = cut(q.drop("key").mapInPandas(visit, f"id {qt}, scope string, cell int, vec array<double>"))
+    if skip is not None:
+        visitors = visitors.join(q.select("id", "key").distinct(), "id")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = _sides(pdf)
@@ -256,15 +270,23 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
             return pd.DataFrame({probe_id: [], ident: [], "score": []})
         hid, h, vid, v = sides
         s = np.round(v @ h.T, 4)
+        if skipping:
+            hkey, vkey = pdf["key"][pdf["side"] == 0].to_numpy(), pdf["key"][pdf["side"] == 1].to_numpy()
+        if mixed and idt in ("bigint", "int"):
+            hid = hid.astype("int64")
         ok = np.ones_like(s, dtype=bool) if floor is None else s >= floor
         if skip_self:
             ok &= vid[:, None] != hid[None, :]
+        if skipping:
+            ok &= vkey[:, None] != hkey[None, :]
         ids = np.broadcast_to(hid, s.shape)
         order = np.lexsort((ids, -s, ~ok), axis=1)[:, :k]
         row = np.repeat(np.arange(len(vid)), order.shape[1])
         col = order.ravel()
         hit = ok[row, col]
         return pd.DataFrame({probe_id: vid[row][hit], ident: hid[col][hit], "score": s[row, col][hit]})
+    if mixed:
+        homes, visitors = homes.withColumn("id", F.col("id").cast("string")), visitors.withColumn("id", F.col("id").cast("string"))
     hits = _tiles(homes, visitors, block).applyInPandas(best, schema)
     rank = F.row_number().over(W.partitionBy(probe_id).orderBy(F.desc("score"), ident))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -293,7 +315,7 @@ def best_match(topics: DataFrame, index: DataFrame, floor: float = V.SAME_MEANIN
     return knn(topics, index, 1, floor=floor).select("probe_id", "vec_id", "score")
 
 
-def bridges(a: DataFrame, b: DataFrame, min_sim: float = 0.45, top: int | None = 12) -> DataFrame:
+def bridges(a: DataFrame, b: DataFrame, min_sim: float = 0.45, top: int | None = None) -> DataFrame:
     """Each A row's closest B row, strongest first; ``n_total`` counts what the cut left out."""
     hits = cut(knn(a, b, 1, scope=None, floor=min_sim))
     total = hits.agg(F.count("*").alias("n_total"))
@@ -303,17 +325,22 @@ def bridges(a: DataFrame, b: DataFrame, min_sim: float = 0.45, top: int | None =
     return best.select("probe_id", "vec_id", "score", X.sim_band(F.col("score")).alias("band"), one_row(total)["n_total"].alias("n_total"))
 
 
-def bridge_all(df: DataFrame, min_sim: float = 0.5, per_pair: int = 3, top: int = 15) -> DataFrame:
-    """Strongest links between different branches: the best few per branch pair, then the best overall."""
-    pairs = sim_pairs(df, min_sim, scope=None)
-    branch = df.select("vec_id", "branch_id")
-    named = (pairs.join(branch.toDF("a_id", "branch_a"), "a_id").join(branch.toDF("b_id", "branch_b"), "b_id")
-             .filter("branch_a <> branch_b"))
-    key = [F.least("branch_a", "branch_b"), F.greatest("branch_a", "branch_b")]
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "a_id", "b_id"))
-    return (named.withColumn("rank", rank).filter(F.col("rank") <= per_pair)
-            .orderBy(F.desc("score"), "a_id", "b_id").limit(top)
-            .select(key[0].alias("branch_a"), key[1].alias("branch_b"), "a_id", "b_id", "score"))
+def bridge_all(df: DataFrame, min_sim: float = 0.5, per_pair: int | None = None, top: int | None = None) -> DataFrame:
+    """Strongest links between branches: each row's single best partner in every later branch, then the best
+    ``per_pair`` rows of each two branches, then the ``top`` of all; ``n_total`` counts the links before both cuts."""
+    branches = one_row(df.agg(F.collect_set("branch_id").alias("b")))["b"]
+    asked = df.select(F.col("vec_id").alias("a_id"), F.col("branch_id").alias("branch_a"), "embedding", F.explode(branches).alias("branch_id"))
+    asked = asked.filter("branch_a < branch_id")
+    asked = asked.withColumn("probe_id", F.concat_ws("|", "a_id", "branch_id"))
+    hits = knn(asked, df, 1, floor=min_sim).select("probe_id", F.col("vec_id").alias("b_id"), "score")
+    links = cut(hits.join(asked.select("probe_id", "a_id", "branch_a", F.col("branch_id").alias("branch_b")), "probe_id"))
+    n = one_row(links.agg(F.count("*").alias("n")))["n"]
+    if per_pair is not None:
+        rank = F.row_number().over(W.partitionBy("branch_a", "branch_b").orderBy(F.desc("score"), "a_id"))
+        links = links.withColumn("rank", rank).filter(F.col("rank") <= per_pair)
+    best = links.orderBy(F.desc("score"), "a_id", "b_id")
+    best = best if top is None else best.limit(top)
+    return best.select("branch_a", "branch_b", "a_id", "b_id", "score", n.alias("n_total"))
 
 
 # --- decisions built on neighbours -----------------------------------------------------------------
@@ -324,9 +351,10 @@ def relation_candidates(new: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def kb_lookup(questions: DataFrame, index: DataFrame, judge: DataFrame, as_of: Column,
-              sim_floor: float = 0.50, min_corroboration: int = 2, max_age_days: float | None = None) -> DataFrame:
-    """Best stored answer per question that clears every gate; a missing judgement means no."""
-    hits = query_index(questions, index, 5, kind="finding").filter(F.col("score") >= sim_floor)
+              sim_floor: float = 0.50, min_corroboration: int = 2, max_age_days: float | None = None, hits_judged: int = 5) -> DataFrame:
+    """Best stored answer per question that clears every gate, among its ``hits_judged`` nearest findings; a missing
+    judgement means no."""
+    hits = query_index(questions, index, hits_judged, kind="finding").filter(F.col("score") >= sim_floor)
     age = X.age_days(F.col("created_at"), as_of)
     ok = ((F.col("confidence_tier") == "Accepted") & (F.col("corroboration_count") >= min_corroboration)
           & (F.size("urls") > 0))
@@ -344,10 +372,8 @@ def consensus(claims: DataFrame, index: DataFrame, verdicts: DataFrame, minimum:
 
     ``text`` names the column by which a verbatim copy of the claim is kept from backing itself.
     """
-    near = knn(claims, index, minimum + 4, skip_self=True).filter(F.col("score") >= floor)
-    if text is not None:
-        own = claims.select("probe_id", F.trim(text).alias("_own"))
-        near = near.join(own, "probe_id").join(index.select("vec_id", F.trim(text).alias("_text")), "vec_id").filter("_own <> _text")
+    same = None if text is None else (F.trim(text), F.trim(text))
+    near = knn(claims, index, minimum + 4, skip_self=True, skip=same).filter(F.col("score") >= floor)
     size = near.groupBy("probe_id").agg(F.count("*").alias("consensus_size"))
     joined = claims.select("probe_id").join(size, "probe_id", "left").join(verdicts, "probe_id", "left")
     n = F.coalesce("consensus_size", F.lit(0))

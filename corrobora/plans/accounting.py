@@ -65,7 +65,7 @@ def _(t):
     SELECT finding_id, confidence_tier, corroboration_count, (SELECT count(*) FROM u) AS n_total FROM u ORDER BY corroboration_count DESC, finding_id LIMIT 15""")
 def _(t):
     read = t.labels.select(F.concat(F.lit("find_"), F.col("doc_id").cast("string")).alias("finding_id"))
-    return A.strongest_unread(t.v_findings, read)
+    return A.strongest_unread(t.v_findings, read, 15)
 
 
 _CITED = "SELECT doc_id, source_types, {a}('https://' || lang || '.example.org/' || cast(cast(floor(n_chars / 50) as bigint) as {s})) AS urls FROM (SELECT d.lang, f.* FROM v_findings f JOIN documents d ON d.doc_id = f.doc_id) x"

@@ -17,19 +17,16 @@ def _(t):
     return P.mention_stats(P.mentions(t.v_case_claims)).withColumn("authoritative", F.col("authoritative").cast("int"))
 
 
-_EDGES = "SELECT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_quantity >= 40 AND l_discount >= 0.09"
-
-
 @query("G1_components", """
     WITH RECURSIVE e AS (SELECT DISTINCT vec_id AS a, least(vec_id + 10, (SELECT max(vec_id) FROM embeddings)) AS b FROM embeddings
-      UNION SELECT DISTINCT doc_id, cast(toxic AS bigint) + quality * 2 FROM labels WHERE doc_id % 2 = 1),
+      UNION SELECT DISTINCT doc_id, cast(toxic AS bigint) + quality * 2 FROM labels),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r AS (SELECT a AS v, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.v)
     SELECT v AS node, min(m) AS component FROM r GROUP BY v""", )
 def _(t):
     top = t.embeddings.agg(F.max("vec_id")).first()[0]
     edges = t.embeddings.select(F.col("vec_id").alias("a"), F.least(F.col("vec_id") + 10, F.lit(top)).alias("b")).union(
-        t.labels.filter("doc_id % 2 = 1").select("doc_id", F.col("toxic").cast("long") + F.col("quality") * 2))
+        t.labels.select("doc_id", F.col("toxic").cast("long") + F.col("quality") * 2))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b"))
     return graph.components(edges, nodes, "a", "b", "node")
 

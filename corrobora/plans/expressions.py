@@ -242,7 +242,7 @@ _ANGLES = ", ".join(f"({i + 1}, '{a}')" for i, a in enumerate(V.PERSON_ANGLES))
     r AS (SELECT entity_id, q, row_number() OVER (PARTITION BY entity_id ORDER BY p) - 1 AS pos FROM d WHERE dup = 1)
     SELECT entity_id, cast(pos AS int) AS pos, q AS query FROM r WHERE pos < 8""")
 def _(t):
-    q = X.person_queries(F.col("name"), F.col("context"))
+    q = X.person_queries(F.col("name"), F.col("context"), cap=8)
     return t.v_entity_ctx.select("entity_id", F.posexplode(q).alias("pos", "query"))
 
 
@@ -338,7 +338,7 @@ def _(t):
     SELECT name, i AS pos, CASE i WHEN 0 THEN b WHEN 1 THEN b || ' obituary' WHEN 2 THEN b || ' cause of death' ELSE b || ' last seen' END AS query
     FROM base, (VALUES (0), (1), (2), (3)) x(i)""")
 def _(t):
-    q = X.retry_queries(F.col("name"), F.col("phrase"), F.col("born"), F.col("died"))
+    q = X.retry_queries(F.col("name"), F.col("phrase"), F.col("born"), F.col("died"), cap=4)
     return people.with_disambiguator(t.v_cards).select("name", F.posexplode(q).alias("pos", "query"))
 
 

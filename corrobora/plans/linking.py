@@ -130,7 +130,7 @@ def _(t):
     g AS (SELECT name FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE contains(c.name, r.name) OR contains(r.name, c.name)))
     SELECT name, (SELECT count(*) FROM g) AS n_total FROM g ORDER BY name LIMIT 20""")
 def _(t):
-    return P.missing_entities(P.mentions(t.v_case_claims), t.v_roster).withColumn("name", F.lower("name"))
+    return P.missing_entities(P.mentions(t.v_case_claims), t.v_roster, 20).withColumn("name", F.lower("name"))
 
 
 @query("C21_omitted_names", """
@@ -171,7 +171,7 @@ def _(t):
 def _(t):
     tokens = t.benchmark.select(F.lower(F.get(F.split("text", " "), 1)).alias("token")).filter(F.length("token") >= 4)
     eps = t.documents.select(F.col("doc_id").alias("episode_id"), F.col("source").alias("show"), "text")
-    return L.matching_episodes(eps, tokens).select("episode_id", "show", "rank", "n_total")
+    return L.matching_episodes(eps, tokens, 3).select("episode_id", "show", "rank", "n_total")
 
 
 SAME = """(a.t[1] = b.t[1] AND (a.t[-1] = b.t[-1] OR len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) = 0
@@ -201,7 +201,7 @@ def works(t):
     f AS (SELECT work_id, min(lvl) AS level FROM walk WHERE lvl > 0 GROUP BY 1)
     SELECT f.work_id, cast(level AS int) AS level, kind, (SELECT count(*) FROM f) AS n_total FROM f JOIN w USING (work_id)""")
 def _(t):
-    return G.expand_refs(works(t), t.benchmark.select(F.col("item_id").alias("work_id")), depth=3).select(
+    return G.expand_refs(works(t), t.benchmark.select(F.col("item_id").alias("work_id")), depth=3, max_refs=25).select(
         "work_id", "level", "kind", "n_total")
 
 
@@ -226,17 +226,22 @@ _VV = ("CASE WHEN n_chars % 4 = 0 THEN 'Supported' WHEN n_chars % 4 = 1 THEN 'co
 
 
 @query("C32_verify_tally", f"""
-    WITH q AS (SELECT finding_id, {_VV} AS v FROM v_findings ORDER BY CASE WHEN lower(coalesce(confidence_tier, '')) LIKE 'spec%' THEN 0 ELSE 1 END, finding_id LIMIT 300)
+    WITH q AS (SELECT finding_id, {_VV} AS v FROM v_findings ORDER BY CASE WHEN lower(coalesce(confidence_tier, '')) LIKE 'spec%' THEN 0 ELSE 1 END, finding_id)
     SELECT CASE WHEN lower(v) IN ('supported', 'contradicted', 'insufficient') THEN lower(v) ELSE 'error' END AS verdict, count(*) AS n FROM q GROUP BY 1""")
 def _(t):
     v = t.v_findings.select("finding_id", F.expr(_VV).alias("verdict"))
-    return L.verify_tally(L.verify_queue(t.v_findings, 300), v)
+    return L.verify_tally(L.verify_queue(t.v_findings), v)
+
+
+_OWN = "own AS (SELECT q.item_id AS query_id, d.doc_id FROM benchmark q JOIN documents d ON lower(trim(q.text)) = lower(trim(d.text))), "
+_HYX = (HY.replace("FROM sc WHERE score > 0", "FROM sc WHERE score > 0 AND (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM own)")
+        .replace("IN (SELECT item_id FROM benchmark)", "IN (SELECT item_id FROM benchmark) AND (a.vec_id, b.vec_id) NOT IN (SELECT query_id, doc_id FROM own)")
+        .replace("rank <= 20", "rank <= 24"))
 
 
 @query("C32_verify_evidence", f"""
-    WITH {HY}, h AS (SELECT y.query_id, y.doc_id, y.rank, coalesce(k.score, 0.0) AS score FROM hy y LEFT JOIN kn k ON k.query_id = y.query_id AND k.doc_id = y.doc_id AND k.rank <= 32 WHERE y.rank <= 8),
-    p AS (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h JOIN benchmark q ON q.item_id = h.query_id JOIN documents d ON d.doc_id = h.doc_id
-          WHERE lower(trim(q.text)) <> lower(trim(d.text))) SELECT query_id, doc_id, place, score FROM p WHERE place <= 6""".replace("rank <= 20", "rank <= 32"))
+    WITH {_OWN}{_HYX} SELECT y.query_id, y.doc_id, y.rank AS place, coalesce(k.score, 0.0) AS score FROM hy y
+    LEFT JOIN kn k ON k.query_id = y.query_id AND k.doc_id = y.doc_id AND k.rank <= 24 WHERE y.rank <= 6""")
 def _(t):
     return L.verify_evidence(hybrid_queries(t), t.documents, t.v_probes)
 
@@ -285,7 +290,7 @@ def _(t):
     u = t.pages.select(F.col("page_id").alias("pos"), (F.col("page_id") % 20).alias("batch"), "url")
     u = u.union(u.select("pos", "batch", F.concat(F.lit("https://www.nature.com/"), F.col("pos").cast("string"))))
     done = t.pages.select(X.domain_of(F.col("url")).alias("domain")).filter("domain LIKE 'm.%'")
-    return L.review_queue(u, done).select("batch", "domain", "rank")
+    return L.review_queue(u, done, 3).select("batch", "domain", "rank")
 
 
 _GR = "CASE WHEN question_id % 4 = 0 THEN 'C' WHEN question_id % 4 = 1 THEN 'F' ELSE 'A' END"

@@ -83,7 +83,7 @@ _SUG = """SELECT o_custkey AS case_id, o_orderkey AS pos, CASE WHEN o_orderkey %
     r AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY m) AS rank, m[2] AS q, count(*) OVER (PARTITION BY case_id) AS n_total FROM o) SELECT * FROM r WHERE rank <= 3""")
 def _(t):
     cases = t.customer.select(F.col("c_custkey").alias("case_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("case_text"))
-    return Q.grounded(t.sql(_SUG.format(s="string")), cases)
+    return Q.grounded(t.sql(_SUG.format(s="string")), cases, 3)
 
 
 @query("J7_with_verdicts", """

@@ -68,7 +68,7 @@ def threads(t, cap):
     return R.open_threads(t.v_coverage, t.v_hypotheses, t.v_ledger, an, cap)
 
 
-@query("E6_open_threads", f"WITH {THREADS} SELECT item, m[1] AS prio, m[2] AS pos FROM ot ORDER BY 2, 3, 1 LIMIT 15")
+@query("E6_open_threads", f"WITH {THREADS} SELECT item, m[1] AS prio, m[2] AS pos, (SELECT count(*) FROM ot) AS n_total FROM ot ORDER BY 2, 3, 1 LIMIT 15")
 def _(t):
     return threads(t, 15)
 
@@ -81,7 +81,7 @@ def _(t):
     g AS (SELECT min((prio, pos, lead_id, q)) AS m FROM k GROUP BY lower(q)) SELECT m[4] AS q, m[1] AS prio, m[2] AS pos FROM g""")
 def _(t):
     fu = t.orders.select(F.col("o_custkey").alias("lead_id"), F.concat(F.lit("What about order "), (F.col("o_orderkey") % 50).cast("string"), F.lit("?")).alias("text"))
-    return R.next_questions(threads(t, None), t.v_coverage, fu)
+    return R.next_questions(threads(t, None), t.v_coverage, fu, 4).drop("n_total")
 
 
 _PAT = """SELECT l_orderkey AS pattern_id, CASE WHEN min(l_returnflag) = 'A' THEN 'unresolved-notable' WHEN min(l_returnflag) = 'N' THEN 'supported' ELSE 'debunked' END AS verdict,
@@ -96,7 +96,7 @@ def _(t):
 
 
 @query("E9_ach_table", """
-    WITH h AS (SELECT hyp_id, CASE WHEN lower(trim(verdict)) IN ('survives', 'weakened', 'refuted') THEN lower(trim(verdict)) ELSE 'weakened' END AS verdict, least(len(disconfirming), 5) AS n FROM v_hypotheses)
+    WITH h AS (SELECT hyp_id, CASE WHEN lower(trim(verdict)) IN ('survives', 'weakened', 'refuted') THEN lower(trim(verdict)) ELSE 'weakened' END AS verdict, len(disconfirming) AS n FROM v_hypotheses)
     SELECT hyp_id, verdict, cast(n AS int) AS n_disconfirming, rank() OVER (ORDER BY n) AS rank FROM h""")
 def _(t):
     return R.ach_table(t.v_hypotheses).select("hyp_id", "verdict", "n_disconfirming", "rank")
@@ -108,7 +108,7 @@ def _(t):
     SELECT lead_id, round_n, findings, rank FROM r WHERE rank <= 8 ORDER BY round_n, rank LIMIT 14""")
 def _(t):
     asked = t.supplier.select(F.col("s_suppkey").alias("lead_id"))
-    return R.frontier(t.v_coverage, asked).select("lead_id", "round_n", "findings", "rank")
+    return R.frontier(t.v_coverage, asked, 8, 14).select("lead_id", "round_n", "findings", "rank")
 
 
 _HITS = """SELECT o_custkey AS lead_id, o_orderkey % 3 AS variant, o_orderkey AS pos,

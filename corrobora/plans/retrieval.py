@@ -37,8 +37,10 @@ def _(t):
 
 
 @query("C7_sim_pairs", f"""
-    SELECT a.vec_id AS a_id, b.vec_id AS b_id, {COS} AS score FROM v_vectors a JOIN v_vectors b
-    ON a.branch_id = b.branch_id AND a.vec_id < b.vec_id AND {COS} >= 0.6""")
+    WITH r AS (SELECT *, min(vec_id) OVER (PARTITION BY branch_id, embedding) AS rep FROM v_vectors)
+    SELECT a.vec_id AS a_id, b.vec_id AS b_id, {COS} AS score FROM r a JOIN r b
+    ON a.branch_id = b.branch_id AND a.vec_id < b.vec_id AND a.vec_id = a.rep AND b.vec_id = b.rep AND {COS} >= 0.6
+    UNION ALL SELECT rep, vec_id, 1.0 FROM r WHERE vec_id <> rep""")
 def _(t):
     return S.sim_pairs(t.v_vectors, 0.6)
 
@@ -62,17 +64,18 @@ def _(t):
     SELECT probe_id, vec_id, score, CASE WHEN score >= 0.6 THEN 'STRONG' WHEN score >= 0.5 THEN 'real' ELSE 'weak' END AS band,
            (SELECT count(*) FROM h) AS n_total FROM h ORDER BY score DESC, probe_id, vec_id LIMIT 12""")
 def _(t):
-    return S.bridges(probes(t), t.v_index)
+    return S.bridges(probes(t), t.v_index, top=12)
 
 
 @query("C11_bridge_all", f"""
-    WITH p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, {COS} AS score, least(a.branch_id, b.branch_id) AS branch_a,
-                      greatest(a.branch_id, b.branch_id) AS branch_b
-               FROM v_vectors a JOIN v_vectors b ON a.branch_id <> b.branch_id AND a.vec_id < b.vec_id AND {COS} >= 0.5),
-    r AS (SELECT *, row_number() OVER (PARTITION BY branch_a, branch_b ORDER BY score DESC, a_id, b_id) AS rn FROM p)
-    SELECT branch_a, branch_b, a_id, b_id, score FROM r WHERE rn <= 3 ORDER BY score DESC, a_id, b_id LIMIT 15""")
-def _(t):
-    return S.bridge_all(t.v_vectors)
+    WITH p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, {COS} AS score, a.branch_id AS branch_a, b.branch_id AS branch_b
+               FROM v_vectors a JOIN v_vectors b ON a.branch_id < b.branch_id),
+    m AS (SELECT *, row_number() OVER (PARTITION BY a_id, branch_b ORDER BY score DESC, b_id) AS best FROM p),
+    h AS (SELECT * FROM m WHERE best = 1 AND score >= 0.5),
+    r AS (SELECT *, row_number() OVER (PARTITION BY branch_a, branch_b ORDER BY score DESC, a_id) AS rn FROM h)
+    SELECT branch_a, branch_b, a_id, b_id, score, (SELECT count(*) FROM h) AS n_total FROM r WHERE rn <= 3 ORDER BY score DESC, a_id, b_id LIMIT 15""")
+def _(t):
+    return S.bridge_all(t.v_vectors, per_pair=3, top=15)
 
 
 BM = """tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),

@@ -135,6 +135,6 @@ def _(t):
 @query("A12_description_links", f"SELECT page_id, 0 AS rank, url FROM pages WHERE NOT {sql_any('lower(url)', V.DESCRIPTION_NOISE)}")
 def _(t):
     rows = t.pages.select("page_id", F.concat(
-        F.lit('{"shortDescription":"Sources: '), F.col("url"), F.lit('\\nhttps://x.com/me","url":"https://www.youtube.com/redirect?event=1\\u0026q='),
+        F.lit('{"shortDescription":"Sources: '), F.regexp_replace("url", "&", r"\\u0026"), F.lit('\\nhttps://x.com/me","url":"https://www.youtube.com/redirect?event=1\\u0026q='),
         F.expr("url_encode(url)"), F.lit('\\u0026v=2"}'), F.col("html")).alias("page"))
     return S.description_links(rows, "page_id", "page")

@@ -113,6 +113,9 @@ def normalize_captions(df: DataFrame, col: str = "raw") -> DataFrame:
         T.StructField("segments", schemas.SEGMENTS), T.StructField("body", schemas.SEGMENTS)]))
     joined = F.array_join(F.transform(F.coalesce(parsed["segments"], parsed["body"]),
                                       lambda s: F.coalesce(s["text"], F.lit(""))), " ")
+    # a list of plain strings
+    strings = F.array_join(F.from_json(F.when(raw.rlike(r'^\s*\[\s*"'), raw), "array<string>"), " ")
+    joined = F.coalesce(F.nullif(strings, F.lit("")), joined)
     lines = F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & (x != "WEBVTT") & ~x.rlike(r"^\d+$") & ~x.contains("-->"))
     plain = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "<[^>]+>", "")), " ")
@@ -144,8 +147,9 @@ def description_links(df: DataFrame, key: str, col: str) -> DataFrame:
         F.regexp_replace(u, r"\\u0026", "&"), F.lit("QUERY"), F.lit("q"))))
     targets = F.filter(targets, lambda u: u.startswith("http"))
     described = F.regexp_extract(page, r'"shortDescription":"((?:[^"\\]|\\.)*)"', 1)
-    described = F.regexp_replace(F.regexp_replace(described, r"\\n", "\n"), r"\\/", "/")
-    plain = find_all(described, r'https?://[^\s"\\)]+')
+    # the whole JSON string is decoded, so an escaped character never cuts a link
+    described = F.from_json(F.concat(F.lit('{"d":"'), described, F.lit('"}')), "d string")["d"]
+    plain = find_all(F.coalesce(described, F.lit("")), r'https?://[^\s"\\)]+')
     links = F.array_sort(F.array_distinct(F.concat(targets, plain)))
     kept = F.filter(links, lambda u: ~any_literal(F.lower(u), V.DESCRIPTION_NOISE))
     return df.select(key, F.posexplode(kept).alias("rank", "url"))

@@ -42,7 +42,7 @@ def _fold_partition(batches):
 def credibility_segments(events: DataFrame) -> DataFrame:
     """Events (domain, ts, event_id, delta, reason) folded per range chunk; a busy domain spans many chunks."""
     e = events.select(F.col("domain"), F.col("ts").cast("string").alias("ts"), F.col("event_id").cast("long").alias("event_id"),
-                      F.col("delta").cast("long").alias("delta"), F.col("reason"))
+                      F.coalesce(F.col("delta").cast("long"), F.lit(0)).alias("delta"), F.col("reason"))
     keys = ["domain", "ts", "event_id"]
     return e.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(_fold_partition, SEGMENT)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corrobora.functions import exprs as X, vocab as V
-from corrobora.operators.evidence import family_bit
+from corrobora.operators.evidence import family_bits, is_model
 from corrobora.operators.people import screen
 from corrobora.sources.tables import upsert_raw
 from corrobora.streaming.ledgers import credibility_segments, fold_segments
@@ -63,14 +63,16 @@ def dedupe_stream(s: DataFrame, keys: list[str], delay: str, ts: str = "ts") ->
 def tier_stream(assertions: DataFrame, ts: str | None = None, delay: str | None = None) -> DataFrame:
     """Running evidence per claim (update mode): combinable counters only, so tiers can only rise and a
     contest, once seen, stays. With ``ts`` and ``delay`` the memory of seen sources expires."""
-    keys = ["claim_id", "source_id", "source_type", "stance"]
-    once = assertions.dropDuplicates(keys) if ts is None else dedupe_stream(assertions, keys, delay, ts)
-    model, agree = F.col("source_type") == "llm", F.col("stance") != "contradict"
+    keys = ["claim_id", "source_id", "source_type", "contra"]
+    flagged = assertions.withColumn("contra", F.coalesce(F.col("stance") == "contradict", F.lit(False)))
+    once = flagged.dropDuplicates(keys) if ts is None else dedupe_stream(flagged, keys, delay, ts)
+    model, agree = is_model(F.col("source_type")), ~F.col("contra")
     per = once.groupBy("claim_id").agg(
         F.count_if(~model & agree).alias("n_other"), F.max((model & agree).cast("long")).alias("n_model"),
-        F.bit_or(family_bit(F.col("source_type"))).alias("fam"), F.max((~agree).cast("int")).alias("c"))
+        F.bit_or(family_bits(F.col("source_type"))).alias("fam"), F.max(F.col("source_type").isNotNull()).alias("typed"),
+        F.max(F.col("contra").cast("int")).alias("c"))
     weight = F.col("n_other") + F.col("n_model")
-    tier = F.when(F.col("c") == 1, V.CONTESTED).otherwise(X.gated_tier(weight, F.bit_count("fam")))
+    tier = F.when(F.col("c") == 1, V.CONTESTED).otherwise(X.gated_tier(weight, F.when(F.col("typed"), F.bit_count("fam"))))
     return per.select("claim_id", "c", tier.alias("confidence_tier"))
 
 
