@@ -268,18 +268,23 @@ def links_in_buckets(tau: int):
     return run
 
 
-def near_links(reps: DataFrame, tau: int = 4, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within tau bits. ``reps``: fp (distinct), rep (its smallest id)."""
-    n = reps.count()
-    probed = plan(reps, n, tau) if n > 1 else []
-    keys = []
-    for part, (bits, t) in enumerate(probed):
-        v = value(F.col("fp"), bits)
-        own = F.array(v)
-        if t:
-            near = F.transform(F.array(*[F.lit(x).cast("long") for x in masks(len(bits), t)]), lambda m, v=v: v.bitwiseXOR(m))
-            own = F.concat(own, F.filter(near, lambda x, v=v: x > v))
-        keys.append(F.transform(own, lambda x, part=part: F.struct(F.lit(part).alias("part"), x.alias("key"))))
+def _buckets(part: int, bits: list[int], t: int):
+    """(part, key) of a fingerprint: its own value, and the greater ones within t bits (the smaller ones look for it)."""
+    v = value(F.col("fp"), bits)
+    own = F.array(v)
+    if t:
+        near = F.transform(F.array(*[F.lit(x).cast("long") for x in masks(len(bits), t)]), lambda m: v.bitwiseXOR(m))
+        own = F.concat(own, F.filter(near, lambda x: x > v))
+    return F.transform(own, lambda x: F.struct(F.lit(part).alias("part"), x.alias("key")))
+
+
+def near_links(reps: DataFrame, tau: int = 4, tile: int = TILE, probed: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within tau bits. ``reps``: fp (distinct), rep (its smallest id);
+    ``probed``: partitions and their thresholds, planned if not given."""
+    if probed is None:
+        n = reps.count()
+        probed = plan(reps, n, tau) if n > 1 else []
+    keys = [_buckets(part, bits, t) for part, (bits, t) in enumerate(probed)]
     if not keys:
         return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     rows = reps.select("fp", "rep", F.inline(F.concat(*keys)))
