@@ -32,11 +32,12 @@ from corrobora.llm.common import keep, slices, texts_of
 BLOCK = 131_072         # ids in a block at least, unless the part ends
 LANE = 64               # ids between two bit offsets
 LIMIT = 18              # longest code in bits, more if there are too many different ids
-CACHE = 800_000         # words whose ids a worker remembers, and as many of before
+CACHE = 400_000         # words whose ids a worker remembers, and as many of before
 
 BLOCKS = ("part int, seq int, start long, doc_ids array<long>, doc_sizes array<long>, n_tokens long, "
           "payload binary, lanes binary")
 _RAW = "part int, seq int, pos long, doc_ids array<long>, doc_sizes array<long>, ids binary"
+_MARKS = (1 << 24) - 1     # places of marks for words that were seen
 _EDGE = re.compile(r"(?<=\S)([ \n])(?=\S)")
 #: anything but single spaces and line ends between other characters; RE2's own \\s knows ASCII only
 _OTHER_SPACE = "\\t\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -53,6 +54,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.of_text = Tokenizer.from_file(path)
         self.old: dict[str, bytes] = {}
+        self.seen = bytearray(_MARKS + 1)
         self.known: dict[str, bytes] = {}       # words after a space, which is theirs, or with the line end before them
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -84,17 +86,23 @@ class Encoder:
         return [got[lo + 1:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]    # less the line end put before
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE:              # what isn't asked for again until the next time goes
-            self.old, self.known, new = self.known, {}, words
-        known, old = self.known, self.old
-        known.update((w, old[w]) for w in new if w in old)
-        new = [w for w in new if w not in old]
+        known, old, seen = self.known, self.old, self.seen
+        known.update((w, old[w]) for w in words if w in old and w not in known)
+        new = [w for w in words if w not in known]
+        fresh: dict[str, bytes] = {}
         for at in range(0, len(new), 4_096):
             part = new[at:at + 4_096]
             found = self.of_text.encode_batch_fast([w if w[:1] == "\n" else " " + w for w in part], add_special_tokens=False)
-            known.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
-        return list(map(known.__getitem__, words))
+            fresh.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
+        out = [known[w] if w in known else fresh[w] for w in words]
+        for w in new:                                       # a word is remembered from the second batch on that has it
+            mark = hash(w) & _MARKS
+            if seen[mark]:
+                known[w] = fresh[w]
+            seen[mark] = 1
+        if len(known) > CACHE:                              # what isn't asked for again until the next time goes
+            self.old, self.known = known, {}
+        return out
 
     def _uneven(self, text: str) -> np.ndarray:
         if not text:
