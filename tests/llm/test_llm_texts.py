@@ -63,8 +63,8 @@ def test_simhash_query_equals_brute_force(spark, docs):
     assert got == {d: (f"{f:016x}", c) for (d, _), f, c in zip(docs, fps, want)}
 
 
-@pytest.mark.parametrize("tile", [40, 16_384])
-def test_links_of_random_fingerprints(spark, tile):
+@pytest.mark.parametrize("tile,thresholds", [(40, None), (16_384, None), (16_384, (1, 0, 0, 0)), (100, (2, 1, -1, -1)), (16_384, (1, 1, 0)), (16_384, (2, 1))])
+def test_links_of_random_fingerprints(spark, tile, thresholds):
     rng = random.Random(4)
     centres = [rng.getrandbits(64) for _ in range(40)]
     fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 9))) for c in centres for _ in range(12)}
@@ -72,7 +72,13 @@ def test_links_of_random_fingerprints(spark, tile):
     fps = sorted(fps | low)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     reps = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, rep long")
-    links = simhash.near_links(reps, 4, tile).collect()
+    probed = None
+    if thresholds:
+        bits = list(range(64))
+        random.Random(9).shuffle(bits)
+        n = -(-64 // len(thresholds))
+        probed = [(bits[i * n:(i + 1) * n], t) for i, t in enumerate(thresholds) if t >= 0]
+    links = simhash.near_links(reps, 4, tile, probed).collect()
     assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() <= 4 for r in links)
     parent = list(range(len(fps)))
 
