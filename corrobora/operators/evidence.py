@@ -79,10 +79,9 @@ def ingest_candidates(new: DataFrame, index: DataFrame) -> DataFrame:
 
     This is the table a judge labels; everything below the nesting floor never reaches it.
     """
-    pairs = S.sim_pairs(new, V.NEST_FLOOR)
-    best = F.struct(-F.col("score"), F.col("a_id"))
-    twins = pairs.groupBy(F.col("b_id").alias("claim_id")).agg(
-        F.min_by("a_id", best).alias("target_id"), F.max("score").alias("score")).withColumn("origin", F.lit("batch"))
+    asked = new.withColumnRenamed("vec_id", "probe_id")
+    twins = S.knn(asked, new, 1, floor=V.NEST_FLOOR, earlier=True).select(
+        F.col("probe_id").alias("claim_id"), F.col("vec_id").alias("target_id"), "score", F.lit("batch").alias("origin"))
     near = S.knn(new.withColumnRenamed("vec_id", "probe_id"), index, 1, floor=V.NEST_FLOOR).select(
         F.col("probe_id").alias("claim_id"), F.col("vec_id").alias("target_id"), "score", F.lit("index").alias("origin"))
     return twins.unionByName(near)

@@ -1,9 +1,10 @@
-"""Exact cosine joins over vectors, partitioned by pivots.
+"""Exact cosine joins over vectors, in large blocks.
 
-Vectors are placed in the cell of their nearest pivot. For unit vectors cosine is a function of
-distance, so the triangle inequality tells which cells can hold a match: only those are visited, and
-nothing is approximated. A cell of any size is cut into tiles of at most about ``BLOCK`` by ``BLOCK``
-rows, so one crowded cell becomes many tasks; a tile is one matrix product and returns only matches.
+Vectors are placed in the cell of their nearest pivot. For unit vectors cosine is a function of distance, so the triangle
+inequality rules out cells that can hold no match; nothing is approximated. How much that saves depends on the data: vectors
+without clusters must meet every cell, and then the number of copies decides. So a cell holds as many rows as a task can
+hold (``BLOCK``, less for long vectors), a vector is shipped once to each cell it must meet, two cells meet in one direction
+only, and a task walks its block in ``STEP`` by ``STEP`` products, keeping matches or the best k of each row and nothing else.
 """
 from __future__ import annotations
 
@@ -17,7 +18,9 @@ from corrobora.functions import exprs as X, vocab as V
 from corrobora.operators.graph import components
 from corrobora.session import cut, one_row
 
-BLOCK = 2048
+BLOCK = 32_768                # rows of one side of a task
+BLOCK_BYTES = 64 << 20        # and their bytes
+STEP = 2_048                  # rows that are multiplied at a time
 PIVOT_BYTES = 64 << 20        # proven bound on the pivots sent to every executor
 CELL_ROWS = 1_000_000         # proven bound on the (scope, cell) table sent with them
 SLACK = 1e-4                  # covers rounding of reported scores to four decimals
@@ -49,18 +52,19 @@ def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _pivots(index: DataFrame, block: int):
-    """Vectors with the smallest id hash: repeatable, spread, and bounded in bytes.
+    """(pivots, rows of a block): vectors with the smallest id hash, repeatable, spread, and bounded in bytes.
 
-    One per full tile, at most sqrt(n); few enough that the table of (scope, cell) stays small too.
+    One per full block, at most sqrt(n); few enough that the table of (scope, cell) stays small too.
     """
     n, scopes = index.agg(F.count("*"), F.count_distinct("scope")).first()
     if n == 0:
-        return None
+        return None, block
     dim = len(index.select("embedding").first()[0])
+    block = min(block, max(256, BLOCK_BYTES // (8 * dim)))
     want = max(1, min(math.isqrt(n), n // block, PIVOT_BYTES // (8 * dim), CELL_ROWS // scopes))
     rows = index.select(F.xxhash64("id").alias("h"), "id", "embedding").orderBy("h", "id").limit(want).collect()
     m = _unit(pd.Series([r["embedding"] for r in rows]))
-    return index.sparkSession.sparkContext.broadcast(m)
+    return index.sparkSession.sparkContext.broadcast(m), block
 
 
 def _slices(batches, n_pivots: int):
@@ -92,24 +96,35 @@ def _homes(index: DataFrame, pivots) -> DataFrame:
                                     "radius double, vec array<double>")
 
 
-def _tiles(homes: DataFrame, visitors: DataFrame, block: int) -> DataFrame:
-    """Rows of both sides keyed by tile; a side is repeated only across the other side's chunks."""
+def _tiles(homes: DataFrame, visitors: DataFrame, asking: DataFrame, block: int) -> DataFrame:
+    """Rows of both sides keyed by task; a side is repeated only across the other side's blocks. ``asking``: the rows the
+    visitors come from, counted instead of the visits."""
     on = ["scope", "cell"]
     sizes = (homes.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("nh"))
-             .join(visitors.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("nv")), on))
+             .join(asking.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("nv")), "scope"))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["scope", "cell", "hc", "vc", "side", "id", "vec", *(["key"] if "key" in homes.columns else [])]
+    extra = [c for c in ("key", "own") if c in visitors.columns]
+    cols = ["scope", "cell", "hc", "vc", "side", "id", "vec", *extra]
     h = homes.join(sizes, on).withColumn("hc", spread("nh")).withColumn("vc", upto("nv")).withColumn("side", F.lit(0))
+    h = h.withColumn("own", F.lit(True)) if "own" in extra else h
     v = visitors.join(sizes, on).withColumn("vc", spread("nv")).withColumn("hc", upto("nh")).withColumn("side", F.lit(1))
     return h.select(cols).unionByName(v.select(cols)).groupBy("scope", "cell", "hc", "vc")
 
 
 def _sides(pdf: pd.DataFrame):
-    h, v = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    """(rows, vectors) of both sides; the home side by id, so that places settle ties."""
+    h, v = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1]
     if h.empty or v.empty:
         return None
-    return (h["id"].to_numpy(), np.stack(h["vec"].to_numpy()), v["id"].to_numpy(), np.stack(v["vec"].to_numpy()))
+    return h, np.stack(h["vec"].to_numpy()), v, np.stack(v["vec"].to_numpy())
+
+
+def _scores(v: np.ndarray, h: np.ndarray):
+    """(first row, first column, cosines in units of 1e-4) of STEP by STEP products, a row of blocks after the other."""
+    for i in range(0, len(v), STEP):
+        for j in range(0, len(h), STEP):
+            yield i, j, np.rint((v[i:i + STEP] @ h[j:j + STEP].T) * 1e4).astype("int64")
 
 
 # --- range join ------------------------------------------------------------------------------------
@@ -122,7 +137,7 @@ def distinct_vectors(df: DataFrame, ident: str, scope: str | None) -> tuple[Data
 
 
 def _range_edges(vectors: DataFrame, t: float, forest: bool, block: int) -> DataFrame | None:
-    pivots = _pivots(vectors, block)
+    pivots, block = _pivots(vectors, block)
     if pivots is None:
         return None
     eps = math.sqrt(max(0.0, 2.0 - 2.0 * (t - SLACK)))
@@ -137,44 +152,47 @@ def _range_edges(vectors: DataFrame, t: float, forest: bool, block: int) -> Data
             home = pdf["cell"].to_numpy()
             own = d[np.arange(len(m)), home][:, None]
             g = _distances(p[home], p)
-            # distance to the plane between the two pivots bounds the distance to the other cell
+            # distance to the plane between the two pivots bounds the distance to the other cell; of two cells
+            # only the later one's rows visit
             plane = np.divide(d * d - own * own, 2.0 * g, out=np.zeros_like(d), where=g > 0)
-            row, cell = np.nonzero(plane <= eps)
+            row, cell = np.nonzero((plane <= eps) & (np.arange(len(p))[None, :] <= home[:, None]))
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "scope": pdf["scope"].to_numpy()[row],
-                                "cell": cell.astype("int32"), "vec": [m[i] for i in row]})
-    visitors = homes.mapInPandas(visit, f"id {idt}, scope string, cell int, vec array<double>")
+                                "cell": cell.astype("int32"), "vec": [m[i] for i in row], "own": cell == home[row]})
+    visitors = homes.mapInPandas(visit, f"id {idt}, scope string, cell int, vec array<double>, own boolean")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = _sides(pdf)
-        if sides is None:
-            return pd.DataFrame({"a_id": [], "b_id": [], "score": []})
-        hid, h, vid, v = sides
-        s = np.round(v @ h.T, 4)
-        row, col = np.nonzero((s >= t) & (vid[:, None] > hid[None, :]))
-        a, b, score = hid[col], vid[row], s[row, col]
+        out = [(np.zeros(0, "int64"),) * 2 + (np.zeros(0),)]
+        if sides is not None:
+            h, hm, v, vm = sides
+            hid, vid, own = h["id"].to_numpy(), v["id"].to_numpy(), v["own"].to_numpy(dtype=bool)
+            for i, j, s in _scores(vm, hm):
+                x, y = vid[i:i + STEP], hid[j:j + STEP]
+                row, col = np.nonzero((s / 1e4 >= t) & (~own[i:i + STEP, None] | (x[:, None] > y[None, :])))
+                a, b = np.minimum(y[col], x[row]), np.maximum(y[col], x[row])
+                out.append((*_spanning(a, b), np.zeros(0)) if forest else (a, b, s[row, col] / 1e4))
+        a, b, score = (np.concatenate(c[1:] or c) for c in zip(*out))
         if forest:
-            keep = _spanning(a, b)
-            a, b, score = a[keep], b[keep], score[keep]
+            a, b = _spanning(a, b)
+            score = np.ones(len(a))
         return pd.DataFrame({"a_id": a, "b_id": b, "score": score})
-    return _tiles(homes, visitors, block).applyInPandas(match, f"a_id {idt}, b_id {idt}, score double")
-
+    return _tiles(homes, visitors, homes, block).applyInPandas(match, f"a_id {idt}, b_id {idt}, score double")
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Edges of a spanning forest: a dense group leaves one edge per member, not one per pair."""
-    root: dict = {}
 
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            root[rx] = ry
-            keep.append(i)
-    return keep
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a connected group tied to the group's smallest: one edge a member, not one a pair."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[:len(a)], at[len(a):], np.arange(len(ids))
+    while True:
+        low, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    tied = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[tied]], ids[tied]
 
 
 def sim_pairs(df: DataFrame, t: float, ident: str = "vec_id", scope: str | None = "branch_id",
@@ -214,11 +232,11 @@ def _near_cells(d: np.ndarray, cells, need: int, reach: float) -> np.ndarray:
 # --- nearest neighbours ----------------------------------------------------------------------------
 def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id", ident: str = "vec_id",
         scope: str | None = "branch_id", floor: float | None = None, skip_self: bool = False,
-        block: int = BLOCK, skip: tuple[Column, Column] | None = None) -> DataFrame:
+        block: int = BLOCK, skip: tuple[Column, Column] | None = None, earlier: bool = False) -> DataFrame:
     """(probe_id, vec_id, score, rank): the k best by cosine (four decimals), ties by id. Exact.
 
     ``skip``: a column of the probes and one of the index; rows in which they are equal (copies of the probe's own text,
-    say) never count, however many there are.
+    say) never count, however many there are. ``earlier``: only rows of a smaller id than the probe's count.
 
     Cell sizes and radii bound the k-th distance before any comparison; a probe visits only cells that
     may hold something closer (or above ``floor``).
@@ -228,7 +246,7 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
     qt = q.schema["id"].dataType.simpleString()
     schema = f"{probe_id} {qt}, {ident} {idt}, score double"
     ix = cut(ix)
-    pivots = _pivots(ix, block)
+    pivots, block = _pivots(ix, block)
     if pivots is None:
         return probes.sparkSession.createDataFrame([], schema + ", rank int")
     homes = cut(_homes(ix, pivots))
@@ -243,6 +261,8 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
         sc: tuple(np.asarray(x) for x in zip(*rows)) for sc, rows in cells.items()})
     mixed = qt != idt               # one side's ids travel as text, and are numbers again where ties are settled
     need, skipping = k + (1 if skip_self else 0), skip is not None
+    if earlier:
+        need = math.inf             # how many rows of a cell are earlier isn't known
     if skipping:
         need += ix.groupBy("key").count().agg(F.max("count")).first()[0] or 0
     reach = math.inf if floor is None else math.sqrt(max(0.0, 2.0 - 2.0 * (floor - SLACK)))
@@ -260,34 +280,46 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "scope": pdf["scope"].to_numpy()[row],
                                 "cell": np.concatenate(picks).astype("int32") if len(row) else np.zeros(0, dtype="int32"),
                                 "vec": [m[i] for i in row]})
-    visitors = cut(q.drop("key").mapInPandas(visit, f"id {qt}, scope string, cell int, vec array<double>"))
+    visitors = q.drop("key").mapInPandas(visit, f"id {qt}, scope string, cell int, vec array<double>")
     if skip is not None:
         visitors = visitors.join(q.select("id", "key").distinct(), "id")
 
+    least = -10**9 if floor is None else math.ceil(floor * 1e4 - 1e-6)
+
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = _sides(pdf)
         if sides is None:
             return pd.DataFrame({probe_id: [], ident: [], "score": []})
-        hid, h, vid, v = sides
-        s = np.round(v @ h.T, 4)
-        if skipping:
-            hkey, vkey = pdf["key"][pdf["side"] == 0].to_numpy(), pdf["key"][pdf["side"] == 1].to_numpy()
+        h, hm, v, vm = sides
+        hid, vid = h["id"].to_numpy(), v["id"].to_numpy()
         if mixed and idt in ("bigint", "int"):
             hid = hid.astype("int64")
-        ok = np.ones_like(s, dtype=bool) if floor is None else s >= floor
-        if skip_self:
-            ok &= vid[:, None] != hid[None, :]
-        if skipping:
-            ok &= vkey[:, None] != hkey[None, :]
-        ids = np.broadcast_to(hid, s.shape)
-        order = np.lexsort((ids, -s, ~ok), axis=1)[:, :k]
-        row = np.repeat(np.arange(len(vid)), order.shape[1])
-        col = order.ravel()
-        hit = ok[row, col]
-        return pd.DataFrame({probe_id: vid[row][hit], ident: hid[col][hit], "score": s[row, col][hit]})
+            order = np.argsort(hid, kind="stable")
+            h, hm, hid = h.iloc[order], hm[order], hid[order]
+        n, out, none = len(hid), [], np.iinfo("int64").max
+        for i, j, s in _scores(vm, hm):
+            if j == 0:
+                top = np.full((s.shape[0], 0), none)
+            ok = s >= least
+            if skip_self:
+                ok &= vid[i:i + STEP, None] != hid[None, j:j + STEP]
+            if earlier:
+                ok &= vid[i:i + STEP, None] > hid[None, j:j + STEP]
+            if skipping:
+                ok &= v["key"].to_numpy()[i:i + STEP, None] != h["key"].to_numpy()[None, j:j + STEP]
+            # one number orders by score, then id
+            top = np.concatenate([top, np.where(ok, (20_000 - s) * n + (j + np.arange(s.shape[1]))[None, :], none)], axis=1)
+            if top.shape[1] > k:
+                top = np.partition(top, k - 1, axis=1)[:, :k]
+            if j + STEP >= n:
+                row, col = np.nonzero(top < none)
+                key = top[row, col]
+                out.append((vid[i + row], hid[key % n], (20_000 - key // n) / 1e4))
+        a, b, score = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({probe_id: a, ident: b, "score": score})
     if mixed:
         homes, visitors = homes.withColumn("id", F.col("id").cast("string")), visitors.withColumn("id", F.col("id").cast("string"))
-    hits = _tiles(homes, visitors, block).applyInPandas(best, schema)
+    hits = _tiles(homes, visitors, q, block).applyInPandas(best, schema)
     rank = F.row_number().over(W.partitionBy(probe_id).orderBy(F.desc("score"), ident))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
