@@ -121,6 +121,27 @@ def settle_targets(decisions: DataFrame) -> DataFrame:
         "claim_id", "action", F.col("root").alias("target_id"))
 
 
+def ingest(nodes: DataFrame, prov: DataFrame, children: DataFrame, new: DataFrame, new_prov: DataFrame,
+           decisions: DataFrame, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, provenance, children) after a batch: chains followed to the node that stays, then every new claim added,
+    merged or nested. Running the same batch again changes nothing.
+
+    nodes: finding_id, claim, corroboration_count, confidence_tier; new: claim_id, claim; the rest as elsewhere here.
+    """
+    settled = settle_targets(decisions)
+    stays = (decisions.filter(F.col("action").isin("new", "kept_contested")).join(new.select("claim_id", "claim"), "claim_id")
+             .join(nodes.select(F.col("finding_id").alias("claim_id")), "claim_id", "left_anti"))
+    added = stays.select(F.col("claim_id").alias("finding_id"), "claim", F.lit(1).cast("long").alias("corroboration_count"),
+                         F.when(F.col("action") == "kept_contested", V.CONTESTED).otherwise(X.tier_for_count(F.lit(1))).alias("confidence_tier"))
+    every = cut(nodes.select(*added.columns).unionByName(added))
+    known = prov.unionByName(new_prov.join(decisions.filter(F.col("action").isin("new", "kept_contested")).select(
+        F.col("claim_id").alias("finding_id")), "finding_id", "left_semi")).distinct()
+    pick = lambda a: settled.filter(F.col("action") == a).select("claim_id", "target_id")
+    merged, known = apply_merge(every, known, pick("merged"), new_prov, **how)
+    nested, kept = apply_nest(merged, children, pick("nested"), new)
+    return nested.drop("nested"), known, kept
+
+
 def consolidation_summary(decisions: DataFrame, by: str = "batch") -> DataFrame:
     act = lambda a: F.count_if(F.col("action") == a).alias(a)
     nov = lambda n: F.count_if(X.novelty_tier(F.col("nearest_score")) == n).alias(n)

@@ -35,7 +35,9 @@ def contains_join(texts: DataFrame, text_id: str, text: Column, keys: DataFrame,
 def _gram_join(body: DataFrame, text_id: str, want: DataFrame, key: str) -> DataFrame:
     size = (F.when(F.length("k") >= GRAM_LONG, GRAM_LONG).when(F.length("k") >= GRAM_SHORT, GRAM_SHORT)
             .otherwise(F.length("k")))
-    sizes = [GRAM_LONG, GRAM_SHORT, 1, 2, 3]
+    sizes = sorted(r["n"] for r in want.select(size.alias("n")).distinct().collect())       # of five: those that some key has
+    if not sizes:
+        return body.select(text_id, F.lit("").alias(key)).limit(0)
     own = want.select("k", F.explode(F.coalesce(*[F.when(size == n, _grams(F.col("k"), n)) for n in sizes])).alias("g"))
     rarity = own.groupBy("g").agg(F.count("*").alias("n"))
     anchor = own.join(rarity, "g").groupBy("k").agg(F.min_by("g", F.struct("n", "g")).alias("g"))

@@ -6,7 +6,6 @@ import re
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.functions import udtf
 
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import find_all, found_literals, matches, once, squash, tok, word_count, words, words4
@@ -164,23 +163,6 @@ def featurize(df: DataFrame, key: str, text: str = "text", dim: int = 1024) -> D
     return Normalizer(inputCol="w", outputCol="v").transform(tfidf).select(key, vector_to_array("v").alias("embedding"))
 
 
-@udtf(returnType="pos: int, query: string")
-class PersonQueries:
-    """Table function form of the name and angle fan-out, for lateral joins in SQL."""
-
-    def eval(self, name: str, context: str):
-        name, ctx = " ".join((name or "").split()), " ".join((context or "").split())[:40]
-        if not name:
-            return
-        base = f"{name} {ctx}" if ctx else name
-        seen: set[str] = set()
-        for q in [base, *(f"{base} {a}".replace("  ", " ").strip() for a in V.PERSON_ANGLES)]:
-            if q.lower() not in seen and len(seen) < 8:
-                yield len(seen), q
-                seen.add(q.lower())
-
-
-def person_queries_lateral(entities: DataFrame, key: str = "entity_id") -> DataFrame:
-    spark = entities.sparkSession
-    spark.udtf.register("person_queries", PersonQueries)
-    return spark.sql(f"SELECT e.{key}, q.pos, q.query FROM {{entities}} e, LATERAL person_queries(e.name, e.context) q", entities=entities)
+def person_queries_lateral(entities: DataFrame, key: str = "entity_id", cap: int | None = None) -> DataFrame:
+    """The name and angle fan-out as rows (pos, query), a lateral join with the native array."""
+    return entities.select(key, F.posexplode(X.person_queries(F.col("name"), F.col("context"), cap=cap)).alias("pos", "query"))

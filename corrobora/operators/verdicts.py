@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corrobora import schemas
 from corrobora.functions import exprs as X, vocab as V
+from corrobora.functions.text import find_all, once, words4
 
 
 def payload_json(c: Column) -> Column:
@@ -39,26 +40,24 @@ def response_summary(df: DataFrame) -> DataFrame:
                                           F.count_if(~ok).alias("failed"))
 
 
-def rule_relation(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Shipped default for the hook: token overlap, with differing numbers ruling out agreement."""
-    import re
+def rule_relation(a: Column, b: Column) -> Column:
+    """Shipped default: token overlap, with differing numbers ruling out agreement."""
+    tx, ty = words4(a), words4(b)
+    share = F.size(F.array_intersect(tx, ty)) / F.greatest(F.lit(1), F.least(F.size(tx), F.size(ty)))
+    numbers = lambda c: F.array_sort(F.array_distinct(find_all(c, r"\d+")))
+    differ = numbers(a) != numbers(b)
+    return once(share, lambda s: F.when((s >= 0.6) & differ, "contradicts").when(s >= 0.9, "same").when(s >= 0.6, "collaborative").otherwise("distinct"))
 
-    def one(x: str, y: str) -> str:
-        tx, ty = set(re.findall(r"[a-z]{4,}", x.lower())), set(re.findall(r"[a-z]{4,}", y.lower()))
-        share = len(tx & ty) / max(1, min(len(tx), len(ty)))
-        if share >= 0.6 and set(re.findall(r"\d+", x)) != set(re.findall(r"\d+", y)):
-            return "contradicts"
-        return "same" if share >= 0.9 else "collaborative" if share >= 0.6 else "distinct"
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)], dtype="object")
 
-
-def with_verdicts(pairs: DataFrame, fn: Callable[[pd.Series, pd.Series], pd.Series] = rule_relation,
+def with_verdicts(pairs: DataFrame, fn: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
                   a: str = "text_a", b: str = "text_b", labels=V.RELATIONS, default: str = "distinct",
                   out: str = "relation") -> DataFrame:
-    """Run a batch judge (a model or a rule) over candidate pairs and validate what it answers.
+    """Run a batch judge over candidate pairs and validate what it answers; without one, the native rule decides.
 
     Filter and de-duplicate candidates natively before this step: it is the expensive one.
     """
+    if fn is None:
+        return pairs.withColumn(out, X.within(rule_relation(F.col(a), F.col(b)), labels, default))
     schema = T.StructType([*pairs.schema.fields, T.StructField("_label", T.StringType())])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -99,4 +99,4 @@ _ROLE = "CASE WHEN length(name) % 4 = 0 THEN ' Official' WHEN length(name) % 4 =
 def _(t):
     m = P.mentions(t.v_case_claims)
     roles = m.select("name").distinct().select("name", F.expr(_ROLE).alias("role"))
-    return P.discover(m, t.v_roster.filter("name LIKE 'M%'"), roles)
+    return P.discover(m, t.v_cards, roles)

@@ -184,3 +184,34 @@ def _(t):
         "branch_id", F.when(F.col("branch_id") == "en", " first side ").otherwise("").alias("toward"),
         F.when(F.col("branch_id") == "en", "Strong").otherwise("huge").alias("magnitude"))
     return E.disagreement_input(t.v_findings, leans).withColumn("contested", F.col("contested").cast("int"))
+
+
+_INGEST = """f AS (SELECT claim_id, action, target_id FROM de WHERE action IN ('merged', 'nested') UNION ALL SELECT f.claim_id, f.action, d.target_id
+      FROM f JOIN de d ON d.claim_id = f.target_id WHERE d.action IN ('merged', 'nested')),
+    st AS (SELECT * FROM f WHERE target_id NOT IN (SELECT claim_id FROM de WHERE action IN ('merged', 'nested'))),
+    nd AS (SELECT vec_id AS finding_id, 'Speculative' AS tier FROM v_probes UNION ALL
+      SELECT claim_id, CASE WHEN action = 'kept_contested' THEN 'Controversial' ELSE 'Speculative' END FROM de WHERE action IN ('new', 'kept_contested')),
+    sr AS (SELECT vec_id AS finding_id, vec_id % 5 AS s FROM v_probes UNION SELECT claim_id, claim_id % 5 FROM de WHERE action IN ('new', 'kept_contested')
+      UNION SELECT target_id, claim_id % 5 FROM st WHERE action = 'merged'),
+    ns AS (SELECT finding_id, count(*) AS n FROM sr GROUP BY 1), ch AS (SELECT target_id AS finding_id, count(*) + 1 AS n FROM st WHERE action = 'nested' GROUP BY 1),
+    c AS (SELECT nd.finding_id, tier, coalesce(ch.n, CASE WHEN nd.finding_id IN (SELECT target_id FROM st WHERE action = 'merged') THEN ns.n END) AS n, coalesce(ch.n, 0) AS n_children
+      FROM nd JOIN ns USING (finding_id) LEFT JOIN ch ON ch.finding_id = nd.finding_id)"""
+
+
+@query("H1_ingest_run", f"""
+    WITH RECURSIVE {DECIDE}, {_INGEST} SELECT finding_id, cast(coalesce(n, 1) AS bigint) AS corroboration_count, n_children,
+      CASE WHEN n IS NULL OR tier = 'Controversial' THEN tier WHEN n >= 3 THEN 'Accepted' WHEN n = 2 THEN 'Moderately Accepted' ELSE 'Speculative' END AS confidence_tier FROM c""")
+def _(t):
+    nodes, _, children = ingested(t)
+    n = children.groupBy("finding_id").agg(F.count("*").alias("n_children"))
+    return nodes.join(n, "finding_id", "left").select("finding_id", "corroboration_count", F.coalesce("n_children", F.lit(0)).alias("n_children"), "confidence_tier")
+
+
+def ingested(t, before=None):
+    """A whole batch (the index vectors) taken in over the probe vectors, or once more over what came out."""
+    say = lambda d, name: d.select(F.col("vec_id").alias(name), F.concat(F.lit("claim "), F.col("vec_id").cast("string")).alias("claim"))
+    said = lambda d: d.select(F.col("vec_id").alias("finding_id"), F.lit("source").alias("kind"), F.concat(F.lit("src"), (F.col("vec_id") % 5).cast("string")).alias("value"))
+    if before is None:
+        nodes = say(t.v_probes, "finding_id").withColumns({"corroboration_count": F.lit(1).cast("long"), "confidence_tier": F.lit("Speculative")})
+        before = nodes, said(t.v_probes), nodes.select("finding_id", F.col("finding_id").alias("child_id"), "claim").limit(0)
+    return E.ingest(*before, say(t.v_index, "claim_id"), said(t.v_index), decisions(t))

@@ -180,13 +180,13 @@ SAME = """(a.t[1] = b.t[1] AND (a.t[-1] = b.t[-1] OR len(list_filter(a.t, lambda
 CANDS = f"""{MENT}, cn AS (SELECT name, count(*) AS n FROM m WHERE {PLAUSIBLE_SQL} GROUP BY name),
     cu AS (SELECT name, n FROM cn WHERE NOT EXISTS (SELECT 1 FROM (SELECT lower(name) AS k, string_split(lower(name), ' ') AS t FROM v_few) b,
            (SELECT lower(cn.name) AS l, string_split(lower(cn.name), ' ') AS t) a WHERE contains(l, k) OR contains(k, l) OR {SAME})),
-    v_few AS (SELECT name FROM v_roster WHERE name LIKE 'M%')""".replace("v_few", "few")
-CANDS = CANDS.replace(MENT + ",", "few AS (SELECT name FROM v_roster WHERE name LIKE 'M%'), " + MENT + ",").rsplit(",\n    few AS", 1)[0]
+    v_few AS (SELECT name FROM v_cards)""".replace("v_few", "few")
+CANDS = CANDS.replace(MENT + ",", "few AS (SELECT name FROM v_cards), " + MENT + ",").rsplit(",\n    few AS", 1)[0]
 
 
 @query("C25_unknown_candidates", f"WITH {CANDS} SELECT name, n FROM cu")
 def _(t):
-    return P.unknown_candidates(P.mentions(t.v_case_claims), t.v_roster.filter("name LIKE 'M%'"))
+    return P.unknown_candidates(P.mentions(t.v_case_claims), t.v_cards)
 
 
 def works(t):

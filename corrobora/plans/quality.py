@@ -116,4 +116,4 @@ def _(t):
     r AS (SELECT entity_id, q, row_number() OVER (PARTITION BY entity_id ORDER BY p) - 1 AS pos FROM d WHERE dup = 1)
     SELECT entity_id, cast(pos AS int) AS pos, q AS query FROM r WHERE pos < 8""")
 def _(t):
-    return Q.person_queries_lateral(t.v_entity_ctx)
+    return Q.person_queries_lateral(t.v_entity_ctx, cap=8)
