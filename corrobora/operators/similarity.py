@@ -100,8 +100,8 @@ def _tiles(homes: DataFrame, visitors: DataFrame, asking: DataFrame, block: int)
     """Rows of both sides keyed by task; a side is repeated only across the other side's blocks. ``asking``: the rows the
     visitors come from, counted instead of the visits."""
     on = ["scope", "cell"]
-    sizes = (homes.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("nh"))
-             .join(asking.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("nv")), "scope"))
+    asked = cut(asking.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("nv")))     # a row a scope
+    sizes = homes.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("nh")).join(asked, "scope")
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     extra = [c for c in ("key", "own") if c in visitors.columns]
