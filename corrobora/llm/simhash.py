@@ -320,7 +320,8 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     names = F.col("doc_id") == F.col("component_id")
     kept = keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(names).alias("__named"), F.count("*").alias("__rows"), F.min(F.when(names, F.col("text_hash"))).alias("__hash"))
                 .filter("__named > 0"), "kept")
-    cols, own = docs.columns, docs.join(kept, docs["doc_id"] == kept["__id"])
+    # kept ids grow with the documents: both sides are shuffled at every size, never broadcast
+    cols, own = docs.columns, docs.join(kept.hint("merge"), docs["doc_id"] == kept["__id"])
     out = own.filter("__rows = 1").select(*[docs[c] for c in cols])
     if not kept.filter("__rows > 1").isEmpty():
         text = F.coalesce(docs["text"], F.lit(""))
