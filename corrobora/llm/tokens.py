@@ -32,7 +32,7 @@ from corrobora.llm.common import keep, slices, texts_of
 BLOCK = 131_072         # ids in a block at least, unless the part ends
 LANE = 64               # ids between two bit offsets
 LIMIT = 18              # longest code in bits, more if there are too many different ids
-CACHE = 400_000         # words whose ids a worker remembers, and as many of before
+CACHE = 350_000         # words whose ids a worker remembers, and as many of before
 
 BLOCKS = ("part int, seq int, start long, doc_ids array<long>, doc_sizes array<long>, n_tokens long, "
           "payload binary, lanes binary")
@@ -74,27 +74,29 @@ class Encoder:
         split = pc.split_pattern(begun, " ")
         words = split.flatten().dictionary_encode()
         ids = self._of_words(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size, dtype=np.int32) - size      # a batch has less than 2^31 ids
         code = np.asarray(words.indices)
         n = size[code]
-        end = np.cumsum(n)
+        end = np.cumsum(n, dtype=np.int32)
         place = np.repeat(start[code] - (end - n), n)
-        place += np.arange(len(place))
+        place += np.arange(len(place), dtype=np.int32)
         got = flat[place]
         bounds = np.r_[0, end][np.asarray(split.offsets)]
         return [got[lo + 1:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]    # less the line end put before
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         known, old, seen = self.known, self.old, self.seen
-        known.update((w, old[w]) for w in words if w in old and w not in known)
-        new = [w for w in words if w not in known]
+        if old:
+            known.update((w, old[w]) for w in words if w in old and w not in known)
+        got = list(map(known.get, words))
+        new = [w for w, ids in zip(words, got) if ids is None]
         fresh: dict[str, bytes] = {}
         for at in range(0, len(new), 4_096):
             part = new[at:at + 4_096]
             found = self.of_text.encode_batch_fast([w if w[:1] == "\n" else " " + w for w in part], add_special_tokens=False)
             fresh.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
-        out = [known[w] if w in known else fresh[w] for w in words]
+        out = [ids or fresh[w] for w, ids in zip(words, got)]
         for w in new:                                       # a word is remembered from the second batch on that has it
             mark = hash(w) & _MARKS
             if seen[mark]:
@@ -148,7 +150,7 @@ def raw_blocks(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK)
                  pa.array([small.tobytes() if small.dtype == np.uint16 else b"4" + ids.tobytes()], pa.binary())],
                 names=["part", "seq", "pos", "doc_ids", "doc_sizes", "ids"])
         size = 0
-        for b in slices(batches):
+        for b in slices(batches, 4_000):
             for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 held.append(np.append(ids, np.uint32(end_id)))
                 doc_ids.append(doc_id)
@@ -230,7 +232,7 @@ class Codebook:
         """(payload, lanes)."""
         ids = ids.astype(np.int64)
         n, code = self.length[ids], self.code[ids]
-        end = np.cumsum(n)
+        end = np.cumsum(n, dtype=np.int32)
         start = end - n
         word, shift = start >> 5, 64 - n - (start & 31)
         both = code.astype(np.uint64) << shift.astype(np.uint64)
