@@ -28,6 +28,7 @@ SAMPLE = 20_000         # labelled rows that are learned from, at most
 SURE = 6.0              # root of the likelihood ratio by which a token's share must exceed that of the rest
 SLACK = 0.05
 ROUNDS = 60
+PATIENCE = 6            # steps without a gain before the best is taken
 REPEAT = 1.0            # a domain is asked for at most so many times the tokens it has
 MOST = 2.0              # highest rate of a document
 _BREAK = r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])"
@@ -182,7 +183,7 @@ def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor:
     total = sum(have) if anchor is None or not share[anchor] else have[anchor] / share[anchor]
     goal = [min(share[i] * total, REPEAT * have[i]) for i in k]
     rows, pending, steps = members.select("__tokens", "__p", F.lit(1.0).alias("__r")), [], []
-    last, damp, inside = math.inf, 1.0, (F.col("__r") > 0) & (F.col("__r") < MOST)
+    best, kept, last, damp, inside = math.inf, 0, math.inf, 1.0, (F.col("__r") > 0) & (F.col("__r") < MOST)
     for _ in range(rounds):
         rate = moved(F.col("__r"), F.col("__p"), pending)
         now = rows.select(rate.alias("__r"), "__tokens", "__p").agg(
@@ -194,8 +195,10 @@ def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor:
         gram = [[now[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k]
         ease = 1e-6 * max([have[i] for i in k] + [1e-9])
         error = math.sqrt(sum((off[i] / max(have[i], 1.0)) ** 2 for i in k))
-        if error < tolerance or damp < 1e-3:
-            break
+        if error < 0.99 * best:
+            best, kept = error, len(steps)
+        if error < tolerance or len(steps) - kept >= PATIENCE:
+            break                                                     # met, or as near as rates can come
         damp = damp / 2 if error >= last else min(1.0, damp * 1.5)
         last = error
         step = [damp * x for x in solve([[g + ease * (i == j) for j, g in enumerate(row)] for i, row in enumerate(gram)], off)]
@@ -203,7 +206,7 @@ def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor:
         pending.append(step)
         if len(pending) == 12:
             rows, pending = keep(rows.select("__tokens", "__p", rate.alias("__r")), "rates"), []
-    return steps
+    return steps[:kept]
 
 
 def copies(rate: Column, key: Column) -> Column:
