@@ -136,11 +136,11 @@ def bad_question(c: Column) -> Column:
     """Why the question is unusable; empty string when it is fine."""
     s = squash(c)
     n = word_count(c)
-    return (F.when(s == "", "empty")
-            .when(n > V.MAX_QUESTION_WORDS, F.concat(F.lit("too long ("), n.cast("string"), F.lit(" words)")))
-            .when(matches(s, V.DOC_EXISTENCE), "asks whether a document exists instead of what happened")
+    return (F.when(s == "", V.REASON_EMPTY)
+            .when(n > V.MAX_QUESTION_WORDS, F.concat(F.lit(V.REASON_LONG[0]), n.cast("string"), F.lit(V.REASON_LONG[1])))
+            .when(matches(s, V.DOC_EXISTENCE), V.REASON_DOCUMENT)
             .when((F.length(s) - F.length(F.regexp_replace(s, r"\?", "")) > 1)
-                  | F.lower(s).contains(" and what ") | s.contains("—"), "compound (more than one question)")
+                  | F.lower(s).contains(" and what ") | s.contains("—"), V.REASON_COMPOUND)
             .otherwise(""))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corrobora.functions import exprs as X, vocab as V
-from corrobora.functions.text import literals, sig_tokens, squash, word_count, words
+from corrobora.functions.text import literals, sig_tokens, squash, words
 from corrobora.operators.lexical import hybrid, known_claims
 from corrobora.operators.matching import contains_join
 from corrobora.operators.ordering import row_numbers

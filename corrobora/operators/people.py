@@ -39,8 +39,8 @@ def keyed(entities: DataFrame) -> DataFrame:
     return entities.select("*", F.explode(X.entity_keys(F.col("name"))).alias("k")).filter("k <> ''")
 
 
-def case_anchors(topics: DataFrame, roster: DataFrame, max_chars: int = 48) -> DataFrame:
-    """Distinct topic words in order, without stop words, roster words or bracketed personal detail."""
+def case_anchors(topics: DataFrame, roster: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Distinct topic words in order, without stop words, roster words or bracketed personal detail; cut on request."""
     low = F.lower("topic")
     inside = find_all(F.array_join(find_all(low, r"\(([^)]*)\)", 1), " "), "[a-z]{4,}")
     own = F.array_except(find_all(low, "[a-z]{4,}"), F.concat(literals(V.CASE_STOP), inside))
@@ -50,7 +50,7 @@ def case_anchors(topics: DataFrame, roster: DataFrame, max_chars: int = 48) -> D
             .groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("ws")))
     joined = F.array_join(F.transform("ws", lambda x: x["w"]), " ")
     return (topics.select("finding_id").join(kept, "finding_id", "left")
-            .select("finding_id", F.substring(F.coalesce(joined, F.lit("")), 1, max_chars).alias("anchor")))
+            .select("finding_id", (F.coalesce(joined, F.lit("")) if max_chars is None else F.substring(F.coalesce(joined, F.lit("")), 1, max_chars)).alias("anchor")))
 
 
 # --- case files ------------------------------------------------------------------------------------

@@ -35,17 +35,17 @@ def validate_transcripts(df: DataFrame, relevance: DataFrame, key: str = "url")
 
 # --- style -----------------------------------------------------------------------------------------
 def voice_lint(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Violation rows (kind, detail): banned phrases, long questions, openers without a concrete anchor."""
+    """Violation rows (kind, detail, display: the detail cut for a list): banned phrases, long questions, openers without a concrete anchor."""
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
     phrases = once(low, lambda q: found_literals(q, V.BANNED_PHRASES))
     questions = F.filter(F.transform(find_all(t, r"(?<![^.!?])[^.!?]*+\?"), lambda q: F.trim(q)), lambda q: F.length(q) > 12)
     first = F.get(F.split(F.trim(t), r"\."), 0)
     anchored = F.substring(first, 4, 2**31 - 1).rlike(r"\b[A-Z][a-z]{2,}|\b\d+\b") | matches(first, V.NUMBER_WORD_ANCHOR)
-    opener = F.when((first != "") & ~anchored, F.array(F.substring(first, 1, 70))).otherwise(F.array().cast("array<string>"))
-    tag = lambda xs, kind: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("detail")))
+    opener = F.when((first != "") & ~anchored, F.array(first)).otherwise(F.array().cast("array<string>"))
+    tag = lambda xs, kind: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("detail"), F.substring(x, 1, V.DISPLAY_CHARS).alias("display")))
     found = F.concat(tag(phrases, "banned phrase"),
-                     tag(F.transform(questions, lambda q: F.substring(q, 1, 70)), "rhetorical question"),
+                     tag(questions, "rhetorical question"),
                      tag(opener, "mood opener"))
     return docs.select(key, F.inline(found))
 
@@ -113,11 +113,11 @@ def profile_fidelity(reports: DataFrame, profiles: DataFrame, on: str = "report_
     rows = rows.withColumn("_seg", seg)
     present = F.contains(low, name) | F.contains(low, surname)
     head = F.slice(find_all(F.lower(cause), "[a-z]{4,}"), 1, 2)
-    case = lambda cond, kind, detail: F.when(cond, F.struct(F.lit(kind).alias("kind"), detail.alias("detail")))
+    case = lambda cond, kind, detail: F.when(cond, F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), F.substring(detail, 1, V.CAUSE_CHARS + 6).alias("display")))
     found = F.array_compact(F.array(
         case(~present, "MISSING", F.lit("not in the report")),
         case(present & ~status.isin("", "unknown") & ~F.contains("_seg", status), "LOST", F.concat(F.lit("status "), status)),
-        case(present & (F.size(head) > 0) & ~F.exists(head, lambda h: F.contains(F.col("_seg"), h)), "LOST", F.concat(F.lit("cause "), F.substring(cause, 1, 40))),
+        case(present & (F.size(head) > 0) & ~F.exists(head, lambda h: F.contains(F.col("_seg"), h)), "LOST", F.concat(F.lit("cause "), cause)),
         case(present & (status == "missing") & F.col("_seg").rlike(V.IMPLIES_DEATH), "INVENTED", F.lit("implies death"))))
     return rows.select(on, "name", F.inline(found))
 

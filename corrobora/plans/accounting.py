@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from corrobora.functions import vocab as V
-from corrobora.functions.text import literals
 from corrobora.operators import accounting as A, lexical as L
 from corrobora.operators.evidence import label_counts
 from corrobora.plans.catalog import query

@@ -408,4 +408,4 @@ def _(t):
 def _(t):
     topics = t.v_case_claims.select("finding_id", F.concat(
         F.lower("claim"), F.lit(" ("), F.left(F.lower("branch_id"), F.lit(2)), F.lit(" region detail) ")).alias("topic"))
-    return people.case_anchors(topics, t.v_roster).select("finding_id", "anchor")
+    return people.case_anchors(topics, t.v_roster, 48).select("finding_id", "anchor")

@@ -7,7 +7,6 @@ from corrobora.plans.catalog import query
 from corrobora.plans.expressions import KEYS_SQL, NAMES_SQL, PLAUSIBLE_SQL, sql_bad, sql_rx, sql_squash
 from corrobora.plans.retrieval import HY, KNOWN, hybrid_queries
 from corrobora.plans.scans import sql_any, sql_list
-from corrobora.functions.text import literals
 
 HITS = f"""ks AS ({KEYS_SQL.format('v_roster')}),
     hits AS (SELECT DISTINCT finding_id, name FROM v_case_claims JOIN ks ON contains(lower(claim), k))"""

@@ -33,7 +33,7 @@ LINT = f"""d AS (SELECT report_id, text FROM v_reports UNION ALL SELECT -doc_id
 @query("J2_voice_lint", f"WITH {LINT} SELECT * FROM b UNION ALL SELECT * FROM q UNION ALL SELECT * FROM o")
 def _(t):
     docs = t.v_reports.union(t.documents.select((-F.col("doc_id") - 1).alias("report_id"), "text"))
-    return Q.voice_lint(docs, "report_id")
+    return Q.voice_lint(docs, "report_id").select("report_id", "kind", F.col("display").alias("detail"))
 
 
 @query("J3_count_fidelity", reason="needs look-around; checked by goldens")
@@ -54,7 +54,7 @@ def _(t):
     UNION ALL SELECT report_id, name, 'LOST', 'cause ' || left(cause, 40) FROM s WHERE present AND len(head) > 0 AND len(list_filter(head, lambda h: contains(seg, h))) = 0
     UNION ALL SELECT report_id, name, 'INVENTED', 'implies death' FROM s WHERE present AND status = 'missing' AND regexp_matches(seg, '{V.IMPLIES_DEATH}')""")
 def _(t):
-    return Q.profile_fidelity(t.v_reports, t.v_profiles)
+    return Q.profile_fidelity(t.v_reports, t.v_profiles).withColumn("detail", F.col("display")).drop("display")
 
 
 _ART = "SELECT c_custkey AS artifact_id, CASE WHEN c_custkey % 2 = 0 THEN 'questions' ELSE 'findings' END AS kind, c_mktsegment || ' building order case' AS case_text FROM customer"

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from corrobora.functions import vocab as V
 from corrobora.functions.exprs import standard_label
-from corrobora.functions.text import literals
 from corrobora.operators import ranking as R, similarity as S
 from corrobora.plans.catalog import query
 from corrobora.plans.expressions import sql_bad, sql_map, sql_squash

@@ -94,8 +94,8 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def html_text(c: Column, min_chars: int = 200) -> Column:
-    s = F.regexp_replace(c, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    s = F.regexp_replace(s, r"(?s)<[^>]+>", " ")
+    s = F.regexp_replace(c, V.HTML_UNREAD, " ")
+    s = F.regexp_replace(s, V.HTML_TAG, " ")
     s = F.trim(F.regexp_replace(_unescape(s), r"\s+", " "))
     return F.when(F.length(s) >= min_chars, s)
 
@@ -117,8 +117,8 @@ def normalize_captions(df: DataFrame, col: str = "raw") -> DataFrame:
     strings = F.array_join(F.from_json(F.when(raw.rlike(r'^\s*\[\s*"'), raw), "array<string>"), " ")
     joined = F.coalesce(F.nullif(strings, F.lit("")), joined)
     lines = F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: F.trim(x))
-    kept = F.filter(lines, lambda x: (x != "") & (x != "WEBVTT") & ~x.rlike(r"^\d+$") & ~x.contains("-->"))
-    plain = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "<[^>]+>", "")), " ")
+    kept = F.filter(lines, lambda x: (x != "") & (x != "WEBVTT") & ~x.rlike(V.CUE_NUMBER) & ~x.contains("-->"))
+    plain = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, V.CAPTION_TAG, "")), " ")
     return df.withColumn("text", F.when(is_json & (F.trim(joined) != ""), joined).otherwise(plain))
 
 
@@ -127,8 +127,8 @@ def ordered_links(text: Column) -> Column:
 
     Stays inside the row, so no shuffle however many pages there are.
     """
-    found = F.concat(find_all(text, r"\]\((https?://[^\s)]+)\)", 1),
-                     find_all(text, r"(?<![\(<\"])https?://[^\s)>\]\"]+"))
+    found = F.concat(find_all(text, V.MARKDOWN_LINK, 1),
+                     find_all(text, V.BARE_LINK))
     urls = F.array_distinct(F.transform(found, lambda u: F.rtrim(u, F.lit(".,);]"))))
     urls = F.filter(urls, lambda u: ~any_literal(F.lower(u), V.CHASE_NOISE))
     source = lambda u: any_literal(F.lower(u), V.SOURCE_HINTS)
@@ -142,14 +142,14 @@ def outbound_links(pages: DataFrame, key: str = "page_id", col: str = "text") ->
 def description_links(df: DataFrame, key: str, col: str) -> DataFrame:
     """Source links of a video description page: redirect targets unwrapped, social hosts dropped."""
     page = F.col(col)
-    wrapped = find_all(page, r'"url":"(https://www\.youtube\.com/redirect\?[^"]+)"', 1)
+    wrapped = find_all(page, V.REDIRECT_LINK, 1)
     targets = F.transform(wrapped, lambda u: F.try_url_decode(F.try_parse_url(
         F.regexp_replace(u, r"\\u0026", "&"), F.lit("QUERY"), F.lit("q"))))
     targets = F.filter(targets, lambda u: u.startswith("http"))
-    described = F.regexp_extract(page, r'"shortDescription":"((?:[^"\\]|\\.)*)"', 1)
+    described = F.regexp_extract(page, V.DESCRIPTION_TEXT, 1)
     # the whole JSON string is decoded, so an escaped character never cuts a link
     described = F.from_json(F.concat(F.lit('{"d":"'), described, F.lit('"}')), "d string")["d"]
-    plain = find_all(F.coalesce(described, F.lit("")), r'https?://[^\s"\\)]+')
+    plain = find_all(F.coalesce(described, F.lit("")), V.DESCRIPTION_LINK)
     links = F.array_sort(F.array_distinct(F.concat(targets, plain)))
     kept = F.filter(links, lambda u: ~any_literal(F.lower(u), V.DESCRIPTION_NOISE))
     return df.select(key, F.posexplode(kept).alias("rank", "url"))
