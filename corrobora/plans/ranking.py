@@ -42,7 +42,7 @@ _SRC = ["SELECT p_type AS item, p_partkey AS pos FROM part", "SELECT p_brand AS
 @query("E4_ordered_distinct", f"""
     WITH u AS ({' UNION ALL '.join(f"SELECT item, {i} AS prio, cast(pos AS bigint) AS pos FROM ({s})" for i, s in enumerate(_SRC))}),
     m AS (SELECT item, min((prio, pos)) AS m FROM u WHERE trim(item) <> '' GROUP BY item)
-    SELECT item, m[1] AS prio, m[2] AS pos FROM m ORDER BY 2, 3, 1 LIMIT 60""")
+    SELECT item, m[1] AS prio, m[2] AS pos, (SELECT count(*) FROM m) AS n_total FROM m ORDER BY 2, 3, 1 LIMIT 60""")
 def _(t):
     return R.ordered_distinct([t.sql(s) for s in _SRC], 60)
 
