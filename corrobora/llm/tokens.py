@@ -32,7 +32,7 @@ from corrobora.llm.common import keep, slices, texts_of
 BLOCK = 131_072         # ids in a block at least, unless the part ends
 LANE = 64               # ids between two bit offsets
 LIMIT = 18              # longest code in bits, more if there are too many different ids
-CACHE = 350_000         # words whose ids a worker remembers, and as many of before
+CACHE = 500_000         # words whose ids a worker remembers, and as many of before
 
 BLOCKS = ("part int, seq int, start long, doc_ids array<long>, doc_sizes array<long>, n_tokens long, "
           "payload binary, lanes binary")
@@ -215,7 +215,7 @@ class Codebook:
         order = sorted(lengths, key=lambda i: (lengths[i], i))
         self.top = max(lengths.values(), default=1)
         size = max(lengths, default=-1) + 1
-        self.length, self.code = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.length, self.code = np.zeros(size, np.int32), np.zeros(size, np.uint64)
         self.symbol, self.bits = np.zeros(1 << self.top, np.uint32), np.zeros(1 << self.top, np.int64)
         code, last = 0, 0
         for i in order:
@@ -230,12 +230,11 @@ class Codebook:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """(payload, lanes)."""
-        ids = ids.astype(np.int64)
-        n, code = self.length[ids], self.code[ids]
-        end = np.cumsum(n, dtype=np.int32)
+        n = self.length[ids]
+        end = np.cumsum(n, dtype=np.int32 if len(ids) * self.top < 1 << 31 else np.int64)
         start = end - n
-        word, shift = start >> 5, 64 - n - (start & 31)
-        both = code.astype(np.uint64) << shift.astype(np.uint64)
+        word = start >> 5
+        both = self.code[ids] << (64 - n - (start & 31)).astype(np.uint64)
         out = np.zeros(int(end[-1] + 31 >> 5) + 1 if len(end) else 0, np.uint64)
         if len(end):
             cut = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -265,7 +264,7 @@ class Codebook:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, limit: int = LIMIT, block: int = BLOCK) -> None:
     """Encode all documents and write codebook and blocks under ``path``."""
     spark = docs.sparkSession
-    raw = keep(raw_blocks(docs, tokenizer, end_id, block), "raw-blocks")
+    raw = keep(raw_blocks(docs, tokenizer, end_id, block), "raw-blocks", "lz4_raw")
     lengths = code_lengths(id_counts(raw), limit)
     rows = [(int(i), int(n)) for i, n in lengths.items()]
     spark.createDataFrame(rows, "id long, length int").coalesce(1).sortWithinPartitions("length", "id").write.parquet(f"{path}/codebook")
