@@ -32,7 +32,7 @@ from corrobora.llm.common import keep, slices, texts_of
 BLOCK = 131_072         # ids in a block at least, unless the part ends
 LANE = 64               # ids between two bit offsets
 LIMIT = 18              # longest code in bits, more if there are too many different ids
-CACHE = 500_000         # words whose ids a worker remembers, and as many of before
+CACHE = 400_000         # words whose ids a worker remembers, and as many of before
 
 BLOCKS = ("part int, seq int, start long, doc_ids array<long>, doc_sizes array<long>, n_tokens long, "
           "payload binary, lanes binary")
@@ -171,6 +171,7 @@ def _ids(raw: bytes) -> np.ndarray:
 def id_counts(raw: DataFrame) -> dict[int, int]:
     """How often each id stands in all blocks; as many rows as the vocabulary has ids at most."""
     def run(batches):
+        _encoders.clear()                                   # a worker that is used again needs its words no more
         total = np.zeros(0, np.int64)
         for b in slices(batches, 1):
             n = np.bincount(_ids(b.column(0)[0].as_py()))
@@ -277,6 +278,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, li
     shared = spark.sparkContext.broadcast((lengths, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()                                   # a worker that is used again needs its words no more
         lengths, starts = shared.value
         book = Codebook(lengths)
         for b in slices(batches, 1):
