@@ -124,6 +124,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Give a worker's remembered words up. Named, so that tasks reach the worker's own module."""
+    _encoders.clear()
+
+
 # ---------------------------------------------------------------- encoding to raw blocks
 
 def in_id_order(docs: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ def _ids(raw: bytes) -> np.ndarray:
 def id_counts(raw: DataFrame) -> dict[int, int]:
     """How often each id stands in all blocks; as many rows as the vocabulary has ids at most."""
     def run(batches):
-        _encoders.clear()                                   # a worker that is used again needs its words no more
+        forget()                                            # a worker that is used again needs its words no more
         total = np.zeros(0, np.int64)
         for b in slices(batches, 1):
             n = np.bincount(_ids(b.column(0)[0].as_py()))
@@ -278,7 +283,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, li
     shared = spark.sparkContext.broadcast((lengths, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _encoders.clear()                                   # a worker that is used again needs its words no more
+        forget()                                            # a worker that is used again needs its words no more
         lengths, starts = shared.value
         book = Codebook(lengths)
         for b in slices(batches, 1):
