@@ -3,9 +3,12 @@
 Texts are taken apart once, into blocks: each block has its own word list and the documents as numbers into it. Counts
 of all training tokens come back to a block as one number for each word of its list, so no table of (document, word)
 pairs is ever built. Words that make up at least 1 / FREQUENT of all tokens (so there are FREQUENT of them at most) are
-clustered by exchange: each moves to the class where the class bigrams become likeliest, until few moves are left.
-Other known words form a class for each power of two of their count; the end of a text has a class of its own. An
-unseen word takes the place of words seen once, each of which was unseen before.
+clustered by exchange: each moves to the class where the class bigrams become likeliest, until few moves are left. In a
+flat vocabulary the share is lowered until there are as many of these seeds as classes. All other words of LEAST training
+occurrences and more then join a class by the same criterion: the classes of their neighbours are counted block by block,
+brought together by word, and one task decides for a word, so what is clustered grows with the vocabulary. Rarer words form
+a class for each power of two of their count; the end of a text has a class of its own. An unseen word takes the place of
+words seen once, each of which was unseen before.
 
     P(word | last) = P(class | last class) * P(word | class)
 
@@ -31,9 +34,11 @@ from corrobora.llm.common import crc_mod_py, keep, slices, texts_of, utf8
 
 BLOCK = 16_000_000      # bytes of text in a block, about
 FREQUENT = 2_048
+LEAST = 5               # training occurrences of a word that joins a class by its neighbours
 CLASSES = 64
 SWEEPS = 6
 BANDS = 64              # powers of two of a count
+WORD_BITS = 27          # of a word's place in its block, within its key; 36 are left for the block
 
 _BLOCKS = ("block long, doc_ids array<long>, held array<boolean>, sizes array<int>, codes binary, "
            "words array<binary>, counts array<long>")
@@ -46,6 +51,8 @@ def blocks_of(docs: DataFrame, fold: int, held_out: int, size: int = BLOCK) -> D
     each word stands in training documents, those whose crc32(doc_id) mod ``fold`` is not ``held_out``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
+        if part >= 1 << 20:
+            raise OverflowError("partitions of a block number")
 
         def fresh():
             number: dict[bytes, int] = defaultdict(count(1).__next__)       # an unknown word takes the next number
@@ -54,13 +61,15 @@ def blocks_of(docs: DataFrame, fold: int, held_out: int, size: int = BLOCK) -> D
         number, ids, held, codes, taken = fresh()
 
         def done():
+            if seq >= 1 << 16 or len(number) > 1 << WORD_BITS:
+                raise OverflowError("blocks of a partition or words of a block")
             sizes = np.fromiter(map(len, codes), np.int32, len(codes))
             flat = np.concatenate(codes)
             training = np.repeat(~np.array(held, bool), sizes)
             counts = np.bincount(flat[training], minlength=len(number))
             narrow = flat.astype(np.uint16) if len(number) <= 65_536 else flat
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
+                [pa.array([(part << 16) + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
                  pa.array([sizes], pa.list_(pa.int32())), pa.array([narrow.tobytes()], pa.binary()),
                  pa.array([list(number)], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))],
                 names=["block", "doc_ids", "held", "sizes", "codes", "words", "counts"])
@@ -85,25 +94,29 @@ def _codes(raw: bytes, tokens: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint16 if len(raw) == 2 * tokens else np.uint32)
 
 
-def with_counts(blocks: DataFrame, least: float) -> DataFrame:
+def with_counts(blocks: DataFrame, least: float, some: int = LEAST) -> DataFrame:
     """Blocks with the count of each word over all training documents, in the order of the word list (int64), and the
-    words whose count is at least ``least`` with their places; ``n_known``: known words that no earlier block has. A word
-    has one row for each block that holds it."""
+    words whose count is at least ``least`` with their places; ``n_known``: known words that no earlier block has; ``keys``:
+    of each word with a count of ``some`` and more the number of its first place, the same in all blocks. A word has one row
+    for each block that holds it."""
     rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select(
         "block", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     of_word = Window.partitionBy("word")
-    known = rows.select("block", "code", "word", F.sum("n").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
-    ordered = (known.select("block", "code", "c", F.when((F.col("c") >= least) & (F.col("code") > 0), F.col("word")).alias("word"), "first")
+    own_key = F.shiftleft("block", WORD_BITS) + F.col("code")
+    known = rows.select("block", "code", "word", F.sum("n").over(of_word).alias("c"), F.min(own_key).over(of_word).alias("key"))
+    ordered = (known.select("block", "code", "c", F.when((F.col("c") >= least) & (F.col("code") > 0), F.col("word")).alias("word"),
+                            (F.col("key") == own_key).alias("first"), F.when((F.col("c") >= some) & (F.col("code") > 0), F.col("key")).alias("key"))
                .repartition("block").sortWithinPartitions("block", "code"))
 
     def pack(batches):
-        at, counts, places, words, known = None, [], [], [], 0
+        at, counts, places, words, known, keys = None, [], [], [], 0, []
 
         def done():
             return pa.RecordBatch.from_arrays(
                 [pa.array([at], pa.int64()), pa.array([np.concatenate(counts).tobytes()], pa.binary()),
-                 pa.array([places], pa.list_(pa.int32())), pa.array([words], pa.list_(pa.binary())), pa.array([known], pa.int64())],
-                names=["block", "counts", "places", "frequent", "n_known"])
+                 pa.array([places], pa.list_(pa.int32())), pa.array([words], pa.list_(pa.binary())), pa.array([known], pa.int64()),
+                 pa.array([np.concatenate(keys).tobytes()], pa.binary())],
+                names=["block", "counts", "places", "frequent", "n_known", "keys"])
         for b in batches:
             ids, c = np.asarray(b.column(0)), np.asarray(b.column(2))
             cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
@@ -112,20 +125,21 @@ def with_counts(blocks: DataFrame, least: float) -> DataFrame:
                     continue
                 if at is not None and ids[lo] != at:
                     yield done()
-                    counts, places, words, known = [], [], [], 0
+                    counts, places, words, known, keys = [], [], [], 0, []
                 at = int(ids[lo])
                 counts.append(c[lo:hi])
                 known += int(np.asarray(b.column(4).slice(lo, hi - lo))[c[lo:hi] > 0].sum())
-                some = b.column(3).slice(lo, hi - lo)
-                where = np.flatnonzero(np.asarray(some.is_valid()))
+                keys.append(np.asarray(b.column(5).slice(lo, hi - lo).drop_null(), np.int64))
+                top = b.column(3).slice(lo, hi - lo)
+                where = np.flatnonzero(np.asarray(top.is_valid()))
                 if len(where):
                     places += np.asarray(b.column(1))[lo:hi][where].tolist()
-                    words += some.take(pa.array(where)).to_pylist()
+                    words += top.take(pa.array(where)).to_pylist()
         if at is not None:
             yield done()
-    packed = ordered.mapInArrow(pack, "block long, counts binary, places array<int>, frequent array<binary>, n_known long")
+    packed = ordered.mapInArrow(pack, "block long, counts binary, places array<int>, frequent array<binary>, n_known long, keys binary")
     own = blocks.select("block", "doc_ids", "held", "sizes", "codes")
-    return own.join(packed.hint("shuffle_hash"), "block").select("block", "doc_ids", "held", "sizes", "codes", "counts", "places", "frequent", "n_known")
+    return own.join(packed.hint("shuffle_hash"), "block").select("block", "doc_ids", "held", "sizes", "codes", "counts", "places", "frequent", "n_known", "keys")
 
 
 # ---------------------------------------------------------------- states: end, frequent words, bands of counts, unseen
@@ -134,17 +148,38 @@ def _band(c: np.ndarray) -> np.ndarray:
     return np.frexp(c.astype(np.float64))[1] - 1            # of 1: 0; of 2 and 3: 1; ...
 
 
-def _states(row: dict, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(state of each token, its count, sizes, held) of a block. States: 0 end, then frequent words, BANDS bands, unseen."""
-    sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
-    c = np.frombuffer(row["counts"], np.int64)
-    f = len(number)
+def _word_states(row: dict, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """State and count of each word of a block. States: 0 end, then frequent words, BANDS bands, unseen."""
+    c, f = np.frombuffer(row["counts"], np.int64), len(number)
     state = np.where(c > 0, 1 + f + _band(np.maximum(c, 1)), 1 + f + BANDS)
-    if row["places"]:
-        state[row["places"]] = [1 + number[w] for w in row["frequent"]]
+    for at, w in zip(row["places"], row["frequent"]):
+        if bytes(w) in number:
+            state[at] = 1 + number[bytes(w)]
     state[0] = 0
-    codes = _codes(row["codes"], int(sizes.sum()))
-    return state[codes], c[codes], sizes, held
+    return state, c
+
+
+def _states(row: dict, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state of each token, sizes, held) of a block."""
+    sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
+    return _word_states(row, number)[0][_codes(row["codes"], int(sizes.sum()))], sizes, held
+
+
+def _loose(state: np.ndarray, c: np.ndarray, f: int, some: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a block with a key that aren't among the frequent ones: which of the keys, and their codes."""
+    keyed = np.flatnonzero(c >= some)
+    keyed = keyed[keyed > 0]
+    own = np.flatnonzero(state[keyed] > f)
+    return own, keyed[own]
+
+
+def _word_classes(row: dict, number: dict[bytes, int], of: np.ndarray, some: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class and count of each word of a block; ``joined`` holds the classes of the loose ones."""
+    state, c = _word_states(row, number)
+    k = of[state]
+    if row["joined"]:
+        k[_loose(state, c, len(number), some)[1]] = np.frombuffer(row["joined"], np.uint16)
+    return k, c
 
 
 def transitions(ready: DataFrame, number: dict[bytes, int]) -> np.ndarray:
@@ -155,7 +190,7 @@ def transitions(ready: DataFrame, number: dict[bytes, int]) -> np.ndarray:
     def run(batches):
         total = np.zeros(n * n, np.int64)
         for b in slices(batches, 1):
-            states, _, sizes, held = _states(b.to_pylist()[0], shared.value)
+            states, sizes, held = _states(b.to_pylist()[0], shared.value)
             ends = np.cumsum(sizes)
             last = np.r_[0, states[:-1]]
             last[ends[:-1]] = 0                             # a text begins after an end
@@ -225,6 +260,154 @@ def exchange(w: np.ndarray, movable: np.ndarray, classes: int = CLASSES, sweeps:
     return of
 
 
+# ---------------------------------------------------------------- the other words
+
+def gains(g: np.ndarray, r: np.ndarray, q: np.ndarray, self_n: np.ndarray, own: np.ndarray, c: int) -> np.ndarray:
+    """Of many words at once, the gain in each of the first c classes, as ``exchange`` has it: each word alone is taken out
+    of its own class. g: class bigrams; r, q: how often a class follows and precedes the word, without the word itself."""
+    n, diag = len(r), np.diag(g)[:c].copy()
+    out = np.zeros((n, c))
+    for m, counts, back in ((g, r, q), (g.T, q, r)):
+        i, j = np.nonzero(counts)
+        if not len(i):
+            continue
+        v = counts[i, j]
+        base = m[:c, j].T.copy()
+        home = np.flatnonzero(j == own[i])
+        base[home] -= back[i[home], :c]
+        inner = np.flatnonzero(own[i] < c)
+        base[inner, own[i[inner]]] -= v[inner]
+        x = _phi(base + v[:, None]) - _phi(base)
+        square = np.flatnonzero(j < c)
+        x[square, j[square]] = 0                            # the diagonal is counted once, below
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        out[i[starts]] += np.add.reduceat(x, starts)
+    rows = np.flatnonzero(own < c)
+    both = r[:, :c] + q[:, :c] + self_n[:, None]
+    here = np.repeat(diag[None], n, 0)
+    here[rows, own[rows]] -= both[rows, own[rows]]
+    out += _phi(here + both) - _phi(here)
+    for m, total in ((g.sum(1), r.sum(1) + self_n), (g.sum(0), q.sum(1) + self_n)):
+        margin = np.repeat(m[None, :c], n, 0)
+        margin[rows, own[rows]] -= total[rows]
+        out += _phi(margin) - _phi(margin + total[:, None])
+    return out
+
+
+_NEAR = np.dtype([("at", "<u2"), ("n", "<u4")])
+
+
+def neighbours(ready: DataFrame, number: dict[bytes, int], of: np.ndarray, some: int) -> DataFrame:
+    """key, block, code of every loose word of a block, and near: how often a class follows it in training documents (places
+    from 0), precedes it (from k) and how often it follows itself (2 k)."""
+    k = int(of[-1])
+    shared = ready.sparkSession.sparkContext.broadcast((number, of))
+
+    def run(batches):
+        number, of = shared.value
+        width = 2 * k + 1
+        for b in slices(batches, 1):
+            row = b.to_pylist()[0]
+            state, c = _word_states(row, number)
+            which, loose = _loose(state, c, len(number), some)
+            if not len(loose):
+                continue
+            sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
+            use = np.repeat(~held, sizes)
+            codes = _codes(row["codes"], int(sizes.sum()))
+            last, codes = np.r_[0, codes[:-1]][use], codes[use]     # every text ends with word 0
+            place, cls = np.full(len(c), -1, np.int64), of[state].astype(np.int64)
+            place[loose] = np.arange(len(loose))
+            a, z, same = place[last], place[codes], last == codes
+            right = a * width + np.where(same, 2 * k, cls[codes])
+            left = z * width + k + cls[last]
+            flat, n = np.unique(np.concatenate([right[a >= 0], left[(z >= 0) & ~same]]), return_counts=True)
+            near = np.empty(len(flat), _NEAR)
+            near["at"], near["n"] = flat % width, n
+            cuts = (np.searchsorted(flat, np.arange(len(loose) + 1) * width) * _NEAR.itemsize).astype(np.int32)
+            whole = pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(row["keys"], np.int64)[which]), pa.array(np.full(len(loose), row["block"], np.int64)), pa.array(loose.astype(np.int32)),
+                 pa.Array.from_buffers(pa.binary(), len(loose), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(near.tobytes())])],
+                names=["key", "block", "code", "near"])
+            yield from slices([whole], 10_000)
+    own = ready.select("block", "held", "sizes", "codes", "counts", "places", "frequent", "keys")
+    return own.mapInArrow(run, "key long, block long, code int, near binary")
+
+
+def joined(rows: DataFrame, g: np.ndarray, of: np.ndarray, f: int, c: int) -> DataFrame:
+    """rows: of ``neighbours``. block, and the classes that its loose words join, in their order (uint16)."""
+    k = len(g)
+    shared = rows.sparkSession.sparkContext.broadcast((g.astype(np.float64), of))
+
+    def decide(rows: pa.Table) -> pa.RecordBatch:
+        g, of = shared.value
+        keys = rows.column(0).to_numpy()
+        word = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
+        near = rows.column(3).to_pylist()
+        flat = np.frombuffer(b"".join(near), _NEAR)
+        owner = np.repeat(word, [len(x) // _NEAR.itemsize for x in near])
+        dense = np.bincount(owner * (2 * k + 1) + flat["at"], flat["n"], (word[-1] + 1) * (2 * k + 1)).reshape(-1, 2 * k + 1)
+        r, q, self_n = dense[:, :k], dense[:, k:2 * k], dense[:, 2 * k]
+        own = of[1 + f + _band(r.sum(1) + self_n)]          # all training tokens of a word have a follower
+        best = np.concatenate([gains(g, r[i:i + 500], q[i:i + 500], self_n[i:i + 500], own[i:i + 500], c).argmax(1) for i in range(0, len(r), 500)])
+        return pa.RecordBatch.from_arrays([rows.column(1).combine_chunks(), rows.column(2).combine_chunks(), pa.array(best[word].astype(np.int32))], names=["block", "code", "class"])
+
+    def run(batches):
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            if not len(keys):
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))      # the last word may go on
+            if cut or rest and rest[-1].column(0)[-1].as_py() != keys[0]:
+                yield decide(pa.Table.from_batches([*rest, b.slice(0, cut)]))
+                rest = []
+            rest.append(b.slice(cut))
+        if rest:
+            yield decide(pa.Table.from_batches(rest))
+
+    def pack(batches):
+        at, parts = None, []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.concatenate(parts).astype(np.uint16).tobytes()], pa.binary())], names=["block", "joined"])
+        for b in batches:
+            ids, cls = b.column(0).to_numpy(), b.column(2).to_numpy()
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
+                if hi <= lo:
+                    continue
+                if at is not None and ids[lo] != at:
+                    yield done()
+                    parts = []
+                at = int(ids[lo])
+                parts.append(cls[lo:hi])
+        if at is not None:
+            yield done()
+    own = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "block long, code int, class int")
+    return own.repartition("block").sortWithinPartitions("block", "code").mapInArrow(pack, "block long, joined binary")
+
+
+def class_bigrams(ready: DataFrame, number: dict[bytes, int], of: np.ndarray, k: int, some: int) -> np.ndarray:
+    """Counts of all two classes that follow each other in training documents."""
+    shared = ready.sparkSession.sparkContext.broadcast((number, of))
+
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for b in slices(batches, 1):
+            row = b.to_pylist()[0]
+            sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
+            cls = _word_classes(row, *shared.value, some)[0].astype(np.int64)[_codes(row["codes"], int(sizes.sum()))]
+            use = np.repeat(~held, sizes)
+            total += np.bincount((np.r_[shared.value[1][0], cls[:-1]] * k + cls)[use], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
+    got = ready.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((k, k), np.int64)
+    out[got.column("a").to_numpy(), got.column("b").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+# ---------------------------------------------------------------- the model
+
 @dataclass
 class Model:
     number: dict[bytes, int]        # frequent words
@@ -234,57 +417,71 @@ class Model:
     tokens: int
     words: int
 
-    def log_probability(self, states: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P of each token; first: places where a text begins."""
-        k = self.of[states]
+    def log_probability(self, k: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log10 P of each token, of class k; first: places where a text begins."""
         last = np.r_[self.of[0], k[:-1]]
         last[first] = self.of[0]
         unseen = counts == 0
         return self.log_next[last, k] + np.where(unseen, 0.0, np.log10(np.maximum(counts, 1)) - self.log_all[k])
 
 
-def fit(w: np.ndarray, number: dict[bytes, int], tokens: int, words: int, classes: int = CLASSES) -> Model:
+def cluster(w: np.ndarray, number: dict[bytes, int], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray, int]:
+    """Class of each state (the unseen one last), the class bigrams, and how many classes hold frequent words."""
     n = len(w)
-    used = np.flatnonzero((w.sum(0) + w.sum(1)) > 0)
-    used = np.union1d(used, [0])
+    used = np.union1d(np.flatnonzero((w.sum(0) + w.sum(1)) > 0), [0])
     movable = (used >= 1) & (used <= len(number))
     own = exchange(w[np.ix_(used, used)], movable, classes)
     k = int(own.max()) + 1
-    once = own[list(used).index(1 + len(number))] if 1 + len(number) in used else None
-    g = np.zeros((k + 1, k + 1))                            # the last class: unseen
+    g = np.zeros((k, k))
     np.add.at(g, (own[:, None], own[None, :]), w[np.ix_(used, used)])
+    of = np.full(n + 1, k)
+    of[used] = own
+    return of, g, min(classes, max(1, int(movable.sum())))
+
+
+def smoothed(of: np.ndarray, bigrams: np.ndarray, number: dict[bytes, int], tokens: int, words: int) -> Model:
+    k, once = len(bigrams), int(of[1 + len(number)])
+    g = np.zeros((k + 1, k + 1))                            # the last class: unseen
+    g[:k, :k] = bigrams
     totals = g.sum(0)[:k].copy()
-    if once is not None:                                    # as words seen once, before and after others
+    if once < k:                                            # as words seen once, before and after others
         g[:, k] = g[:, once]
         g[k, :] = g[once, :]
-    share = g.sum(0) + 0.5
+    share = np.where(g.sum(0) + g.sum(1) > 0, g.sum(0) + 0.5, 0.0)      # a class that all words left is no follower
+    share[k] = g[:, k].sum() + 0.5
     share /= share.sum()
     followers = (g > 0).sum(1) + 1.0
     nxt = (g + followers[:, None] * share) / (g.sum(1) + followers)[:, None]
     if not tokens:
         nxt[:, :] = 0.0
         nxt[:, k] = 1.0
-    of = np.full(n + 1, k)
-    of[used] = own
     return Model(number, of, np.log10(np.maximum(nxt, 1e-300)), np.log10(np.maximum(np.r_[totals, 1.0], 1.0)), tokens, words)
 
 
+def fit(w: np.ndarray, number: dict[bytes, int], tokens: int, words: int, classes: int = CLASSES) -> Model:
+    """The model of frequent words and bands alone."""
+    of, g, _ = cluster(w, number, classes)
+    return smoothed(of, g, number, tokens, words)
+
+
 # ---------------------------------------------------------------- the operator
 
-def _scores(ready: DataFrame, model: Model) -> DataFrame:
+def _scores(ready: DataFrame, model: Model, some: int) -> DataFrame:
     shared = ready.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for b in slices(batches, 1):
             row = b.to_pylist()[0]
-            states, c, sizes, held = _states(row, m.number)
+            sizes, held = np.array(row["sizes"], np.int64), np.array(row["held"], bool)
+            codes = _codes(row["codes"], int(sizes.sum()))
+            k, c = (x[codes] for x in _word_classes(row, m.number, m.of, some))
             if not m.tokens:                                # without training even the end is unseen
-                states = np.full_like(states, len(m.of) - 1)
+                k = np.full_like(k, m.of[-1])
             first = np.cumsum(sizes) - sizes
             base = np.log10((c + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
             total = lambda x: np.add.reduceat(x, first)
-            score = total(m.log_probability(states, c, first))
+            score = total(m.log_probability(k, c, first))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(sizes),
                 "n_known": pa.array(total((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(sizes), m.tokens, np.int64)),
@@ -292,15 +489,33 @@ def _scores(ready: DataFrame, model: Model) -> DataFrame:
     return ready.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
+def seeds_of(ready: DataFrame, most: int) -> list[bytes]:
+    """The words that with_counts names, or the ``most`` most frequent of them, in order."""
+    def run(batches):
+        for b in slices(batches, 1):
+            row = b.to_pylist()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(row["frequent"], pa.binary()), pa.array(np.frombuffer(row["counts"], np.int64)[row["places"]] if row["places"] else [], pa.int64())], names=["w", "c"])
+    words = ready.select("frequent", "places", "counts").mapInArrow(run, "w binary, c long").distinct()
+    return sorted(bytes(r["w"]) for r in words.orderBy(F.desc("c"), "w").limit(most).collect())
+
+
 def class_model_scores(docs: DataFrame, fold: int = 5, held_out: int = 1, block: int = BLOCK, frequent: int = FREQUENT,
-                       classes: int = CLASSES) -> DataFrame:
+                       classes: int = CLASSES, some: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams), score, perplexity of every row."""
     blocks = keep(blocks_of(docs, fold, held_out, block), "blocks")
     tokens = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    ready = keep(with_counts(blocks, max(1.0, tokens / frequent)), "counted-blocks")
+    least = max(1.0, tokens / frequent)
+    while True:
+        ready = keep(with_counts(blocks, least, some), "counted-blocks")
+        top = seeds_of(ready, frequent)
+        if len(top) >= min(classes, frequent) or least <= some:
+            break
+        least = max(float(some), least / 8)                 # no word stands out: fewer occurrences make a seed
     words = ready.agg(F.sum("n_known")).first()[0] or 0
-    top = sorted(bytes(r["w"]) for r in ready.select(F.explode("frequent").alias("w")).distinct().collect())
     number = {w: i for i, w in enumerate(top)}
-    model = fit(transitions(ready, number), number, int(tokens), int(words), classes)
-    return _scores(ready, model)
-
+    of, g, c = cluster(transitions(ready, number), number, classes)
+    own = ready.select("block", "doc_ids", "held", "sizes", "codes", "counts", "places", "frequent")
+    more = joined(neighbours(ready, number, of, some), g, of, len(number), c)
+    ready = keep(own.join(more.hint("shuffle_hash"), "block", "left"), "classed-blocks")
+    model = smoothed(of, class_bigrams(ready, number, of, len(g), some), number, int(tokens), int(words))
+    return _scores(ready, model, some)

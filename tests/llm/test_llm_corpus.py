@@ -213,6 +213,45 @@ def test_exchange_finds_the_classes_of_a_made_up_language():
     assert len({(x, y) for x, y in zip(of, got)}) == 3
 
 
+def test_gains_equal_the_change_of_the_likelihood():
+    rng, n, c = np.random.default_rng(3), 12, 4
+    w = rng.poisson(3, (n, n))
+    of = np.r_[np.arange(8) % c, [4, 4, 5, 5]]
+
+    def worth(of):
+        g = np.zeros((6, 6))
+        np.add.at(g, (of[:, None], of[None, :]), w)
+        phi = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return phi(g) - phi(g.sum(0)) - phi(g.sum(1)), g
+    member, others = np.eye(6)[of], w - np.diag(np.diag(w))
+    got = language.gains(worth(of)[1], others @ member, others.T @ member, np.diag(w).astype(float), of, c)
+    for s in range(n):
+        moved = [worth(np.where(np.arange(n) == s, k, of))[0] for k in range(c)]
+        assert np.allclose(got[s] - got[s, 0], np.array(moved) - moved[0])
+
+
+def test_words_beyond_the_frequent_ones_join_classes_by_context(rows):
+    """Frequent words a*, b*, c* follow each other in turn; rare words x* stand for an a*, y* for a b*, equally often."""
+    rng, data = random.Random(6), []
+    for i in range(1_200):
+        words = []
+        for _ in range(5):
+            words += [f"a{rng.randrange(4)}" if rng.random() < 0.8 else f"x{rng.randrange(60)}",
+                      f"b{rng.randrange(4)}" if rng.random() < 0.8 else f"y{rng.randrange(60)}", f"c{rng.randrange(4)}"]
+        data.append((i, " ".join(words)))
+    df = rows("doc_id long, text string", *data)
+    kind = lambda rs: sum(r["score"] for r in rs if r["held_out"])
+    banded = kind(language.class_model_scores(df, frequent=60, classes=3, some=1 << 40).collect())
+    one = language.class_model_scores(df, frequent=60, classes=3).collect()
+    tokens = sum(r["n_tokens"] for r in one if r["held_out"])
+    assert kind(one) - banded > 0.05 * tokens           # log10, a token
+    many = language.class_model_scores(df.repartition(3), block=3_000, frequent=60, classes=3).collect()
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in one) == sorted((r["doc_id"], round(r["score"], 6)) for r in many)
+    flat = rows("doc_id long, text string", *[(i, " ".join(f"{'pqr'[j % 3]}{rng.randrange(400)}" for j in range(60))) for i in range(600)])
+    got = language.class_model_scores(flat, frequent=50, classes=3).collect()       # no word makes up 1 / 50
+    assert kind(got) > sum(r["base_score"] for r in got if r["held_out"]) + 0.2 * sum(r["n_tokens"] for r in got if r["held_out"])
+
+
 def test_language_model_odd_rows(rows):
     data = [(1, "A b a b"), (2, None), (3, ""), (3, " \t\n\x0b "), (None, "a"), (None, None), (6, "x " * 50_000), (7, "Ünï cödé word \x1f sep")]
     df = rows("doc_id long, text string", *data).withColumns({c: F.lit(0) for c in ("held", "block", "words", "score")})
