@@ -294,7 +294,9 @@ def gains(g: np.ndarray, r: np.ndarray, q: np.ndarray, self_n: np.ndarray, own:
     return out
 
 
-_NEAR = np.dtype([("at", "<u2"), ("n", "<u4")])
+def _near(k: int) -> np.dtype:
+    """A place, and a count of at most 255: larger ones stand in several pieces."""
+    return np.dtype([("at", "u1" if k < 128 else "<u2"), ("n", "u1")])
 
 
 def neighbours(ready: DataFrame, number: dict[bytes, int], of: np.ndarray, some: int) -> DataFrame:
@@ -322,9 +324,11 @@ def neighbours(ready: DataFrame, number: dict[bytes, int], of: np.ndarray, some:
             right = a * width + np.where(same, 2 * k, cls[codes])
             left = z * width + k + cls[last]
             flat, n = np.unique(np.concatenate([right[a >= 0], left[(z >= 0) & ~same]]), return_counts=True)
-            near = np.empty(len(flat), _NEAR)
-            near["at"], near["n"] = flat % width, n
-            cuts = (np.searchsorted(flat, np.arange(len(loose) + 1) * width) * _NEAR.itemsize).astype(np.int32)
+            pieces = -(-n // 255)
+            flat, left = np.repeat(flat, pieces), np.repeat(n, pieces) - 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            near = np.empty(len(flat), _near(k))
+            near["at"], near["n"] = flat % width, np.minimum(left, 255)
+            cuts = (np.searchsorted(flat, np.arange(len(loose) + 1) * width) * near.itemsize).astype(np.int32)
             whole = pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(row["keys"], np.int64)[which]), pa.array(np.full(len(loose), row["block"], np.int64)), pa.array(loose.astype(np.int32)),
                  pa.Array.from_buffers(pa.binary(), len(loose), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(near.tobytes())])],
@@ -344,8 +348,8 @@ def joined(rows: DataFrame, g: np.ndarray, of: np.ndarray, f: int, c: int) -> Da
         keys = rows.column(0).to_numpy()
         word = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
         near = rows.column(3).to_pylist()
-        flat = np.frombuffer(b"".join(near), _NEAR)
-        owner = np.repeat(word, [len(x) // _NEAR.itemsize for x in near])
+        flat = np.frombuffer(b"".join(near), _near(k))
+        owner = np.repeat(word, [len(x) // flat.itemsize for x in near])
         dense = np.bincount(owner * (2 * k + 1) + flat["at"], flat["n"], (word[-1] + 1) * (2 * k + 1)).reshape(-1, 2 * k + 1)
         r, q, self_n = dense[:, :k], dense[:, k:2 * k], dense[:, 2 * k]
         own = of[1 + f + _band(r.sum(1) + self_n)]          # all training tokens of a word have a follower
