@@ -222,6 +222,40 @@ def test_markov_models_tell_random_strings_from_identifiers(spark, rows):
     assert [s["kind"] for s in again] == [0]
 
 
+@pytest.fixture(scope="module")
+def learned_scan(spark):
+    """Kept share of random strings of each repertoire and length, and of identifiers, by what sf0.01 teaches."""
+    own = secrets.found_in(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    table, bounds = secrets.learned(secrets.samples_of(own, 0))
+    return lambda tokens: np.mean([secrets.ratio_py(t, table) >= bounds[secrets.repertoire_py(t)] for t in tokens])
+
+
+@pytest.mark.parametrize("name,letters,lengths", [
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (24, 32, 40)), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (24, 32, 40)),
+    ("lower", "abcdefghijklmnopqrstuvwxyz0123456789", (24, 32, 40)),
+    ("base62", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (20, 24, 40))])
+def test_random_strings_of_every_repertoire_are_found(learned_scan, name, letters, lengths):
+    rng = random.Random(name)
+    for n in lengths:
+        assert learned_scan(["".join(rng.choices(letters, k=n)) for _ in range(1_000)]) >= 0.95, (name, n)
+
+
+def test_unseen_identifiers_are_seldom_secrets(learned_scan, spark):
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(400).collect() for w in re.findall("[A-Za-z]{8,}", r["text"] or "")})
+    random.Random(3).shuffle(words)
+    names = secrets.identifiers(words[:2_000], 9)
+    for k in range(3):
+        assert learned_scan([t for t in names if secrets.repertoire_py(t) == k]) <= 0.01
+
+
+def test_an_upper_case_key_is_found_by_the_scan(spark, rows):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    key = "".join(random.Random(8).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=40))
+    more = rows(ODD_SCHEMA, (-1, f"see {key} here"), (-2, "see INTERNATIONALEN_VERBINDUNGEN_ZUSAMMENHANG here"))
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(docs.union(more)).filter("doc_id < 0").collect()}
+    assert got == {-1: "random:4:44", -2: ""}
+
+
 # ---------------------------------------------------------------- personal data
 
 def plain_personal(text):
