@@ -29,8 +29,7 @@ SURE = 6.0              # root of the likelihood ratio by which a token's share
 SLACK = 0.05
 ROUNDS = 60
 PATIENCE = 6            # steps without a gain before the best is taken
-REPEAT = 1.0            # a domain is asked for at most so many times the tokens it has
-MOST = 2.0              # highest rate of a document
+MOST = math.inf         # rates have no upper end: the targets' total bounds the tokens of the mixture
 _BREAK = r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\x20\x09-\x0D])"
 
 
@@ -164,26 +163,33 @@ def moved(rate: Column, p: Column, steps: list[list[float]]) -> Column:
     """rate after projected gradient steps, each given by one number for each domain."""
     if not steps:
         return rate
-    return F.aggregate(constant(steps, "array<array<double>>"), rate, lambda r, g: F.least(F.lit(MOST), F.greatest(
-        F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))))
+    return F.aggregate(constant(steps, "array<array<double>>"), rate, lambda r, g: F.greatest(
+        F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+
+
+def goals(have: list[float], weights: list[float], anchor: int | None) -> list[float]:
+    """Expected tokens that each domain shall have. A domain without any has no documents to repeat: the others' shares
+    stand to each other as their weights."""
+    w = [x if h > 0 else 0.0 for x, h in zip(weights, have)]
+    share = [x / (sum(w) or 1.0) for x in w]
+    total = sum(have) if anchor is None or not share[anchor] else have[anchor] / share[anchor]
+    return [x * total for x in share]
 
 
 def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor: int | None = None, rounds: int = ROUNDS,
               tolerance: float = 1e-4) -> list[list[float]]:
     """Gradient steps from rate 1. members: __tokens, __p. weights: the domains' target shares; the total is what lets
-    the anchor domain keep its expected tokens (without one: the tokens there are). No domain is asked for more than
-    REPEAT times what it has, and no rate passes MOST, so a domain of few tokens isn't repeated beyond measure."""
+    the anchor domain keep its expected tokens (without one: the tokens there are). A domain of few tokens is repeated until
+    it has its share; ``reached`` tells targets and what the rates come to."""
     k = range(n_domains)
     if not n_domains:
         return []
     t, p = F.col("__tokens").cast("double"), [F.get("__p", i) for i in range(n_domains)]
     sums = members.agg(*[F.sum(t * p[i]).alias(f"s{i}") for i in k]).first()
     have = [sums[f"s{i}"] or 0.0 for i in k]
-    share = [w / (sum(weights) or 1.0) for w in weights]
-    total = sum(have) if anchor is None or not share[anchor] else have[anchor] / share[anchor]
-    goal = [min(share[i] * total, REPEAT * have[i]) for i in k]
+    goal = goals(have, weights, anchor)
     rows, pending, steps = members.select("__tokens", "__p", F.lit(1.0).alias("__r")), [], []
-    best, kept, last, damp, inside = math.inf, 0, math.inf, 1.0, (F.col("__r") > 0) & (F.col("__r") < MOST)
+    best, kept, last, damp, inside = math.inf, 0, math.inf, 1.0, F.col("__r") > 0
     for _ in range(rounds):
         rate = moved(F.col("__r"), F.col("__p"), pending)
         now = rows.select(rate.alias("__r"), "__tokens", "__p").agg(
@@ -194,7 +200,7 @@ def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor:
         # is as steep in every direction; a step that made it worse is followed by shorter ones
         gram = [[now[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k]
         ease = 1e-6 * max([have[i] for i in k] + [1e-9])
-        error = math.sqrt(sum((off[i] / max(have[i], 1.0)) ** 2 for i in k))
+        error = math.sqrt(sum((off[i] / max(have[i], goal[i], 1.0)) ** 2 for i in k))
         if error < 0.99 * best:
             best, kept = error, len(steps)
         if error < tolerance or len(steps) - kept >= PATIENCE:
@@ -209,6 +215,20 @@ def fit_rates(members: DataFrame, n_domains: int, weights: list[float], anchor:
     return steps[:kept]
 
 
+def reached(members: DataFrame, domains: list, weights: list[float], anchor: int | None, steps: list[list[float]]) -> DataFrame:
+    """domain, its expected tokens, target, the expected tokens at the fitted rates: one row for each domain."""
+    if not domains:
+        return members.sparkSession.createDataFrame([], "domain string, have double, target double, expected double")
+    t, rate = F.col("__tokens").cast("double"), moved(F.lit(1.0), F.col("__p"), steps)
+    got = members.select("__tokens", "__p", rate.alias("__r")).agg(
+        *[F.sum(t * F.get("__p", i)).alias(f"s{i}") for i in range(len(domains))],
+        *[F.sum(F.col("__r") * t * F.get("__p", i)).alias(f"r{i}") for i in range(len(domains))]).first()
+    have = [got[f"s{i}"] or 0.0 for i in range(len(domains))]
+    return members.sparkSession.createDataFrame(
+        [(d, have[i], g, got[f"r{i}"] or 0.0) for i, (d, g) in enumerate(zip(domains, goals(have, weights, anchor)))],
+        "domain string, have double, target double, expected double")
+
+
 def copies(rate: Column, key: Column) -> Column:
     near = F.round(rate)
     draw = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20).cast("long")) / F.lit(float(1 << 20))
@@ -233,11 +253,24 @@ def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anc
     return model, members, steps
 
 
+def _rate(steps: list[list[float]]) -> Column:
+    """A document without tokens adds to no domain, so it isn't repeated."""
+    rate = moved(F.lit(1.0), F.col("__p"), steps)
+    return F.when(F.col("__tokens") == 0, F.least(F.lit(1.0), rate)).otherwise(rate)
+
+
+def mixing_report(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR) -> DataFrame:
+    """domain, have, target, expected (tokens) of the mixture."""
+    model, members, steps = _fitted(docs, labelled, targets, anchor)
+    domains = model["domains"]
+    return reached(members, domains, [targets.get(d, 0.0) for d in domains], domains.index(anchor) if anchor in domains else None, steps)
+
+
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR) -> DataFrame:
     """doc_id, n_tokens, a posterior for each target domain, rate, copies: one row for every row of docs."""
     model, members, steps = _fitted(docs, labelled, targets, anchor)
     at = {d: i for i, d in enumerate(model["domains"])}
-    out = members.withColumn("rate", moved(F.lit(1.0), F.col("__p"), steps))
+    out = members.withColumn("rate", _rate(steps))
     return out.select("doc_id", F.col("__tokens").alias("n_tokens"),
                       *[(F.get("__p", at[d]) if d in at else F.lit(None).cast("double")).alias(f"p_{d}") for d in sorted(targets)],
                       "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
@@ -247,5 +280,5 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     """The documents of the mixture, each as often as its rate says."""
     model, _, steps = _fitted(docs, labelled, targets, anchor)
     cols = docs.columns
-    own = posteriors(docs, model).withColumn("__n", copies(moved(F.lit(1.0), F.col("__p"), steps), F.col("doc_id")))
+    own = posteriors(docs, model).withColumn("__n", copies(_rate(steps), F.col("doc_id")))
     return own.select(*[F.col(c) for c in cols], F.explode(F.array_repeat(F.lit(1), F.col("__n"))).alias("__copy")).select(*cols)

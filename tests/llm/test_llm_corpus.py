@@ -122,6 +122,17 @@ def test_rates_meet_targets_and_equal_plain_descent(spark):
     assert np.allclose(met, goal, rtol=0.02)
 
 
+def test_a_rare_domain_reaches_its_share(spark):
+    rng = np.random.default_rng(2)
+    members = [(int(rng.integers(50, 500)), [0.995, 0.005] if i % 250 else [0.1, 0.9]) for i in range(2_000)]
+    df = spark.createDataFrame(members, "__tokens long, __p array<double>")
+    steps = mixing.fit_rates(df, 2, [0.95, 0.05], anchor=0)
+    got = {r["domain"]: r for r in mixing.reached(df, ["clean", "rare"], [0.95, 0.05], 0, steps).collect()}
+    have = sum(np.array(p) * t for t, p in members)
+    assert have[1] < 0.02 * have.sum() and math.isclose(got["rare"]["target"], have[0] / 0.95 * 0.05)
+    assert all(abs(r["expected"] - r["target"]) < 0.01 * r["target"] for r in got.values())
+
+
 def test_mixing_query_keeps_clean_and_lowers_the_rest(spark):
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in QUERIES["op5_mixing"](spark, sf).collect()}
