@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corrobora.llm import decontaminate, language, mixing, nearest, pages, personal, quality, secrets, simhash, tokens
+from corrobora.llm import (codes, decontaminate, language, mixing, nearest, pages, personal, quality, repeats, secrets, simhash, tokens,
+                           variants)
 from corrobora.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,18 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codebook_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -65,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_decontamination, op2_secret_scan, op3_personal_data, op4_token_output, op5_mixing, op6_quality, op7_class_model, op8_nearest,
-    op9_simhash, op10_page_text, pipeline)}
+    op9_simhash, op10_page_text, op11_vector_codes, op12_repeated_bytes, op13_spelling_variants, pipeline)}
 
-#: none of these operators can be stated in SQL: models, tilings, codes and components are tested against brute force
-ORACLES: dict[str, str] = {}
+#: the other operators cannot be stated in SQL: models, tilings, codes and components are tested against brute force
+ORACLES: dict[str, str] = {"op11_vector_codes": codes.SQL}
