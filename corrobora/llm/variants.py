@@ -50,7 +50,7 @@ def words_of(doc_id: int | None, text: bytes, every: int = EVERY) -> Counter:
     return out
 
 
-def vocabulary(docs: DataFrame, often: int = OFTEN) -> DataFrame:
+def vocabulary(docs: DataFrame, often: int = OFTEN, every: int = EVERY) -> DataFrame:
     """(word, n) of all words that occur often enough; tasks count first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -62,7 +62,7 @@ def vocabulary(docs: DataFrame, often: int = OFTEN) -> DataFrame:
 
         for b in slices(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
-                held.update(words_of(doc_id, text))
+                held.update(words_of(doc_id, text, every))
                 if len(held) >= HELD:
                     yield done()
         yield done()
@@ -208,9 +208,9 @@ def roots(forms: DataFrame) -> DataFrame:
             return at
 
 
-def spelling_variants(docs: DataFrame, often: int = OFTEN, times: int = TIMES, group: int = GROUP) -> DataFrame:
+def spelling_variants(docs: DataFrame, often: int = OFTEN, times: int = TIMES, every: int = EVERY, group: int = GROUP) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word."""
-    words = keep(vocabulary(docs, often), "variants-words")
+    words = keep(vocabulary(docs, often, every), "variants-words")
     best = near_words(words, group).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("top"))
     met = words.join(best, "word", "left")
     is_form = -F.col("top.less") >= times * F.col("n")
