@@ -36,10 +36,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corrobora.llm.common import keep, slices, texts_of, utf8
 
 WINDOW = 100
-GRAMS = (40, 70, 100)
+GRAMS = (50, 75, 100)
 GROUP = 4_096           # different stretches that are sorted at once
 TEXT = 1 << 18          # symbols that are sorted at once, unless one group has more
-PIECE = 4_000_000       # bytes whose anchors are found at once, unless one text has more
+PIECE = 2_000_000       # bytes whose anchors are found at once, unless one text has more
 SAMPLE = 1_024          # documents, about, in which common grams are looked for
 COMMON = 8              # of them hold a common gram
 SLOTS = 1 << 22         # bits for common grams
@@ -276,8 +276,8 @@ def placed(texts: DataFrame, k: int, common: np.ndarray | None) -> DataFrame:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """(doc_id, thash, start, n): windows that have come before."""
-    return rows.select(*_KEY, F.shiftright("place", 20).alias("start"), F.expr("cast(place >> 8 & 4095 as int)").alias("n"))
+    """(doc_id, thash, span): span is start << 12 | n, the n windows from start on have come before."""
+    return rows.select(*_KEY, F.shiftright("place", 8).alias("span"))
 
 
 def compared(spots: DataFrame) -> DataFrame:
@@ -289,9 +289,8 @@ def compared(spots: DataFrame) -> DataFrame:
         def done() -> pa.RecordBatch:
             rows = sorted(held, key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[4]))
             held.clear()
-            out = [(rows[i][2], rows[i][3], rows[i][4] + a, b - a) for i, a, b in repeated(rows)]
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
-                                              [*_KEY, "start", "n"])
+            out = [(rows[i][2], rows[i][3], (rows[i][4] + a) << 12 | b - a) for i, a, b in repeated(rows)]
+            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], [*_KEY, "span"])
 
         for b in batches:
             for r in zip(*[b.column(c).to_pylist() for c in ("anchor", "offset", *_KEY, "start", "data", "k")]):
@@ -303,7 +302,7 @@ def compared(spots: DataFrame) -> DataFrame:
         yield done()
 
     return (spots.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "offset", *_KEY, "start", "data", "k")
-            .mapInArrow(run, "doc_id bigint, thash bigint, start bigint, n int"))
+            .mapInArrow(run, "doc_id bigint, thash bigint, span bigint"))
 
 
 def repeated(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
@@ -351,7 +350,7 @@ def repeated(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
             yield i, a, b
 
 
-def _level(texts: DataFrame, k: int, common: np.ndarray | None, group: int) -> DataFrame:
+def _level(texts: DataFrame, k: int, common: np.ndarray | None) -> DataFrame:
     """Stretches that matter: seen ones, later ones of equal bytes (late), and those of groups that differ (alike = how many)."""
     equal = Window.partitionBy("anchor", "bytes").orderBy(*_KEY, "place")
     met = placed(texts, k, common).repartition("anchor").withColumn("late", F.rank().over(equal) > 1)
@@ -360,28 +359,37 @@ def _level(texts: DataFrame, k: int, common: np.ndarray | None, group: int) -> D
     return keep(met.withColumn("late", F.col("late") | seen).filter(F.col("late") | (F.col("alike") > 1)), "repeats-met")
 
 
+def _fetched(parts: DataFrame, met: DataFrame, k: int) -> DataFrame:
+    """The different stretches of groups, each once for a place, with their bytes (data)."""
+    spots = met.filter(~F.col("late")).groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "alike", "place")).alias("spots"))
+    t, p = parts.alias("t"), spots.hint("shuffle_hash").alias("p")
+    at, many = F.expr("shiftright(s.place, 20)"), F.expr("cast(s.place >> 8 & 4095 as int)")
+    cut = (t.join(p, F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.thash") == F.col("p.thash")))
+           .select("t.doc_id", "t.thash", F.col("t.start").alias("from"), "text", F.explode("spots").alias("s"))
+           .filter((at >= F.col("from")) & (at + many + (WINDOW - 1) <= F.col("from") + F.length("text"))))
+    return cut.select("s.anchor", "s.alike", *_KEY, at.alias("start"), F.expr("cast(s.place & 255 as int)").alias("offset"), F.lit(k).alias("k"),
+                      F.substring("text", (at - F.col("from") + 1).cast("int"), many + (WINDOW - 1)).alias("data"))
+
+
 def repeated_windows(texts: DataFrame, group: int = GROUP, grams_of: tuple[int, ...] = GRAMS, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, thash, start, n): the n windows from start on have come before. texts: doc_id, thash, text."""
-    parts, out = texts.withColumn("start", F.lit(0).cast("long")), None
+    """(doc_id, thash, span) of windows that have come before; span is start << 12 | n. texts: doc_id, thash, text."""
+    parts, out = texts.select(*_KEY, F.lit(0).cast("long").alias("start"), F.encode("text", "UTF-8").alias("text")), []
     for k in grams_of:
-        met = _level(parts, k, common_grams(texts, k, sample) if k < WINDOW else None, group)
-        rows = _windows(met.filter("late"))
-        spots = (met.filter(~F.col("late")).select("anchor", "alike", *_KEY, "place").distinct()
-                 .groupBy(*_KEY).agg(F.collect_list(F.struct("anchor", "alike", "place")).alias("spots")))
-        at, many = F.expr("shiftright(s.place, 20)"), F.expr("cast(s.place >> 8 & 4095 as int)")
-        left, right = texts.alias("t"), spots.hint("shuffle_hash").alias("p")
-        cut = (left.join(right, F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.thash") == F.col("p.thash")))
-               .select("t.doc_id", "t.thash", F.encode("t.text", "UTF-8").alias("text"), F.explode("spots").alias("s")))
-        cut = cut.select("s.anchor", "s.alike", *_KEY, at.alias("start"), F.expr("cast(s.place & 255 as int)").alias("offset"),
-                         F.lit(k).alias("k"), F.substring("text", (at + 1).cast("int"), many + (WINDOW - 1)).alias("data"))
-        if k < WINDOW:
-            rows = rows.unionByName(compared(cut.filter(F.col("alike") <= group)))
-        rows = keep(rows, "repeats-windows")
-        out = rows if out is None else out.unionByName(rows)
-        if k == WINDOW or met.filter(~F.col("late") & (F.col("alike") > group)).isEmpty():
-            return out
-        parts = keep(cut.filter(F.col("alike") > group).select(*_KEY, "start", F.col("data").alias("text")), "repeats-large")
-    return out
+        met = _level(parts, k, common_grams(parts, k, sample) if k < WINDOW else None)
+        out.append(_windows(met.filter("late")))
+        differ = met.filter("not late and alike > 1")
+        if k == WINDOW or differ.isEmpty():
+            break
+        cut = keep(_fetched(parts, differ, k), "repeats-stretches")
+        out.append(keep(compared(cut.filter(F.col("alike") <= group)), "repeats-compared"))
+        large = cut.filter(F.col("alike") > group)
+        if large.isEmpty():
+            break
+        parts = large.select(*_KEY, "start", F.col("data").alias("text"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 # ---------------------------------------------------------------- result
@@ -407,7 +415,7 @@ def without(data: bytes, windows: list[tuple[int, int]]) -> tuple[bytes, int, in
 def without_repeats(docs: DataFrame, group: int = GROUP, grams_of: tuple[int, ...] = GRAMS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     texts = texts_of(docs).withColumn("thash", F.xxhash64("text"))
-    found = repeated_windows(texts, group, grams_of, sample).groupBy(*_KEY).agg(F.collect_set(F.struct("start", "n")).alias("windows"))
+    found = repeated_windows(texts, group, grams_of, sample).groupBy(*_KEY).agg(F.collect_set("span").alias("windows"))
     t, w = texts.alias("t"), found.hint("shuffle_hash").alias("w")
     met = (t.join(w, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.thash") == F.col("w.thash")), "left")
            .select("t.doc_id", "t.thash", "t.text", "w.windows"))
@@ -416,7 +424,7 @@ def without_repeats(docs: DataFrame, group: int = GROUP, grams_of: tuple[int, ..
         for b in slices(batches):
             rows = []
             for data, windows in zip(utf8(b.column("text")), b.column("windows").to_pylist()):
-                kept, removed, runs = without(data, [(x["start"], x["n"]) for x in windows or ()])
+                kept, removed, runs = without(data, [(x >> 12, x & 4095) for x in windows or ()])
                 rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("thash"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())],
