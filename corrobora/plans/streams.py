@@ -7,7 +7,7 @@ from corrobora.plans.catalog import query
 from corrobora.plans.evidence import TIERS
 from corrobora.plans.linking import CARD_HITS, conflict_sql
 from corrobora.session import scratch_path
-from corrobora.streaming import ledgers as G, pacing as P, streams as S
+from corrobora.streaming import ledgers as G, pacing as P, sinks as K, state as ST, streams as S
 
 
 def streamed(t, *names):
@@ -43,6 +43,22 @@ def _(t):
     return state.select("claim_id", "confidence_tier")
 
 
+def compacted(t, stream, label, merge):
+    """Run a stream of changes into a compacted sink and return its current rows."""
+    out, ck = paths(t, label)
+    sink = K.CompactedSink(t.spark, out, stream.schema, merge)
+    with ST.rocksdb(t.spark):
+        S.run_batches(stream, ck, sink.write)
+    return sink.current().drop("batch_id")
+
+
+@query("I2_tier_state", f"WITH {TIERS} SELECT claim_id, confidence_tier FROM tr")
+def _(t):
+    dated = S.with_event_time(streamed(t, "lineitem").v_dated_assertions)
+    changes = ST.tier_changes(dated, "ts", "3650 days", "3650 days")
+    return compacted(t, changes, "tier-state", K.latest_by("claim_id")).select("claim_id", "confidence_tier")
+
+
 @query("I3_mix_stream", """
     SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS lane, count(*) AS n, count(*) FILTER (value / 40.0::double < 0.4) AS novel,
            CASE WHEN count(*) FILTER (value / 40.0::double < 0.4) / count(*) < 0.1 THEN 1 ELSE 0 END AS saturated FROM events GROUP BY 1, 2""")
@@ -69,6 +85,19 @@ def _(t):
     return S.credibility_scores(t.spark, out)
 
 
+@query("I4_credibility_state", FOLD)
+def _(t):
+    return compacted(t, ST.credibility_changes(streamed(t, "events").v_cred_events), "credibility-state", K.latest_by("domain"))
+
+
+@query("I4_credibility_compacted", FOLD)
+def _(t):
+    out, ck = paths(t, "credibility-compacted")
+    sink = K.CompactedSink(t.spark, out, t.spark.createDataFrame([], G.SEGMENT).schema, K.folded)
+    S.run_batches(streamed(t, "events").v_cred_events, ck, lambda batch, i: sink.write(G.credibility_segments(batch), i))
+    return G.fold_segments(sink.current(), ["batch_id", "first_ts", "first_id"])
+
+
 @query("I5_stalls", """
     WITH g AS (SELECT user_id AS run_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)
     SELECT run_id, event_id, round(d / 1000000.0, 3)::double AS gap FROM g WHERE d / 1000000.0 > 21600""")
@@ -112,6 +141,14 @@ def _(t):
     return S.read_raw(t.spark, out, rows(t).schema).select("url", "branch_id", "raw_text")
 
 
+@query("I7_raw_compacted", """
+    SELECT 'u' || user_id AS url, event_type AS branch_id, arg_max(props, ts) AS raw_text FROM events GROUP BY 1, 2""")
+def _(t):
+    rows = streamed(t, "events").events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_type").alias("branch_id"),
+                                               F.lit("t").alias("title"), F.lit("web").alias("source_type"), F.col("props").alias("raw_text"), F.col("ts").alias("created_at"))
+    return compacted(t, rows, "raw-compacted", K.latest_raw).select("url", "branch_id", "raw_text")
+
+
 @query("I8_screen_stream", f"""
     WITH {CARD_HITS}, {conflict_sql("SELECT finding_id, name, claim, role, employer, born, died FROM hits JOIN v_case_claims USING (finding_id) JOIN v_cards USING (name)")}
     SELECT finding_id, name, CASE WHEN hard IS NOT NULL THEN 'quarantined' ELSE 'kept' END AS side,

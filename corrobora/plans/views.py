@@ -43,6 +43,13 @@ VIEWS: dict[str, str | tuple[str, str]] = {
                     THEN 'contradict' ELSE 'agree' END AS stance
         FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
              JOIN nation n ON s.s_nationkey = n.n_nationkey""",
+    "v_dated_assertions": """
+        SELECT l.l_orderkey AS claim_id, l.l_suppkey AS source_id,
+               $AT($ARR('llm','web','youtube','podcast','structured_source'), cast(n.n_regionkey + 1 as int)) AS source_type,
+               CASE WHEN l.l_returnflag = 'R' AND l.l_linenumber = 1 AND l.l_discount >= 0.08
+                    THEN 'contradict' ELSE 'agree' END AS stance, l.l_shipdate AS ts
+        FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+             JOIN nation n ON s.s_nationkey = n.n_nationkey""",
     "v_findings": f"""
         SELECT 'find_' || cast(doc_id as $STR) AS finding_id, doc_id, lang AS branch_id, text AS claim, n_chars,
                CASE WHEN n_chars % 11 = 0 THEN NULL
