@@ -96,12 +96,21 @@ def _homes(index: DataFrame, pivots) -> DataFrame:
                                     "radius double, vec array<double>")
 
 
-def _tiles(homes: DataFrame, visitors: DataFrame, asking: DataFrame, block: int) -> DataFrame:
-    """Rows of both sides keyed by task; a side is repeated only across the other side's blocks. ``asking``: the rows the
-    visitors come from, counted instead of the visits."""
+def _visits(rows: DataFrame, pick) -> DataFrame:
+    """(scope, cell, n): how often each cell is visited; batches count first, no vector travels."""
+    def count(batches):
+        for pdf, row, cell in pick(batches):
+            met = pd.DataFrame({"scope": pdf["scope"].to_numpy()[row], "cell": cell.astype("int32")})
+            yield met.groupby(["scope", "cell"]).size().reset_index(name="n")
+    return rows.mapInPandas(count, "scope string, cell int, n long").groupBy("scope", "cell").agg(F.sum("n").alias("n"))
+
+
+def _tiles(homes: DataFrame, visitors: DataFrame, visits: DataFrame, block: int) -> DataFrame:
+    """Rows of both sides with their task (scope, cell, hc, vc). A home is repeated once for each block of visits to its own
+    cell, and not shipped at all where nothing visits; a visitor once for each block of the cell's homes."""
     on = ["scope", "cell"]
-    asked = cut(asking.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("nv")))     # a row a scope
-    sizes = homes.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("nh")).join(asked, "scope")
+    asked = visits.select(*on, F.ceil(F.col("n") / block).cast("int").alias("nv"))
+    sizes = cut(homes.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias("nh")).join(asked, on))       # a row a cell
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     extra = [c for c in ("key", "own") if c in visitors.columns]
@@ -109,7 +118,10 @@ def _tiles(homes: DataFrame, visitors: DataFrame, asking: DataFrame, block: int)
     h = homes.join(sizes, on).withColumn("hc", spread("nh")).withColumn("vc", upto("nv")).withColumn("side", F.lit(0))
     h = h.withColumn("own", F.lit(True)) if "own" in extra else h
     v = visitors.join(sizes, on).withColumn("vc", spread("nv")).withColumn("hc", upto("nh")).withColumn("side", F.lit(1))
-    return h.select(cols).unionByName(v.select(cols)).groupBy("scope", "cell", "hc", "vc")
+    return h.select(cols).unionByName(v.select(cols))
+
+
+_TASK = ("scope", "cell", "hc", "vc")
 
 
 def _sides(pdf: pd.DataFrame):
@@ -144,7 +156,7 @@ def _range_edges(vectors: DataFrame, t: float, forest: bool, block: int) -> Data
     idt = vectors.schema["id"].dataType.simpleString()
     homes = cut(_homes(vectors, pivots))
 
-    def visit(batches):
+    def pick(batches):
         p = pivots.value
         for pdf in _slices(batches, len(p)):
             m = np.stack(pdf["vec"].to_numpy())
@@ -155,9 +167,13 @@ def _range_edges(vectors: DataFrame, t: float, forest: bool, block: int) -> Data
             # distance to the plane between the two pivots bounds the distance to the other cell; of two cells
             # only the later one's rows visit
             plane = np.divide(d * d - own * own, 2.0 * g, out=np.zeros_like(d), where=g > 0)
-            row, cell = np.nonzero((plane <= eps) & (np.arange(len(p))[None, :] <= home[:, None]))
+            yield pdf, *np.nonzero((plane <= eps) & (np.arange(len(p))[None, :] <= home[:, None]))
+
+    def visit(batches):
+        for pdf, row, cell in pick(batches):
+            vec = pdf["vec"].to_numpy()
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "scope": pdf["scope"].to_numpy()[row],
-                                "cell": cell.astype("int32"), "vec": [m[i] for i in row], "own": cell == home[row]})
+                                "cell": cell.astype("int32"), "vec": vec[row], "own": cell == pdf["cell"].to_numpy()[row]})
     visitors = homes.mapInPandas(visit, f"id {idt}, scope string, cell int, vec array<double>, own boolean")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +192,8 @@ def _range_edges(vectors: DataFrame, t: float, forest: bool, block: int) -> Data
             a, b = _spanning(a, b)
             score = np.ones(len(a))
         return pd.DataFrame({"a_id": a, "b_id": b, "score": score})
-    return _tiles(homes, visitors, homes, block).applyInPandas(match, f"a_id {idt}, b_id {idt}, score double")
+    tiles = _tiles(homes, visitors, _visits(homes, pick), block)
+    return tiles.groupBy(*_TASK).applyInPandas(match, f"a_id {idt}, b_id {idt}, score double")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,18 +232,22 @@ def claim_clusters(df: DataFrame, t: float = V.SAME_MEANING, ident: str = "vec_i
     return components(links, df, "a_id", "b_id", ident)
 
 
-def _near_cells(d: np.ndarray, cells, need: int, reach: float) -> np.ndarray:
-    """Cells that may hold one of the ``need`` nearest members, or anything within ``reach``."""
+def _near_cells(d: np.ndarray, plane: np.ndarray, cells, need: float, reach: float, probe=None) -> np.ndarray:
+    """Cells that may hold one of the ``need`` nearest members, or anything within ``reach``; with ``probe`` only cells
+    that hold a smaller id. d: distances to the pivots; plane: to the planes between the nearest pivot and each other."""
     if cells is None:
         return np.zeros(0, dtype="int64")
-    ids, sizes, radii = cells
+    ids, sizes, radii, least = cells
+    if probe is not None:
+        before = least < probe
+        ids, sizes, radii = ids[before], sizes[before], radii[before]
     near = d[ids]
     order = np.argsort(near + radii)
     full = np.nonzero(np.cumsum(sizes[order]) >= need)[0]
     best = math.inf
     if len(full):       # widened by what rounding to four decimals can hide
         best = math.sqrt(((near + radii)[order[full[0]]] + SLACK) ** 2 + 4 * SLACK)
-    return ids[near - radii <= min(best, reach)]
+    return ids[np.maximum(near - radii, plane[ids] - 1e-9) <= min(best, reach)]
 
 
 # --- nearest neighbours ----------------------------------------------------------------------------
@@ -255,34 +276,42 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
     many = len(pivots.value) > 1
     cells: dict = {}
     if many:        # at most CELL_ROWS rows by the choice of pivots
-        for r in homes.groupBy("scope", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("r")).collect():
-            cells.setdefault(r["scope"], []).append((r["cell"], r["n"], r["r"]))
+        for r in homes.groupBy("scope", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("r"), F.min("id").alias("least")).collect():
+            cells.setdefault(r["scope"], []).append((r["cell"], r["n"], r["r"], r["least"]))
     table = homes.sparkSession.sparkContext.broadcast({
-        sc: tuple(np.asarray(x) for x in zip(*rows)) for sc, rows in cells.items()})
+        sc: (*(np.asarray(x) for x in list(zip(*rows))[:3]), np.asarray([x[3] for x in rows], object)) for sc, rows in cells.items()})
     mixed = qt != idt               # one side's ids travel as text, and are numbers again where ties are settled
     need, skipping = k + (1 if skip_self else 0), skip is not None
     if earlier:
         need = math.inf             # how many rows of a cell are earlier isn't known
-    if skipping:
-        need += ix.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    if skipping:        # a probe skips as many rows as there are of its own key
+        q = q.join(ix.groupBy("key").agg(F.count("*").alias("same")), "key", "left")
     reach = math.inf if floor is None else math.sqrt(max(0.0, 2.0 - 2.0 * (floor - SLACK)))
 
-    def visit(batches):
+    by_order = earlier and not mixed
+
+    def pick(batches):
         p = pivots.value
         for pdf in _slices(batches, len(p)):
-            m = _unit(pdf["embedding"])
             if many:
-                d = _distances(m, p)
-                picks = [_near_cells(d[i], table.value.get(sc), need, reach) for i, sc in enumerate(pdf["scope"])]
+                d = _distances(_unit(pdf["embedding"]), p)
+                own = d.argmin(1)
+                apart = 2.0 * _distances(p[own], p)
+                plane = np.divide(d * d - d.min(1)[:, None] ** 2, apart, out=np.zeros_like(d), where=apart > 0)
+                wanted = need + pdf["same"].fillna(0).to_numpy() if skipping else np.full(len(pdf), need, "float64")
+                picks = [_near_cells(d[i], plane[i], table.value.get(sc), wanted[i], reach, who if by_order else None)
+                         for i, (sc, who) in enumerate(zip(pdf["scope"], pdf["id"]))]
             else:
-                picks = [np.zeros(1, dtype="int64")] * len(m)
-            row = np.repeat(np.arange(len(m)), [len(c) for c in picks])
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "scope": pdf["scope"].to_numpy()[row],
-                                "cell": np.concatenate(picks).astype("int32") if len(row) else np.zeros(0, dtype="int32"),
-                                "vec": [m[i] for i in row]})
-    visitors = q.drop("key").mapInPandas(visit, f"id {qt}, scope string, cell int, vec array<double>")
-    if skip is not None:
-        visitors = visitors.join(q.select("id", "key").distinct(), "id")
+                picks = [np.zeros(1, dtype="int64")] * len(pdf)
+            row = np.repeat(np.arange(len(pdf)), [len(c) for c in picks])
+            yield pdf, row, np.concatenate(picks) if len(row) else np.zeros(0, dtype="int64")
+
+    def visit(batches):
+        for pdf, row, cell in pick(batches):
+            m = _unit(pdf["embedding"])
+            out = {"id": pdf["id"].to_numpy()[row], "scope": pdf["scope"].to_numpy()[row], "cell": cell.astype("int32"), "vec": [m[i] for i in row]}
+            yield pd.DataFrame(out | ({"key": pdf["key"].to_numpy()[row]} if skipping else {}))
+    visitors = q.mapInPandas(visit, f"id {qt}, scope string, cell int, vec array<double>" + (", key long" if skipping else ""))
 
     least = -10**9 if floor is None else math.ceil(floor * 1e4 - 1e-6)
 
@@ -319,7 +348,7 @@ def knn(probes: DataFrame, index: DataFrame, k: int, probe_id: str = "probe_id",
         return pd.DataFrame({probe_id: a, ident: b, "score": score})
     if mixed:
         homes, visitors = homes.withColumn("id", F.col("id").cast("string")), visitors.withColumn("id", F.col("id").cast("string"))
-    hits = _tiles(homes, visitors, q, block).applyInPandas(best, schema)
+    hits = _tiles(homes, visitors, _visits(q, pick), block).groupBy(*_TASK).applyInPandas(best, schema)
     rank = F.row_number().over(W.partitionBy(probe_id).orderBy(F.desc("score"), ident))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 

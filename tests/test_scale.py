@@ -175,3 +175,29 @@ def test_results_do_not_depend_on_partitioning(spark):
     one = sorted(map(tuple, evidence_tiers(a.coalesce(1)).collect()))
     many = sorted(map(tuple, evidence_tiers(a.unionByName(a).orderBy(F.rand(7)).repartition(9)).collect()))
     assert one == many      # shuffled and duplicated input changes nothing
+
+
+def test_homes_are_shipped_by_the_visits_of_their_cell(spark, monkeypatch):
+    """Twenty clean clusters: rows shipped grow with the rows, not with their square; cells without visits ship nothing."""
+    from corrobora.operators import similarity as S
+    seen, tiles = [], S._tiles
+
+    def counted(*args):
+        out = tiles(*args)
+        seen.append({r["side"]: r["count"] for r in out.groupBy("side").count().collect()})
+        return out
+    monkeypatch.setattr(S, "_tiles", counted)
+    rng = np.random.default_rng(2)
+    centres = np.linalg.qr(rng.normal(size=(32, 20)))[0].T
+    sent = []
+    for n in (2_000, 4_000):
+        data = [(i, "b", (centres[i % 20] + rng.normal(size=32) * 0.01).tolist()) for i in range(n)]
+        df = spark.createDataFrame(data, "vec_id long, branch_id string, embedding array<double>").repartition(4)
+        S.sim_pairs(df, 0.999, block=100).count()
+        S.knn(df.withColumnRenamed("vec_id", "probe_id"), df, 2, floor=0.9, block=100).count()
+        few = df.filter("vec_id % 20 = 3").withColumnRenamed("vec_id", "probe_id")
+        assert S.knn(few, df, 2, floor=0.9, block=100).count() == 2 * few.count()
+        sent.append([sum(x.values()) for x in seen])
+        seen.clear()
+    assert all(b <= 2.6 * a for a, b in zip(sent[0][:2], sent[1][:2])), sent
+    assert sent[1][2] <= 4_000 / 2, sent
