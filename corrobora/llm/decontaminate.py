@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -54,33 +55,57 @@ def seeds_of(words: list[str], seed: int) -> list[int]:
 
 # ---------------------------------------------------------------- tiling
 
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
+def _running(words: list[int]) -> list[int]:
+    """Hashes of all beginnings; that of any window follows from two of them."""
+    out = [0]
+    for w in words:
+        out.append((out[-1] * _BASE + w) % _PRIME)
+    return out
+
+
 def tiles(doc: list[str], item: list[str], least: int) -> list[tuple[int, int, int]]:
     """(start in doc, start in item, length) of greedy string tiling, longest matches first.
 
-    Each round hashes the unmarked runs of ``size`` tokens on both sides; size follows the longest match found so far.
+    A round finds all matches of ``size`` free tokens and more by running hashes and marks them from the longest down, equal
+    ones by their places; of a match that another has covered in part, the free stretches take their turn by their own
+    length. What is shorter than ``size`` is left to the next round; the size halves down to ``least``.
     """
-    marked_d, marked_i, out = [False] * len(doc), [False] * len(item), []
+    number = {w: i + 1 for i, w in enumerate(dict.fromkeys(item))}
+    known_d, known_i = [0 if w == GAP else number.get(w, 0) for w in doc], [number[w] for w in item]
+    hash_d, hash_i = _running(known_d), _running(known_i)
+    marked_d, marked_i, out = [not w for w in known_d], [False] * len(item), []       # words the item lacks are never free
     size = max(least, min(len(doc), len(item)))
     while size >= least:
-        at = defaultdict(list)
+        power, at = pow(_BASE, size, _PRIME), defaultdict(list)
         for i in _open(marked_i, size):
-            at[xxhash.xxh3_64_intdigest(" ".join(item[i:i + size]))].append(i)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if at:
-            for d in _open(marked_d, size):
-                for i in at.get(xxhash.xxh3_64_intdigest(" ".join(doc[d:d + size])), ()):
-                    if doc[d:d + size] == item[i:i + size]:
-                        n = size
-                        while (d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and doc[d + n] != GAP
-                               and not marked_d[d + n] and not marked_i[i + n]):
-                            n += 1
-                        found[n].append((d, i))
-        for n in sorted(found, reverse=True):
-            for d, i in found[n]:
-                if not any(marked_d[d:d + n]) and not any(marked_i[i:i + n]):
-                    marked_d[d:d + n] = [True] * n
-                    marked_i[i:i + n] = [True] * n
-                    out.append((d, i, n))
+            at[(hash_i[i + size] - hash_i[i] * power) % _PRIME].append(i)
+        heap = []
+        for d in _open(marked_d, size) if at else ():
+            for i in at.get((hash_d[d + size] - hash_d[d] * power) % _PRIME, ()):
+                if known_d[d:d + size] == known_i[i:i + size]:
+                    n = size
+                    while d + n < len(doc) and i + n < len(item) and known_d[d + n] == known_i[i + n] and not marked_d[d + n] and not marked_i[i + n]:
+                        n += 1
+                    heap.append((-n, d, i))
+        heapify(heap)
+        while heap:
+            n, d, i = heappop(heap)
+            covered = [marked_d[d + t] or marked_i[i + t] for t in range(-n)]
+            if not any(covered):
+                marked_d[d:d - n] = marked_i[i:i - n] = [True] * -n
+                out.append((d, i, -n))
+                continue
+            start = None
+            for t, c in enumerate([*covered, True]):
+                if c:
+                    if start is not None and t - start >= size:
+                        heappush(heap, (start - t, d + start, i + start))
+                    start = None
+                elif start is None:
+                    start = t
         size = size // 2 if size // 2 > least else least if size > least else 0
     return out
 
