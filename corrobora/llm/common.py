@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,7 +21,16 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and outlives any executor."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(kept: DataFrame) -> None:
+    """Delete what keep() wrote, once nothing reads it any more."""
+    sc = kept.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,6 +39,13 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def renamed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with names of no meaning for all columns but ``own``, and a function that gives the old names back: what a
+    caller's columns are called (a dot, a name used inside) never matters."""
+    names = docs.columns
+    return docs.toDF(*[c if c in own else f"column{i}" for i, c in enumerate(names)]), lambda out: out.toDF(*names)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller pieces, so that Python objects of few documents exist at once."""
     for b in batches:

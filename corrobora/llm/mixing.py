@@ -21,7 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corrobora.llm.common import keep
+from corrobora.llm.common import keep, renamed
 
 BUCKETS = 8_192         # places of the token table
 SAMPLE = 20_000         # labelled rows that are learned from, at most
@@ -246,9 +246,10 @@ ANCHOR = "clean"
 
 
 def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anchor: str | None):
+    docs = docs.select("doc_id", "text")
     model = train(docs, labelled)
     domains = model["domains"]
-    members = keep(posteriors(docs.select("doc_id", "text"), model).select("doc_id", "__tokens", "__p"), "posteriors")
+    members = keep(posteriors(docs, model).select("doc_id", "__tokens", "__p"), "posteriors")
     steps = fit_rates(members, len(domains), [targets.get(d, 0.0) for d in domains], domains.index(anchor) if anchor in domains else None)
     return model, members, steps
 
@@ -278,7 +279,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR) -> DataFrame:
     """The documents of the mixture, each as often as its rate says."""
+    docs, named = renamed(docs, "doc_id", "text")
     model, _, steps = _fitted(docs, labelled, targets, anchor)
     cols = docs.columns
     own = posteriors(docs, model).withColumn("__n", copies(_rate(steps), F.col("doc_id")))
-    return own.select(*[F.col(c) for c in cols], F.explode(F.array_repeat(F.lit(1), F.col("__n"))).alias("__copy")).select(*cols)
+    return named(own.select(*cols, F.explode(F.array_repeat(F.lit(1), F.col("__n"))).alias("__copy")).select(*cols))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corrobora.llm.common import crc_mod, slices, texts_of, utf8
+from corrobora.llm.common import crc_mod, renamed, slices, texts_of, utf8
 
 SAMPLE = 8_000          # rows of each kind that are learned from, at most
 THRESHOLD = 0.7
@@ -94,6 +94,10 @@ class Model:
     b2: float
     prior: float
 
+    @property
+    def learned(self) -> bool:
+        return bool(np.any(self.w2))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return _sigmoid(np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2)
@@ -180,6 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
     ids = texts.select("doc_id").distinct()
     trusted = ids.join(good, "doc_id", "left_semi").orderBy(*order).limit(sample)
     web = ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(sample)
+    if web.isEmpty():                                             # all rows are labelled: those not trusted, whatever their label
+        web = ids.join(trusted, "doc_id", "left_anti").orderBy(*order).limit(sample)
     chosen = trusted.withColumn("good", F.lit(1)).unionByName(web.withColumn("good", F.lit(0)))
     rows = texts.join(F.broadcast(chosen), "doc_id")              # at most 2 * sample ids
     return fit(_feature_rows(rows.filter("good = 1")), _feature_rows(rows.filter("good = 0")), prior)
@@ -188,6 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, sa
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
            carry: bool = False) -> DataFrame:
     """doc_id, score, predicted of every row; with ``carry`` the rows of docs that are predicted good, unchanged."""
+    if carry and not model.learned:                               # nothing is known against any row
+        return docs
+    names = None
+    if carry:
+        docs, names = renamed(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs if carry else texts_of(docs, id_col, text_col)
     text_at = src.columns.index(text_col if carry else "text")
@@ -204,7 +215,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                                  names=["doc_id", "score", "predicted"])
-    return src.mapInArrow(run, docs.schema if carry else "doc_id long, score double, predicted int")
+    out = src.mapInArrow(run, docs.schema if carry else "doc_id long, score double, predicted int")
+    return names(out) if carry else out
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

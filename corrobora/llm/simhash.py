@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corrobora.llm.common import keep, slices, texts_of, utf8
+from corrobora.llm.common import keep, renamed, slices, texts_of, utf8
 from corrobora.operators.graph import components
 
 BITS = 64
@@ -316,6 +316,7 @@ def near_duplicates(docs: DataFrame, tau: int = 4, k: int = 4, id_col: str = "do
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents whose id names their component: one of each group of near copies. Where an id stands in several
     rows, one of those in the component stays; rows without an id all stay, as nothing names them."""
+    docs, named = renamed(docs, "doc_id", "text")
     found = keep(near_duplicates(docs, **how), "components")
     names = F.col("doc_id") == F.col("component_id")
     kept = keep(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count_if(names).alias("__named"), F.count("*").alias("__rows"), F.min(F.when(names, F.col("text_hash"))).alias("__hash"))
@@ -328,4 +329,4 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
         same = own.filter((F.col("__rows") > 1) & (F.xxhash64(text) == F.col("__hash"))).groupBy("__id").agg(
             F.min_by(F.struct(*[docs[c] for c in cols]), text).alias("__row"))
         out = out.unionByName(same.select("__row.*"))
-    return out.unionByName(docs.filter(docs["doc_id"].isNull()))
+    return named(out.unionByName(docs.filter(docs["doc_id"].isNull())))
