@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.operators.graph import components
-from corrobora.session import cut, one_row
+from corrobora.session import cut, one_row, ship
 
 BLOCK = 32_768                # rows of one side of a task
 BLOCK_BYTES = 64 << 20        # and their bytes
@@ -56,6 +56,7 @@ def _pivots(index: DataFrame, block: int):
 
     One per full block, at most sqrt(n); few enough that the table of (scope, cell) stays small too.
     """
+    ship(index.sparkSession)
     n, scopes = index.agg(F.count("*"), F.count_distinct("scope")).first()
     if n == 0:
         return None, block

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from corrobora import schemas
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import find_all, once, words4
+from corrobora.session import ship
 
 
 def payload_json(c: Column) -> Column:
@@ -63,5 +64,6 @@ def with_verdicts(pairs: DataFrame, fn: Callable[[pd.Series, pd.Series], pd.Seri
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(_label=fn(pdf[a], pdf[b]).values)
+    ship(pairs.sparkSession)
     judged = pairs.mapInPandas(judge, schema)
     return judged.withColumn(out, X.within(F.col("_label"), labels, default)).drop("_label")

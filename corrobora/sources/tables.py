@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from corrobora import schemas
 from corrobora.functions import vocab as V
 from corrobora.functions.text import any_literal, find_all, squash
+from corrobora.session import ship
 
 
 # --- findings --------------------------------------------------------------------------------------
@@ -94,6 +95,7 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def html_text(c: Column, min_chars: int = 200) -> Column:
+    ship(SparkSession.active())
     s = F.regexp_replace(c, V.HTML_UNREAD, " ")
     s = F.regexp_replace(s, V.HTML_TAG, " ")
     s = F.trim(F.regexp_replace(_unescape(s), r"\s+", " "))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corrobora.functions import vocab as V
+from corrobora.session import ship
 
 _LO, _HI = round(V.CRED_MIN * 1000), round(V.CRED_MAX * 1000)
 _STEP, START = round(V.CRED_STEP * 1000), round(V.CRED_DEFAULT * 1000)
@@ -79,6 +80,7 @@ def _fold_partition(batches):
 
 def credibility_segments(events: DataFrame) -> DataFrame:
     """Events (domain, ts, event_id, delta, reason) folded per range chunk; a busy domain spans many chunks."""
+    ship(events.sparkSession)
     e = events.select(F.col("domain"), F.col("ts").cast("string").alias("ts"), F.col("event_id").cast("long").alias("event_id"),
                       F.coalesce(F.col("delta").cast("long"), F.lit(0)).alias("delta"), F.col("reason"))
     keys = ["domain", "ts", "event_id"]
