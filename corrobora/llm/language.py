@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corrobora.llm.common import crc_mod_py, keep, slices, texts_of, utf8
+from corrobora.llm.common import crc_mod_py, discard, keep, slices, texts_of, utf8
 
 BLOCK = 16_000_000      # bytes of text in a block, about
 FREQUENT = 2_048
@@ -99,14 +99,15 @@ def with_counts(blocks: DataFrame, least: float, some: int = LEAST) -> DataFrame
     words whose count is at least ``least`` with their places; ``n_known``: known words that no earlier block has; ``keys``:
     of each word with a count of ``some`` and more the number of its first place, the same in all blocks. A word has one row
     for each block that holds it."""
+    place = F.shiftleft("block", WORD_BITS) + F.col("code")      # block and place of a word as one number: half the width to ship
     rows = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select(
-        "block", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+        place.alias("own"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     of_word = Window.partitionBy("word")
-    own_key = F.shiftleft("block", WORD_BITS) + F.col("code")
-    known = rows.select("block", "code", "word", F.sum("n").over(of_word).alias("c"), F.min(own_key).over(of_word).alias("key"))
-    ordered = (known.select("block", "code", "c", F.when((F.col("c") >= least) & (F.col("code") > 0), F.col("word")).alias("word"),
-                            (F.col("key") == own_key).alias("first"), F.when((F.col("c") >= some) & (F.col("code") > 0), F.col("key")).alias("key"))
-               .repartition("block").sortWithinPartitions("block", "code"))
+    known = rows.select("own", "word", F.sum("n").over(of_word).alias("c"), F.min("own").over(of_word).alias("key"))
+    ends = F.col("own").bitwiseAND(F.lit((1 << WORD_BITS) - 1).cast("long")) == 0
+    ordered = (known.select("own", (2 * F.col("c") + (F.col("key") == F.col("own")).cast("long")).alias("c"),
+                            F.when((F.col("c") >= least) & ~ends, F.col("word")).alias("word"), F.when((F.col("c") >= some) & ~ends, F.col("key")).alias("key"))
+               .repartition(F.shiftright("own", WORD_BITS)).sortWithinPartitions("own"))
 
     def pack(batches):
         at, counts, places, words, known, keys = None, [], [], [], 0, []
@@ -118,7 +119,8 @@ def with_counts(blocks: DataFrame, least: float, some: int = LEAST) -> DataFrame
                  pa.array([np.concatenate(keys).tobytes()], pa.binary())],
                 names=["block", "counts", "places", "frequent", "n_known", "keys"])
         for b in batches:
-            ids, c = np.asarray(b.column(0)), np.asarray(b.column(2))
+            own, c = np.asarray(b.column(0)), np.asarray(b.column(1))
+            ids, code, first, c = own >> WORD_BITS, own & ((1 << WORD_BITS) - 1), c & 1, c >> 1
             cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
                 if hi <= lo:
@@ -128,12 +130,12 @@ def with_counts(blocks: DataFrame, least: float, some: int = LEAST) -> DataFrame
                     counts, places, words, known, keys = [], [], [], 0, []
                 at = int(ids[lo])
                 counts.append(c[lo:hi])
-                known += int(np.asarray(b.column(4).slice(lo, hi - lo))[c[lo:hi] > 0].sum())
-                keys.append(np.asarray(b.column(5).slice(lo, hi - lo).drop_null(), np.int64))
-                top = b.column(3).slice(lo, hi - lo)
+                known += int(first[lo:hi][c[lo:hi] > 0].sum())
+                keys.append(np.asarray(b.column(3).slice(lo, hi - lo).drop_null(), np.int64))
+                top = b.column(2).slice(lo, hi - lo)
                 where = np.flatnonzero(np.asarray(top.is_valid()))
                 if len(where):
-                    places += np.asarray(b.column(1))[lo:hi][where].tolist()
+                    places += code[lo:hi][where].tolist()
                     words += top.take(pa.array(where)).to_pylist()
         if at is not None:
             yield done()
@@ -514,12 +516,16 @@ def class_model_scores(docs: DataFrame, fold: int = 5, held_out: int = 1, block:
         top = seeds_of(ready, frequent)
         if len(top) >= min(classes, frequent) or least <= some:
             break
+        discard(ready)
         least = max(float(some), least / 8)                 # no word stands out: fewer occurrences make a seed
+    discard(blocks)                                         # the counted ones hold all of them
     words = ready.agg(F.sum("n_known")).first()[0] or 0
     number = {w: i for i, w in enumerate(top)}
     of, g, c = cluster(transitions(ready, number), number, classes)
     own = ready.select("block", "doc_ids", "held", "sizes", "codes", "counts", "places", "frequent")
     more = joined(neighbours(ready, number, of, some), g, of, len(number), c)
-    ready = keep(own.join(more.hint("shuffle_hash"), "block", "left"), "classed-blocks")
+    classed = keep(own.join(more.hint("shuffle_hash"), "block", "left"), "classed-blocks")
+    discard(ready)
+    ready = classed
     model = smoothed(of, class_bigrams(ready, number, of, len(g), some), number, int(tokens), int(words))
     return _scores(ready, model, some)
