@@ -222,23 +222,24 @@ def same_entity(a: Column, b: Column) -> Column:
 def same_entity_edges(names: DataFrame) -> DataFrame:
     """Edges whose components equal those of the full relation, linear in the number of names.
 
-    Sharing (first, last) ties a name to the smallest such name. A sub-name is found by looking up
-    each subset of a name's tokens (names have at most four), never by comparing pairs in a block.
+    Sharing (first, last) ties a name to the smallest such name. A token set is filed under its rarest token
+    beside its first one; a longer name looks up each of its tokens there, so names of any length cost as
+    many lookups as they have tokens, and pairs in a block of common names are never compared.
     """
     n = names.select("name", _tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
-    n = n.select("name", F.get("t", 0).alias("f"), F.element_at("t", -1).alias("l"), F.array_distinct("t").alias("t"))
-    n = n.withColumn("set_key", F.concat_ws(" ", F.col("f"), F.lit("|"), F.array_join(F.array_sort("t"), " ")))
+    n = n.select("name", F.get("t", 0).alias("f"), F.element_at("t", -1).alias("l"), F.array_sort(F.array_distinct("t")).alias("t"))
     ends = n.groupBy("f", "l").agg(F.min("name").alias("rep"))
     star = n.join(ends, ["f", "l"]).select("name", F.col("rep").alias("other"))
-    sets = n.groupBy("set_key").agg(F.min("name").alias("other"))
-    twins = n.join(sets, "set_key").select("name", "other")
-    rest = F.array_except("t", F.array("f"))
-    masks = F.sequence(F.lit(0), F.pow(F.lit(2), F.size(rest)).cast("int") - 1)
-    subset = lambda m: F.filter(rest, lambda x, i: F.getbit(m, i) == 1)
-    key = lambda m: F.concat_ws(" ", F.col("f"), F.lit("|"), F.array_join(
-        F.array_sort(F.concat(F.array("f"), subset(m))), " "))
-    subs = n.select("name", F.explode(F.transform(masks, key)).alias("set_key"))
-    inner = subs.join(sets, "set_key").select("name", "other")
+    sets = n.groupBy("f", "t").agg(F.min("name").alias("rep"))
+    twins = n.join(sets, ["f", "t"]).select("name", F.col("rep").alias("other"))
+    # a set of the first token alone is filed under that token, any other under a further one
+    own = sets.select("f", "t", "rep", F.explode(F.when(F.size("t") == 1, F.col("t")).otherwise(
+        F.array_except("t", F.array("f")))).alias("w"))
+    rarity = own.groupBy("f", "w").agg(F.count("*").alias("n"))
+    filed = own.join(rarity, ["f", "w"]).groupBy("rep").agg(
+        F.min_by(F.struct("f", "w", "t"), F.struct("n", "w")).alias("h")).select(F.col("rep").alias("other"), "h.f", "h.w", F.col("h.t").alias("sub"))
+    asking = sets.filter(F.size("t") > 1).select("f", "t", F.col("rep").alias("name"), F.explode("t").alias("w"))
+    inner = asking.join(filed, ["f", "w"]).filter(F.size(F.array_except("sub", "t")) == 0).select("name", "other")
     return star.union(twins).union(inner).filter("name <> other").distinct()
 
 

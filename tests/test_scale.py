@@ -92,6 +92,45 @@ def test_contains_join_paths_agree(spark):
     assert run(512) == want and run(3) == want
 
 
+def test_contains_join_with_many_keys_of_all_lengths(spark):
+    """Thousands of keys of 3 to 20 characters, beyond plain letters, by the automaton and by the anchor filter."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdé\U0001F600 ") for _ in range(n))
+    texts = [(i, word(150)) for i in range(200)] + [(900, None), (901, ""), (902, word(20_000))]
+    keys = {word(rnd.randint(3, 20)) for _ in range(1500)} | {t[5:5 + rnd.randint(3, 20)] for _, t in texts[:200]}
+    df = spark.createDataFrame(texts, "id int, t string").repartition(3)
+    ks = spark.createDataFrame([(k,) for k in sorted(keys)] * 2, "k string")
+    want = sorted((i, k) for i, t in texts if t for k in keys if k in t)
+    for limit in (10_000, 100):
+        assert sorted(map(tuple, matching.contains_join(df, "id", F.col("t"), ks, "k", inline_limit=limit).collect())) == want
+    assert matching.contains_join(df, "id", F.col("t"), ks.limit(0), "k").count() == 0
+
+
+def test_sub_names_meet_without_subsets(spark):
+    """Names of forty tokens, and random ones: components equal those of the plain relation between all pairs."""
+    from corrobora.operators import people
+    rnd = random.Random(9)
+    names = {" ".join(rnd.choice("abcde") + rnd.choice("xy") for _ in range(rnd.randint(1, 5))) for _ in range(120)}
+    long = ["zed"] + [f"t{i}" for i in range(39)]
+    names |= {" ".join(long), "zed t7 t30", "Zed t30 T7", "zed", "other t7 t30"}
+    names = sorted(names)
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: r["component"] for r in graph.components(people.same_entity_edges(df), df, "name", "other", "name").collect()}
+    parent = {n: n for n in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a in names:
+        for b in names:
+            ta, tb = a.lower().split(), b.lower().split()
+            if ta[0] == tb[0] and (ta[-1] == tb[-1] or set(ta) <= set(tb) or set(tb) <= set(ta)):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {n: root(n) for n in names}
+
+
 def test_known_claims_equal_brute_force(spark):
     rnd = random.Random(5)
     vocab = ["w" + "".join(rnd.choice("abcdef") for _ in range(4)) for _ in range(40)]
