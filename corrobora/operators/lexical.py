@@ -89,7 +89,7 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, skip
 def _word_sets(df: DataFrame) -> DataFrame:
     """One row per distinct word set, however many claims share it."""
     sets = df.select("claim_id", F.array_sort(words4(F.col("claim"))).alias("ws"))
-    return sets.withColumn("set_id", F.sha2(F.array_join("ws", " "), 256))
+    return sets.withColumn("set_id", F.unhex(F.substring(F.sha2(F.array_join("ws", " "), 256), 1, 32)))
 
 
 def _need(size, overlap: float):
