@@ -163,7 +163,7 @@ def is_meta(c: Column) -> Column:
     return matches(c, V.META)
 
 
-def _distinct_angles(angles) -> list[str]:
+def distinct_angles(angles) -> list[str]:
     return list({" ".join(a.lower().split()): " ".join(a.split()) for a in reversed(angles) if a.strip()}.values())[::-1]
 
 
@@ -172,7 +172,7 @@ def person_queries(name: Column, context: Column, angles=V.PERSON_ANGLES, cap: i
     n, ctx = squash(name), F.substring(squash(context), 1, 40)
     base = F.trim(F.when(ctx == "", n).otherwise(F.concat(n, F.lit(" "), ctx)))
     # one base with distinct angles gives distinct queries, so repeats are removed from the angles
-    queries = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in _distinct_angles(angles)])
+    queries = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in distinct_angles(angles)])
     return F.when(n == "", F.array().cast("array<string>")).otherwise(queries if cap is None else F.slice(queries, 1, cap))
 
 
@@ -230,7 +230,7 @@ def retry_queries(name: Column, phrase: Column, born: Column, died: Column, angl
     n = F.trim(F.coalesce(name, F.lit("")))
     base = F.concat_ws(" ", part(n), part(phrase), F.coalesce(died, born).cast("string"))
     base = squash(base)
-    out = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in _distinct_angles(angles)])
+    out = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in distinct_angles(angles)])
     return F.when(n == "", F.array().cast("array<string>")).otherwise(out if cap is None else F.slice(out, 1, cap))
 
 

@@ -51,6 +51,24 @@ def evidence_tiers(assertions: DataFrame) -> DataFrame:
                           X.gated_tier(F.col("weight"), families)).alias("confidence_tier"))
 
 
+SKETCH_K = 14           # 2^14 buckets: a standard error of 0.8 % whatever the number of sources
+
+
+def source_sketches(assertions: DataFrame, by: str = "claim_id", source: str = "source_id") -> DataFrame:
+    """(by, sketch): distinct sources as a mergeable sketch of bounded size, for tables too large to count exactly. Sketches of
+    two batches merge to what one over both would be; ``sketched_sources`` reads them."""
+    return assertions.groupBy(by).agg(F.hll_sketch_agg(source, SKETCH_K).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: str | None = "claim_id") -> DataFrame:
+    """One sketch for each group (or for all rows): batches, or a coarser key."""
+    return sketches.groupBy(*([by] if by else [])).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketched_sources(sketches: DataFrame) -> DataFrame:
+    return sketches.withColumn("n_sources", F.hll_sketch_estimate("sketch")).drop("sketch")
+
+
 def label_counts(tiers: DataFrame) -> DataFrame:
     """Claims per public label; all four labels are always present."""
     dim = tiers.sparkSession.createDataFrame([(x,) for x in V.LABELS], "label string")

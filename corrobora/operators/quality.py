@@ -166,3 +166,16 @@ def featurize(df: DataFrame, key: str, text: str = "text", dim: int = 1024) -> D
 def person_queries_lateral(entities: DataFrame, key: str = "entity_id", cap: int | None = None) -> DataFrame:
     """The name and angle fan-out as rows (pos, query), a lateral join with the native array."""
     return entities.select(key, F.posexplode(X.person_queries(F.col("name"), F.col("context"), cap=cap)).alias("pos", "query"))
+
+
+def register_person_queries(spark, cap: int | None = None, name: str = "person_queries") -> None:
+    """Make ``name(name, context)`` a SQL table function with rows (pos, query), to be called with LATERAL. Its body is one
+    expression over its arguments, so the engine inlines it and no Python worker runs."""
+    lit = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    n, c = (rf"trim(regexp_replace(coalesce({x}, ''), r'\s+', ' '))" for x in ("person", "context"))
+    base = f"trim(concat({n}, if(substring({c}, 1, 40) = '', '', ' '), substring({c}, 1, 40)))"
+    angles = ", ".join(lit(" " + a) for a in X.distinct_angles(V.PERSON_ANGLES))
+    asked = f"transform(array('', {angles}), a -> concat({base}, a))"
+    asked = asked if cap is None else f"slice({asked}, 1, {int(cap)})"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(person STRING, context STRING) RETURNS TABLE (pos INT, query STRING)
+        RETURN SELECT * FROM posexplode(CASE WHEN {n} = '' THEN cast(array() AS array<string>) ELSE {asked} END) AS t(pos, query)""")

@@ -100,3 +100,18 @@ def _(t):
     m = P.mentions(t.v_case_claims)
     roles = m.select("name").distinct().select("name", F.expr(_ROLE).alias("role"))
     return P.discover(m, t.v_cards, roles)
+
+
+@query("G5_gather", """
+    WITH f AS (SELECT f.*, coalesce(t.confidence_tier, f.confidence_tier, 'Speculative') AS tier FROM v_findings f LEFT JOIN v_truth t USING (finding_id)
+               WHERE (node_kind IS NULL OR node_kind = 'finding') AND trim(claim) <> '' AND f.doc_id NOT IN (SELECT item_id FROM benchmark)),
+    l AS (SELECT *, CASE WHEN tier IN ('Accepted', 'Moderately Accepted') THEN 'well-supported' WHEN tier = 'Controversial' THEN 'contested' ELSE 'unverified' END AS l FROM f)
+    SELECT finding_id, CASE WHEN len(source_types) > 0 AND len(list_filter(source_types, lambda x: x NOT IN ('youtube', 'podcast'))) = 0
+             AND l IN ('well-supported', 'contested') THEN 'unverified' ELSE l END AS label,
+           array_to_string(coalesce(source_types, []), ',') AS source_types, array_to_string(urls, ',') AS urls, corroboration_count::double AS corroboration FROM l""")
+def _(t):
+    from corrobora.operators.reading import gather
+    out = t.benchmark.select(F.concat(F.lit("find_"), F.col("item_id").cast("string")).alias("finding_id"))
+    # claims are compared with plain rewriting in tests/test_reading.py; SQL has no twin for that step
+    return gather(t.v_findings, t.v_truth, out).select("finding_id", "label", F.array_join("source_types", ",").alias("source_types"),
+                                                       F.array_join("urls", ",").alias("urls"), "corroboration")

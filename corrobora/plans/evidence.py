@@ -215,3 +215,14 @@ def ingested(t, before=None):
         nodes = say(t.v_probes, "finding_id").withColumns({"corroboration_count": F.lit(1).cast("long"), "confidence_tier": F.lit("Speculative")})
         before = nodes, said(t.v_probes), nodes.select("finding_id", F.col("finding_id").alias("child_id"), "claim").limit(0)
     return E.ingest(*before, say(t.v_index, "claim_id"), said(t.v_index), decisions(t))
+
+
+@query("D2_source_sketches", """
+    SELECT claim_id, count(DISTINCT source_id) AS n_sources FROM v_assertions GROUP BY 1
+    UNION ALL SELECT -1, count(DISTINCT claim_id % 400) FROM v_assertions""")
+def _(t):
+    # two batches, merged; few sources for a claim are told apart exactly, and so are four hundred
+    a = t.v_assertions
+    batch = lambda i: E.source_sketches(a.filter(F.pmod(F.xxhash64("source_id"), F.lit(2)) == i))
+    whole = E.source_sketches(a.select(F.lit(-1).cast("long").alias("claim_id"), (F.col("claim_id") % 400).alias("s")), source="s")
+    return E.sketched_sources(E.merge_sketches(batch(0).union(batch(1)))).union(E.sketched_sources(whole))

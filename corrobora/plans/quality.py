@@ -108,12 +108,22 @@ def _(t):
 
 
 
-@query("J9_person_queries_lateral", f"""
+J9_SQL = f"""
     WITH b AS (SELECT entity_id, {sql_squash('name')} AS n, left({sql_squash('context')}, 40) AS c FROM v_entity_ctx),
     base AS (SELECT entity_id, CASE WHEN c = '' THEN n ELSE n || ' ' || c END AS q FROM b),
     q AS (SELECT entity_id, 0 AS p, q FROM base UNION ALL SELECT entity_id, a.i, trim(replace(q || ' ' || a.a, '  ', ' ')) FROM base, (VALUES {_ANGLES}) a(i, a)),
     d AS (SELECT entity_id, q, p, row_number() OVER (PARTITION BY entity_id, lower(q) ORDER BY p) AS dup FROM q),
     r AS (SELECT entity_id, q, row_number() OVER (PARTITION BY entity_id ORDER BY p) - 1 AS pos FROM d WHERE dup = 1)
-    SELECT entity_id, cast(pos AS int) AS pos, q AS query FROM r WHERE pos < 8""")
+    SELECT entity_id, cast(pos AS int) AS pos, q AS query FROM r WHERE pos < 8"""
+
+
+@query("J9_person_queries_lateral", J9_SQL)
 def _(t):
     return Q.person_queries_lateral(t.v_entity_ctx, cap=8)
+
+
+@query("J9_person_queries_function", J9_SQL)
+def _(t):
+    Q.register_person_queries(t.spark, cap=8)
+    t.v_entity_ctx.createOrReplaceTempView("people_asked_about")
+    return t.spark.sql("SELECT entity_id, q.pos, q.query FROM people_asked_about p, LATERAL person_queries(p.name, p.context) q")
