@@ -32,7 +32,7 @@ EPOCHS = 12
 
 #: fixed values: elements by what the HTML standard makes of them
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object select button canvas audio video".split())
+_RAW = frozenset("script style textarea title noscript template iframe select button".split())     # math, object and the like are inline text
 _TEXT_ONLY = frozenset("script style textarea title".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -71,7 +71,7 @@ def parse(page: str) -> list[Node]:
     """The block elements of a page, parents before children; inline elements count as the text they hold."""
     nodes = [Node("html", (), False, -1)]
     stack: list[tuple[str, int]] = [("html", 0)]            # open elements: tag, block node it belongs to
-    at, links = 0, 0
+    at, links, unclosed = 0, 0, set()
 
     def say(raw: str) -> None:
         if raw:
@@ -116,7 +116,9 @@ def parse(page: str) -> list[Node]:
                 close(depth)
             continue
         if tag in _RAW:                                     # what it holds is no text
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            if not end:
+                unclosed.add(tag)                           # no need to look for it again
             if not attrs.rstrip().endswith("/") or tag in _TEXT_ONLY:
                 at = end.end() if end else (len(page) if tag in _TEXT_ONLY else at)
             nodes[stack[-1][1]].items.append(" ")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm_corpus import SF, plain_tiles
 
-from corrobora.llm import decontaminate, mixing, personal, quality, simhash
+from corrobora.llm import decontaminate, mixing, pages, personal, quality, simhash
 
 
 def test_overlapping_fragments_are_tiled_whole():
@@ -62,3 +62,18 @@ def test_quality_where_all_rows_are_labelled_or_none_is(spark, docs):
     assert model.learned and any(got.values())
     nothing = quality.train(docs, truth.limit(0))
     assert not nothing.learned and quality.scored(docs, nothing, carry=True).count() == docs.count()
+
+
+def test_article_text_inside_math_and_fallbacks_is_kept():
+    """Formulas and fallback texts are text of their block; forms, scripts and styles stay out, closed or not."""
+    import time
+    model = pages.fit(list(pages.written_pages()))
+    page = ("<html><body><nav><a href=/>no home</a></nav><article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> as known, "
+            "said in a sentence of some length.<p>See <object data=x>the chart of it</object> and <svg><text>Figure 1</text><style>no</style></svg> and "
+            "<video src=y>a film</video> for more of the same, at length.<p>Kept <button>no press</button>to the end<select><option>no</select>.</article></body></html>")
+    assert pages.main_text(page, model) == (
+        "Energy is E=m as known, said in a sentence of some length.\nSee the chart of it and Figure 1 and a film for more of the same, at length.\n"
+        "Kept to the end .")
+    start = time.time()
+    assert pages.parse("<p>text " + "<template>" * 40_000)[1].items[0] == "text "
+    assert time.time() - start < 2
