@@ -18,7 +18,6 @@ import heapq
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,10 @@ CACHE = 350_000         # words whose ids a worker remembers, and as many of bef
 
 BLOCKS = ("part int, seq int, start long, doc_ids array<long>, doc_sizes array<long>, n_tokens long, "
           "payload binary, lanes binary")
+RUN = 256               # new words encoded in one call
 _RAW = "part int, seq int, pos long, doc_ids array<long>, doc_sizes array<long>, ids binary"
 _MARKS = (1 << 24) - 1     # places of marks for words that were seen
+_OPENING = ("\u0120", "\u010a")      # how byte-level vocabularies write a space and a line end
 _EDGE = re.compile(r"(?<=\S)([ \n])(?=\S)")
 #: anything but single spaces and line ends between other characters; RE2's own \\s knows ASCII only
 _OTHER_SPACE = "\\t\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -53,8 +54,11 @@ class Encoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.of_text = Tokenizer.from_file(path)
+        vocabulary = self.of_text.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for piece, i in vocabulary.items() if piece[:1] in _OPENING]] = True
         self.old: dict[str, bytes] = {}
-        self.seen = bytearray(_MARKS + 1)
+        self.seen = np.zeros(_MARKS + 1, np.uint8)
         self.known: dict[str, bytes] = {}       # words after a space, which is theirs, or with the line end before them
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -73,9 +77,7 @@ class Encoder:
         begun = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         split = pc.split_pattern(begun, " ")
         words = split.flatten().dictionary_encode()
-        ids = self._of_words(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size, dtype=np.int32) - size      # a batch has less than 2^31 ids
+        flat, start, size = self._of_words(words.dictionary.to_pylist())
         code = np.asarray(words.indices)
         n = size[code]
         end = np.cumsum(n, dtype=np.int32)
@@ -85,26 +87,54 @@ class Encoder:
         bounds = np.r_[0, end][np.asarray(split.offsets)]
         return [got[lo + 1:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]    # less the line end put before
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's ids start among them, how many they are)."""
         known, old, seen = self.known, self.old, self.seen
         if old:
             known.update((w, old[w]) for w in words if w in old and w not in known)
         got = list(map(known.get, words))
+        fresh = np.array([ids is None for ids in got], bool)
+        size = np.empty(len(words), np.int32)
+        met = [ids for ids in got if ids is not None]
+        size[~fresh] = np.fromiter(map(len, met), np.int32, len(met)) // 4
         new = [w for w, ids in zip(words, got) if ids is None]
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 4_096):
-            part = new[at:at + 4_096]
-            found = self.of_text.encode_batch_fast([w if w[:1] == "\n" else " " + w for w in part], add_special_tokens=False)
-            fresh.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
-        out = [ids or fresh[w] for w, ids in zip(words, got)]
-        for w in new:                                       # a word is remembered from the second batch on that has it
-            mark = hash(w) & _MARKS
-            if seen[mark]:
-                known[w] = fresh[w]
-            seen[mark] = 1
+        found, size[fresh] = self._fresh(new)
+        start = np.empty(len(words), np.int32)              # a batch has less than 2^31 ids
+        start[~fresh] = np.cumsum(size[~fresh], dtype=np.int32) - size[~fresh]
+        end = np.cumsum(size[fresh], dtype=np.int32)
+        at = end - size[fresh]
+        mark = np.fromiter(map(hash, new), np.int64, len(new)) & _MARKS
+        for i in np.flatnonzero(seen[mark]).tolist():       # a word is remembered from the second batch on that has it
+            known[new[i]] = found[at[i]:end[i]].tobytes()
+        seen[mark] = 1
         if len(known) > CACHE:                              # what isn't asked for again until the next time goes
             self.old, self.known = known, {}
-        return out
+        flat = np.frombuffer(b"".join(met), np.uint32)
+        start[fresh] = len(flat) + at
+        return np.concatenate([flat, found]), start, size
+
+    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one word after the other, how many each has). Words are encoded in runs, as a call costs more than a word:
+        a word's first id is one that opens with a space or is a line end, and no other of its ids is. A run that doesn't
+        come out so (marks the vocabulary takes whole, another kind of vocabulary) is encoded word by word."""
+        texts = [w if w[:1] == "\n" else " " + w for w in words]
+        flat, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int32)]
+        runs = [texts[at:at + RUN] for at in range(0, len(texts), RUN)]
+        for at in range(0, len(runs), 64):
+            some = runs[at:at + 64]
+            whole = self.of_text.encode_batch_fast(["".join(r) for r in some], add_special_tokens=False)
+            for run, e in zip(some, whole):
+                ids = np.array(e.ids, np.uint32)
+                first = np.flatnonzero(self.opens[ids])
+                if len(first) == len(run) and first[0] == 0:
+                    size = np.diff(first, append=len(ids))
+                else:
+                    each = [x.ids for x in self.of_text.encode_batch_fast(run, add_special_tokens=False)]
+                    ids = np.array([i for x in each for i in x], np.uint32)
+                    size = np.fromiter(map(len, each), np.int32, len(each))
+                flat.append(ids)
+                sizes.append(size.astype(np.int32))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _uneven(self, text: str) -> np.ndarray:
         if not text:
