@@ -1,6 +1,8 @@
 """BM25, rank fusion and hybrid retrieval as equi-joins on terms."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ K1, B, RRF_K = 1.5, 0.75, 60
 BLOCK_POSTINGS = 250_000        # postings of a block of documents, about
 GROUP_TERMS = 200_000           # query terms that meet a block at once, about
 SLACK = 2e-6                    # more than rounding can move a score
+SET_SIZES = (8, 64)             # word sets are compared in classes up to these sizes, then all larger ones
+BLOCK_WORDS = 12_000_000        # words of a block of word sets, about (96 MB)
 
 
 def bm25_index(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,54 +221,82 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, skip
 
 
 def _word_sets(df: DataFrame) -> DataFrame:
-    """One row per distinct word set, however many claims share it."""
-    sets = df.select("claim_id", F.array_sort(words4(F.col("claim"))).alias("ws"))
-    return sets.withColumn("set_id", F.unhex(F.substring(F.sha2(F.array_join("ws", " "), 256), 1, 32)))
-
-
-def _need(size, overlap: float):
-    return F.ceil(size * overlap - 1e-9)
-
-
-def _hits(size, overlap: float):
-    """Shared prefix words a candidate must show: more for larger sets, never more than it must share."""
-    return F.least(_need(size, overlap), F.greatest(F.lit(1), F.floor(size / 8)))
+    """(claim_id, set_id, hs): a claim's distinct words as 64-bit hashes; claims of one word set share its id."""
+    sets = df.select("claim_id", F.sort_array(words4(F.col("claim"))).alias("ws"))
+    return sets.select("claim_id", F.unhex(F.substring(F.sha2(F.array_join("ws", " "), 256), 1, 32)).alias("set_id"),
+                       F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
 
 
 def known_claims(new: DataFrame, existing: DataFrame, overlap: float = 0.6) -> DataFrame:
     """(claim_id, known): does an existing claim share enough of the smaller word set? Exact.
 
-    If the smaller set shares ``need`` of its words, any ``size - need + m`` of its words hold at least m
-    shared ones. Joining only that many, rarest first, keeps common words out of the join, and asking for m
-    shared words leaves few candidates to verify.
+    Existing sets are asked by rising size: a small one is contained in many claims, and a claim that is known asks no
+    more. Within a class of sizes a block of existing sets meets a block of new ones in one task, which counts the words
+    they share and lets nothing out but the new sets that are known (``known_of_block``); no pair is ever a row.
     """
-    n, e = cut(_word_sets(new)), cut(_word_sets(existing).filter(F.size("ws") > 0))
-    ns = n.filter(F.size("ws") > 0).groupBy("set_id").agg(F.first("ws").alias("ws"))
-    es = e.groupBy("set_id").agg(F.first("ws").alias("ws"))
-    tokens = lambda d: d.select("set_id", F.size("ws").alias("size"), F.explode("ws").alias("w"))
-    nt, et = tokens(ns), tokens(es)
-    freq = nt.select("w").union(et.select("w")).groupBy("w").agg(F.count("*").alias("f"))
-
-    def ranked(t):
-        r = F.row_number().over(W.partitionBy("set_id").orderBy("f", "w"))
-        return t.join(freq, "w").withColumn("r", r).withColumn(
-            "prefix", F.col("r") <= F.col("size") - _need(F.col("size"), overlap) + _hits(F.col("size"), overlap))
-    nr, er = cut(ranked(nt)), cut(ranked(et))
-    left = lambda d: d.select(F.col("set_id").alias("n_set"), F.col("size").alias("n_size"), "w", "prefix")
-    right = lambda d: d.select(F.col("set_id").alias("e_set"), F.col("size").alias("e_size"), "w", "prefix")
-    a = left(nr.filter("prefix")).drop("prefix").join(right(er).drop("prefix"), "w").filter("n_size <= e_size")
-    b = left(nr).drop("prefix").join(right(er.filter("prefix")).drop("prefix"), "w").filter("e_size < n_size")
-    cand = a.unionByName(b).groupBy("n_set", "e_set").agg(
-        F.count("*").alias("c"), F.first(F.least("n_size", "e_size")).alias("size")).filter(
-        F.col("c") >= _hits(F.col("size"), overlap)).select("n_set", "e_set")
-    hit = (cand.join(ns.toDF("n_set", "n_ws"), "n_set").join(es.toDF("e_set", "e_ws"), "e_set")
-           .filter(F.size(F.array_intersect("n_ws", "e_ws"))
-                   >= overlap * F.least(F.size("n_ws"), F.size("e_ws")) - 1e-9)
-           .select(F.col("n_set").alias("set_id")).distinct().withColumn("known", F.lit(True)))
-    return n.select("claim_id", "set_id", F.size("ws").alias("n_words")).join(hit, "set_id", "left").select(
+    ship(new.sparkSession)
+    n = cut(_word_sets(new))
+    one = lambda d: d.groupBy("set_id").agg(F.first("hs").alias("hs")).filter(F.size("hs") > 0)
+    left, es, found, low = cut(one(n)), cut(one(_word_sets(existing))), [], 1
+    for high in (*SET_SIZES, 2**31 - 1):
+        met = cut(_known_sets(left, es.filter(F.size("hs").between(low, high)), overlap))
+        left, low = left.join(met, "set_id", "left_anti"), high + 1
+        found.append(met)
+    hit = reduce(DataFrame.union, found).withColumn("known", F.lit(True))
+    return n.select("claim_id", "set_id", F.size("hs").alias("n_words")).join(hit, "set_id", "left").select(
         "claim_id", "n_words", F.coalesce("known", F.lit(False)).alias("known"))
 
 
+def _known_sets(new: DataFrame, existing: DataFrame, overlap: float, block: int = BLOCK_WORDS) -> DataFrame:
+    """set_id of the new sets that share enough with an existing one; blocks hold ``block`` words of a side, about."""
+    count = lambda d: d.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
+    blocks = count(existing) // block + 1
+    groups = max(count(new) // block + 1, -(-2 * new.sparkSession.sparkContext.defaultParallelism // blocks))
+    dealt = lambda n: F.pmod(F.xxhash64("set_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = existing.select(dealt(blocks).alias("block"), each(groups).alias("group"), "hs")
+    asks = new.select(each(blocks).alias("block"), dealt(groups).alias("group"), "set_id", "hs")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return known_of_block(left, right, overlap)
+    met = asked.groupBy("block", "group").cogroup(asks.groupBy("block", "group")).applyInArrow(run, "set_id binary")
+    return met if blocks == 1 else met.distinct()
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all members of a list column, where each list starts and the last ends)."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    size = np.asarray(pc.list_value_length(lists))
+    return np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
+def known_of_block(existing: pa.Table, new: pa.Table, overlap: float) -> pa.Table:
+    """set_id of the new sets that share ``overlap`` of the smaller set with an existing one, by counting along postings."""
+    none = new.select(["set_id"]).slice(0, 0)
+    if not len(existing) or not len(new):
+        return none
+    word, at = _flat(existing["hs"])
+    size = np.diff(at)
+    order = np.argsort(word, kind="stable")
+    holder = np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
+    word = word[order]
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    words, starts = word[starts], np.r_[starts, len(word)]
+    asked, at = _flat(new["hs"])
+    own = np.diff(at)
+    place = np.minimum(np.searchsorted(words, asked), len(words) - 1)
+    there = words[place] == asked
+    place, at = place[there], np.concatenate([[0], np.cumsum(there)])[at]
+    lo, hi = starts[place], starts[place + 1]
+    known = np.zeros(len(own), bool)
+    for i in np.flatnonzero(at[1:] > at[:-1]):
+        spans = [holder[x:y] for x, y in zip(lo[at[i]:at[i + 1]], hi[at[i]:at[i + 1]])]
+        shared = np.bincount(np.concatenate(spans), minlength=len(size))
+        known[i] = (shared >= overlap * np.minimum(size, own[i]) - 1e-9).any()
+    return new.select(["set_id"]).filter(pa.array(known))
+
+
 def novel_claims(new: DataFrame, existing: DataFrame, overlap: float = 0.6, min_words: int = 4) -> DataFrame:
     """New claims that say something the existing ones do not; too-short claims are not novel."""
     return (known_claims(new, existing, overlap)

@@ -145,6 +145,20 @@ def test_known_claims_equal_brute_force(spark):
         assert got[i] == want, i
 
 
+def test_word_sets_meet_in_small_blocks_and_no_pair_is_a_row(spark):
+    rnd = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    sets = lambda n, top: [(f"s{i}".encode(), rnd.sample(vocab, rnd.randint(1, top))) for i in range(n)]
+    new, old = sets(80, 100), sets(60, 100) + sets(20, 3)
+    df = lambda d: spark.createDataFrame(d, "set_id binary, ws array<string>").select(
+        "set_id", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    met = lexical._known_sets(df(new), df(old), 0.6, block=700)
+    got = [bytes(r["set_id"]) for r in met.collect()]
+    enough = lambda a, b: len(set(a) & set(b)) >= 0.6 * min(len(a), len(b)) - 1e-9
+    assert sorted(got) == sorted(i for i, a in new if any(enough(a, b) for _, b in old))
+    assert 0 < len(got) < len(new) and "e_set" not in met._jdf.queryExecution().toString()
+
+
 def test_bm25_repeats_count_and_exact_terms_rank_first(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha alpha gamma"), (3, "delta")], "doc_id int, text string")
     q = spark.createDataFrame([(1, "gamma"), (2, "alpha"), (3, "alpha alpha")], "query_id int, text string")
