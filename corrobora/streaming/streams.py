@@ -17,11 +17,15 @@ from corrobora.streaming.ledgers import credibility_segments, fold_segments
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema, per_trigger: int | None = None) -> DataFrame:
-    """File stream over one table's files with an explicit schema."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """File stream over one table's files with an explicit schema; the table is a file of the folder, or a folder in it."""
+    r = spark.readStream.schema(schema)
     if per_trigger is not None:
         r = r.option("maxFilesPerTrigger", per_trigger)
-    return r.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+        return r.parquet(f"{folder}/{name}.parquet")
+    return r.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
 def with_event_time(df: DataFrame, col: str = "ts") -> DataFrame:

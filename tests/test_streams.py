@@ -83,3 +83,12 @@ def test_stall_sessions_match_gaps(spark):
     S.run_batches(s.withColumn("x", F.lit(1)), ck, S.batch_sink(path), "append")
     beats = spark.read.parquet(path).agg(F.sum("beats")).first()[0] or 0
     assert 0 < beats <= e.count()
+
+
+def test_a_table_that_is_a_folder_of_files_streams_whole(spark, tmp_path):
+    whole = spark.range(40).select(F.col("id").alias("doc_id"))
+    whole.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(5).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/pages.parquet")
+    s = S.read_table(spark, str(tmp_path), "documents", whole.schema)
+    S.run_batches(s, f"{tmp_path}/ck", S.batch_sink(f"{tmp_path}/out"))
+    assert sorted(r["doc_id"] for r in S.read_sink(spark, f"{tmp_path}/out", s.schema).collect()) == list(range(40))
