@@ -169,11 +169,14 @@ def distinct_angles(angles) -> list[str]:
 
 def person_queries(name: Column, context: Column, angles=V.PERSON_ANGLES, cap: int | None = None) -> Column:
     """Array of name × angle searches: the bare name first, then each angle with the context."""
-    n, ctx = squash(name), F.substring(squash(context), 1, 40)
-    base = F.trim(F.when(ctx == "", n).otherwise(F.concat(n, F.lit(" "), ctx)))
-    # one base with distinct angles gives distinct queries, so repeats are removed from the angles
-    queries = F.array(base, *[F.concat(base, F.lit(f" {a}")) for a in distinct_angles(angles)])
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(queries if cap is None else F.slice(queries, 1, cap))
+    # one base with distinct angles gives distinct queries, so repeats are removed from the angles; angles beyond the cap
+    # aren't put together, and name and base are computed once for each row
+    angles = distinct_angles(angles)[:None if cap is None else max(cap - 1, 0)]
+    asked = lambda b: F.array(b, *[F.concat(b, F.lit(f" {a}")) for a in angles])
+    base = lambda p: F.trim(F.when(p["ctx"] == "", p["n"]).otherwise(F.concat(p["n"], F.lit(" "), p["ctx"])))
+    queries = lambda p: F.when(p["n"] == "", F.array().cast("array<string>")).otherwise(once(base(p), asked))
+    out = once(F.struct(squash(name).alias("n"), F.substring(squash(context), 1, 40).alias("ctx")), queries)
+    return out if cap is None or cap > 0 else F.slice(out, 1, cap)
 
 
 def qualify(query: Column, place: Column, when: Column) -> Column:
@@ -272,13 +275,15 @@ def finding_id(branch: Column, claim: Column, url: Column) -> Column:
 
 def slug(c: Column, ident: Column) -> Column:
     """Readable file name: first eight plain words, then the id's tail."""
-    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", "")
-    s = F.trim(F.substring(F.regexp_replace(first_words(s, 8), " ", "-"), 1, 60), F.lit("-"))
-    return F.concat(F.when(s == "", "finding").otherwise(s), F.lit("--"), F.right(ident, F.lit(6)))
+    # a word is a run without blanks that holds a letter or digit (two signs outside ASCII become one in lower case)
+    head = F.regexp_extract(F.coalesce(c, F.lit("")), "^(?:[^A-Za-z0-9\u0130\u212a]*+[A-Za-z0-9\u0130\u212a]\\S*+){1,8}+", 0)
+    plain = F.regexp_replace(F.lower(head), r"[^a-z0-9\s]", "")
+    short = F.trim(F.substring(F.regexp_replace(first_words(plain, 8), " ", "-"), 1, 60), F.lit("-"))
+    return F.concat(once(short, lambda s: F.when(s == "", "finding").otherwise(s)), F.lit("--"), F.right(ident, F.lit(6)))
 
 
 def rebuild_abstract(index: Column) -> Column:
     """Text from an inverted index ``map<word, positions>``."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(
         e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("word")))))
-    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["word"]), " ")
+    return F.array_join(F.transform(F.sort_array(placed), lambda x: x["word"]), " ")

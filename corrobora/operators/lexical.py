@@ -21,8 +21,10 @@ BLOCK_WORDS = 12_000_000        # words of a block of word sets, about (96 MB)
 
 
 def bm25_index(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (doc_id, term, tf, dl) with idf and the average length attached."""
-    terms = docs.select(F.col(ident).alias("doc_id"), tok(F.col(text)).alias("toks"))
+    """Postings (doc_id, term, tf, dl) with idf and the average length attached. Texts are dealt by document, so words are
+    counted where their document is and only postings travel to their term."""
+    terms = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id").select(
+        "doc_id", tok(F.col("text")).alias("toks"))
     stats = terms.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
     postings = (terms.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.functions.text import find_all, found_literals, matches, once, squash, tok, word_count, words, words4
 from corrobora.operators.accounting import monoculture, tallies
-from corrobora.session import cut
+from corrobora.session import cut, spread
 
 
 # --- transcripts -----------------------------------------------------------------------------------
@@ -40,9 +40,9 @@ def voice_lint(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     low = F.lower(t)
     phrases = once(low, lambda q: found_literals(q, V.BANNED_PHRASES))
     questions = F.filter(F.transform(find_all(t, r"(?<![^.!?])[^.!?]*+\?"), lambda q: F.trim(q)), lambda q: F.length(q) > 12)
-    first = F.get(F.split(F.trim(t), r"\."), 0)
-    anchored = F.substring(first, 4, 2**31 - 1).rlike(r"\b[A-Z][a-z]{2,}|\b\d+\b") | matches(first, V.NUMBER_WORD_ANCHOR)
-    opener = F.when((first != "") & ~anchored, F.array(first)).otherwise(F.array().cast("array<string>"))
+    anchored = lambda s: F.substring(s, 4, 2**31 - 1).rlike(r"\b[A-Z][a-z]{2,}|\b\d+\b") | matches(s, V.NUMBER_WORD_ANCHOR)
+    opener = once(F.substring_index(F.trim(t), ".", 1), lambda s: F.when((s != "") & ~anchored(s), F.array(s)).otherwise(
+        F.array().cast("array<string>")))
     tag = lambda xs, kind: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("detail"), F.substring(x, 1, V.DISPLAY_CHARS).alias("display")))
     found = F.concat(tag(phrases, "banned phrase"),
                      tag(questions, "rhetorical question"),
@@ -165,7 +165,8 @@ def featurize(df: DataFrame, key: str, text: str = "text", dim: int = 1024) -> D
 
 def person_queries_lateral(entities: DataFrame, key: str = "entity_id", cap: int | None = None) -> DataFrame:
     """The name and angle fan-out as rows (pos, query), a lateral join with the native array."""
-    return entities.select(key, F.posexplode(X.person_queries(F.col("name"), F.col("context"), cap=cap)).alias("pos", "query"))
+    asked = X.person_queries(F.col("name"), F.col("context"), cap=cap)
+    return spread(entities.select(key, "name", "context")).select(key, F.posexplode(asked).alias("pos", "query"))
 
 
 def register_person_queries(spark, cap: int | None = None, name: str = "person_queries") -> None:
@@ -173,9 +174,11 @@ def register_person_queries(spark, cap: int | None = None, name: str = "person_q
     expression over its arguments, so the engine inlines it and no Python worker runs."""
     lit = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
     n, c = (rf"trim(regexp_replace(coalesce({x}, ''), r'\s+', ' '))" for x in ("person", "context"))
-    base = f"trim(concat({n}, if(substring({c}, 1, 40) = '', '', ' '), substring({c}, 1, 40)))"
-    angles = ", ".join(lit(" " + a) for a in X.distinct_angles(V.PERSON_ANGLES))
-    asked = f"transform(array('', {angles}), a -> concat({base}, a))"
-    asked = asked if cap is None else f"slice({asked}, 1, {int(cap)})"
+    angles = [lit(" " + a) for a in X.distinct_angles(V.PERSON_ANGLES)][:None if cap is None else max(int(cap) - 1, 0)]
+    # one member arrays stand for names: what is in them is computed once for each row
+    base = "trim(concat(p.n, if(p.c = '', '', ' '), p.c))"
+    asked = f"transform(array({base}), b -> array({', '.join(['b', *(f'concat(b, {a})' for a in angles)])}))[0]"
+    asked = asked if cap is None or cap > 0 else f"slice({asked}, 1, {int(cap)})"
+    whole = f"transform(array(named_struct('n', {n}, 'c', substring({c}, 1, 40))), p -> CASE WHEN p.n = '' THEN cast(array() AS array<string>) ELSE {asked} END)[0]"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(person STRING, context STRING) RETURNS TABLE (pos INT, query STRING)
-        RETURN SELECT * FROM posexplode(CASE WHEN {n} = '' THEN cast(array() AS array<string>) ELSE {asked} END) AS t(pos, query)""")
+        RETURN SELECT * FROM posexplode({whole}) AS t(pos, query)""")

@@ -7,6 +7,7 @@ from corrobora.operators.verdicts import with_verdicts
 from corrobora.plans.catalog import query
 from corrobora.plans.expressions import _ANGLES, sql_bad, sql_rx, sql_squash, sql_words
 from corrobora.plans.scans import sql_list
+from corrobora.session import spread
 
 _REL = "CASE WHEN doc_id % 6 = 0 THEN 'no' WHEN doc_id % 6 = 1 THEN 'broken' WHEN doc_id % 6 = 2 THEN NULL ELSE 'yes' END"
 
@@ -125,5 +126,5 @@ def _(t):
 @query("J9_person_queries_function", J9_SQL)
 def _(t):
     Q.register_person_queries(t.spark, cap=8)
-    t.v_entity_ctx.createOrReplaceTempView("people_asked_about")
+    spread(t.v_entity_ctx.select("entity_id", "name", "context")).createOrReplaceTempView("people_asked_about")
     return t.spark.sql("SELECT entity_id, q.pos, q.query FROM people_asked_about p, LATERAL person_queries(p.name, p.context) q")
