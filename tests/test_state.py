@@ -138,3 +138,13 @@ def test_a_crash_before_the_manifest_or_a_replay_loses_nothing(spark, monkeypatc
     assert again._manifests() == [2] and {r["key"]: r["value"] for r in again.current().collect()} == want
     empty = K.CompactedSink(spark, folders()[0], batch(spark, 0).schema, K.latest_by("key"))
     assert empty.current().count() == 0
+
+
+def test_claims_of_a_bucket_keep_their_own_evidence_and_time(spark, assertions):
+    changes = ST.tier_changes(arriving(spark, assertions, 4, "part"), "ts", "100 days", "100 days", buckets=2)
+    out, ck = folders()
+    with ST.rocksdb(spark):
+        S.run_batches(changes, ck, S.batch_sink(out))
+    seen = S.latest(S.read_sink(spark, out, changes.schema), ["claim_id"])
+    assert {r["claim_id"]: r["confidence_tier"] for r in seen.collect()} == {
+        r["claim_id"]: r["confidence_tier"] for r in evidence_tiers(assertions).collect()}
