@@ -2,6 +2,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from corrobora.operators import citations, graph, lexical, matching, ordering, similarity
@@ -254,3 +256,12 @@ def test_homes_are_shipped_by_the_visits_of_their_cell(spark, monkeypatch):
         seen.clear()
     assert all(b <= 2.6 * a for a, b in zip(sent[0][:2], sent[1][:2])), sent
     assert sent[1][2] <= 4_000 / 2, sent
+
+
+def test_a_task_reads_its_vectors_from_batches(spark):
+    rows = [("b", 0, [1.0, 2.0]), ("x", 1, [3.0, 4.0]), ("a", 0, [5.0, 6.0])]
+    vec = pa.array([v for _, _, v in rows], pa.list_(pa.float64()))
+    table = pa.table({"id": [i for i, _, _ in rows], "side": [s for _, s, _ in rows], "vec": vec})
+    hid, hm, _, vid, vm, _ = similarity._sides(table.to_batches(max_chunksize=1))
+    assert list(hid) == ["a", "b"] and hm.tolist() == [[5.0, 6.0], [1.0, 2.0]] and list(vid) == ["x"] and vm.tolist() == [[3.0, 4.0]]
+    assert similarity._sides(table.filter(pc.equal(table["side"], 1)).to_batches()) is None
