@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corrobora.functions import exprs as X, vocab as V
 from corrobora.operators import similarity as S
 from corrobora.operators.graph import components
-from corrobora.session import cut, one_row
+from corrobora.session import cut, dealt
 
 _BIT = {fam: i for i, fam in enumerate(sorted(set(V.TYPE_FAMILY.values())))}
 
@@ -77,16 +77,22 @@ def label_counts(tiers: DataFrame) -> DataFrame:
 
 
 def cluster_outcomes(claims: DataFrame, stance: DataFrame) -> DataFrame:
-    """Multi-source clusters split into gaps (sources disagree) and corroborations; unknown stance agrees."""
-    by_source = claims.groupBy("cluster_id", "source_label", "source_type").agg(F.count("*").alias("n"))
-    total = claims.agg(F.count_distinct("source_label").alias("n_all"))
-    per = by_source.groupBy("cluster_id").agg(
-        F.count_distinct("source_label").alias("n_sources"), F.count_distinct("source_type").alias("n_types"),
-        F.sum("n").alias("n_claims")).filter("n_sources >= 2")
+    """Multi-source clusters split into gaps (sources disagree) and corroborations; unknown stance agrees.
+
+    A row for each source and for each type of a cluster, then a row a cluster, each in tasks of bounded rows.
+    """
+    n_all, rows = claims.groupBy("source_label").agg(F.count("*").alias("n")).agg(F.count("source_label"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    label, kind = claims.schema["source_label"].dataType, claims.schema["source_type"].dataType
+    each = claims.select("cluster_id", F.inline(F.array(
+        F.struct(F.col("source_label").alias("label"), F.lit(None).cast(kind).alias("kind"), F.lit(1).cast("long").alias("n")),
+        F.struct(F.lit(None).cast(label).alias("label"), F.col("source_type").alias("kind"), F.lit(0).cast("long").alias("n")))))
+    once = dealt(each, "cluster_id", "label", "kind", rows=2 * rows).groupBy("cluster_id", "label", "kind").agg(F.sum("n").alias("n"))
+    per = dealt(once, "cluster_id", rows=2 * rows).groupBy("cluster_id").agg(
+        F.count("label").alias("n_sources"), F.count("kind").alias("n_types"), F.sum("n").alias("n_claims")).filter("n_sources >= 2")
     s = X.within(F.col("stance"), ("agree", "contradict", "mixed"), "agree")
     gap = F.col("stance").isin("contradict", "mixed")
     return (per.join(stance, "cluster_id", "left").withColumn("stance", s)
-            .withColumn("n_all", one_row(total)["n_all"])
+            .withColumn("n_all", F.lit(n_all))
             .select("cluster_id", F.when(gap, "gap").otherwise("corroboration").alias("kind"), "n_sources", "n_types",
                     "n_claims", F.when(gap, F.bround(F.col("n_sources") / F.col("n_all"), 3)).alias("disagreement_score")))
 

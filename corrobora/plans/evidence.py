@@ -7,6 +7,7 @@ from corrobora.plans.catalog import query
 from corrobora.plans.entities import clusters_sql
 from corrobora.plans.expressions import sql_map
 from corrobora.plans.retrieval import COS, knn_sql
+from corrobora.session import dealt
 from corrobora.streaming.ledgers import credibility_fold
 
 TIERS = f"""ds AS (SELECT claim_id, source_id, source_type, max(CASE WHEN stance = 'contradict' THEN 1 ELSE 0 END) AS c FROM v_assertions GROUP BY 1, 2, 3),
@@ -37,7 +38,7 @@ def _(t):
 def _(t):
     a = t.v_assertions
     claims = a.select(F.col("claim_id").alias("cluster_id"), F.col("source_id").alias("source_label"), "source_type")
-    stance = a.groupBy(F.col("claim_id").alias("cluster_id")).agg(F.max("stance").alias("s")).select(
+    stance = dealt(a.select(F.col("claim_id").alias("cluster_id"), "stance"), "cluster_id").groupBy("cluster_id").agg(F.max("stance").alias("s")).select(
         "cluster_id", F.when(F.col("cluster_id") % 9 != 0, F.col("s")).alias("stance"))
     return E.cluster_outcomes(claims, stance)
 

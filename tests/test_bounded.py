@@ -50,3 +50,24 @@ def test_bridges_between_branches_equal_brute_force(spark):
             if s[a, best] >= 0.5:
                 want.add((a, best, s[a, best]))
     assert {(r["a_id"], r["b_id"], r["score"]) for r in S.bridge_all(df).collect()} == want
+
+
+def exchanges(df):
+    return [int(n) for n in re.findall(r"REPARTITION_BY_NUM|hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString()) if n]
+
+
+def test_tasks_of_clusters_and_disputes_follow_the_rows(spark, monkeypatch):
+    for name, steps in (("D1_cluster_outcomes", 3),):
+        df = load_all()[name].run(spark, SF)
+        before = sorted(map(tuple, df.collect()), key=repr)
+        monkeypatch.setattr(session, "TASK_ROWS", 100)
+        df = load_all()[name].run(spark, SF)
+        assert len([n for n in exchanges(df) if n > 20]) >= steps
+        assert sorted(map(tuple, df.collect()), key=repr) == before
+        monkeypatch.setattr(session, "TASK_ROWS", 1_000_000)
+
+
+def test_clusters_with_missing_labels_and_types(rows):
+    claims = rows("cluster_id int, source_label string, source_type string", (1, "a", "x"), (1, "a", "y"), (1, None, "x"), (1, "b", None), (2, "a", "x"), (2, None, None), (3, "c", "x"), (3, "d", "x"), (3, "d", "x"))
+    out = evidence.cluster_outcomes(claims, rows("cluster_id int, stance string", (3, "mixed"))).orderBy("cluster_id").collect()
+    assert [tuple(r) for r in out] == [(1, "corroboration", 2, 2, 4, None), (3, "gap", 2, 1, 3, 0.5)]
