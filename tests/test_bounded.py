@@ -57,7 +57,7 @@ def exchanges(df):
 
 
 def test_tasks_of_clusters_and_disputes_follow_the_rows(spark, monkeypatch):
-    for name, steps in (("D1_cluster_outcomes", 3),):
+    for name, steps in (("D1_cluster_outcomes", 3), ("H6_apply_controversy", 1)):
         df = load_all()[name].run(spark, SF)
         before = sorted(map(tuple, df.collect()), key=repr)
         monkeypatch.setattr(session, "TASK_ROWS", 100)
@@ -71,3 +71,11 @@ def test_clusters_with_missing_labels_and_types(rows):
     claims = rows("cluster_id int, source_label string, source_type string", (1, "a", "x"), (1, "a", "y"), (1, None, "x"), (1, "b", None), (2, "a", "x"), (2, None, None), (3, "c", "x"), (3, "d", "x"), (3, "d", "x"))
     out = evidence.cluster_outcomes(claims, rows("cluster_id int, stance string", (3, "mixed"))).orderBy("cluster_id").collect()
     assert [tuple(r) for r in out] == [(1, "corroboration", 2, 2, 4, None), (3, "gap", 2, 1, 3, 0.5)]
+
+
+def test_a_dispute_in_several_rows_and_repeated_names(rows):
+    nodes = rows("finding_id string, confidence_tier string", *[(f"f{i}", "Accepted") for i in range(5)])
+    d = rows("dispute_id int, finding_ids array<string>, side_a string, side_b string", (1, ["f0", "f0", "zz"], "a", "b"), (2, ["f1"], "a", "b"), (2, ["f2", None], "a", "b"),
+             (3, ["f3", "f4"], " ", "b"), (4, None, "a", "b"), (5, ["f0"], "a", "b"), (5, ["f0"], "a", "b"))
+    got = {r["finding_id"] for r in evidence.apply_controversy(nodes, d).filter(F.col("confidence_tier") == "Controversial").collect()}
+    assert got == {"f1", "f2"}
